@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import batches_of, require
+from corpusmill.llm.common import batches_of, fresh_folder, require
 
 #: Fixed look-alikes: letters and signs that are read as a Latin letter.
 LOOK_ALIKE = {
@@ -36,7 +36,7 @@ LOOK_ALIKE = {
 }
 _FOLD = str.maketrans(LOOK_ALIKE | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | dict.fromkeys("​‌‍­⁠", ""))
 #: Lengths of word beginnings that may enter the lexicon.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 #: Phrases in which a listed word insults nobody; matched after folding.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "idiot proof")
 
@@ -133,52 +133,78 @@ def _terms(text: str) -> set[str]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = 8000, most_terms: int = 20000, least_documents: int = 3, least_ratio: float = 8.0) -> Model:
-    """Learn the lexicon and the curve.
+def _count_terms(rows: DataFrame, model: Model) -> DataFrame:
+    """How many clean and toxic rows have each term; toxic rows that the model finds already are left out.
 
-    Bounds: ``most_per_class`` labelled rows of each class, ``most_terms`` lexicon
-    entries (those with the most evidence).  A term enters if ``least_documents``
-    toxic documents have it and its share among toxic documents is
-    ``least_ratio`` times that among others.  Without toxic labels the lexicon is
-    empty and every score the same.
+    The term "" counts the rows.
     """
-    rows = training_rows(docs, labels, most_per_class)
+    told = rows.sparkSession.sparkContext.broadcast(model.to_json())
+
+    def frame_of(counts: tuple[Counter, Counter]) -> pd.DataFrame:
+        terms = list(counts[0].keys() | counts[1].keys())
+        return pd.DataFrame({"term": terms, "clean": [counts[0][t] for t in terms], "toxic": [counts[1][t] for t in terms]})
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(Model.from_json(told.value))
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        sizes = [0, 0]
         for frame in frames:
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-                sizes[int(toxic)] += 1
-                counts[int(toxic)].update(_terms(text or ""))
+                if not toxic or not matcher.weight(fold(text or "")):
+                    counts[int(toxic)].update(_terms(text or "") | {""})
             if len(counts[0]) + len(counts[1]) > 500_000:
-                yield _as_frame(counts)
+                yield frame_of(counts)
                 counts = (Counter(), Counter())
-        counts[0][""], counts[1][""] = sizes
-        yield _as_frame(counts)
+        yield frame_of(counts)
+
+    return rows.mapInPandas(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
-    def _as_frame(counts: tuple[Counter, Counter]) -> pd.DataFrame:
-        terms = list(counts[0].keys() | counts[1].keys())
-        return pd.DataFrame({"term": terms, "clean": [counts[0][t] for t in terms], "toxic": [counts[1][t] for t in terms]})
 
-    found = rows.mapInPandas(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    sums = found.where(F.col("term") == "").collect()
-    clean, toxic = (sums[0]["clean"], sums[0]["toxic"]) if sums else (0, 0)
-    if not toxic:
+def _telling(found: DataFrame, most: int, precision: float) -> list[tuple[str, float]]:
+    """Terms that toxic rows have too often for chance, given how many terms there are.
+
+    For a term in k toxic and n clean rows, with q the toxic share of all rows,
+    (k + n) times the divergence of k / (k + n) from q bounds the logarithm of the
+    chance; it must outweigh the logarithm of the number of terms that could pass,
+    those in two toxic rows or more.
+    """
+    total = found.agg(F.count_if(F.col("toxic") >= 2).alias("terms"), F.max("clean").alias("clean"), F.max("toxic").alias("toxic")).first()
+    if not total["terms"] or not total["toxic"]:
+        return []
+    q = F.lit((total["toxic"] + 0.5) / (total["toxic"] + (total["clean"] or 0) + 1.0))
+    share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - q))).otherwise(0.0)
+    evidence = (F.col("toxic") + F.col("clean")) * (share * F.log(share / q) + rest)
+    weight = F.log(((F.col("toxic") + 0.5) / (total["toxic"] + 1)) / ((F.col("clean") + 0.5) / ((total["clean"] or 0) + 1)))
+    kept = found.where((F.col("term") != "") & (F.col("toxic") >= 2) & (share > q) & (share >= precision) & (evidence >= math.log(total["terms"]) + 2))
+    return [(r["term"], r["weight"]) for r in kept.select("term", weight.alias("weight"), evidence.alias("evidence")).orderBy(F.col("evidence").desc(), "term").limit(most).collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = 6000, most_terms: int = 20000, precision: float = 0.998, rounds: int = 4) -> Model:
+    """Learn the lexicon and the curve.
+
+    Bounds: ``most_per_class`` labelled rows of each class, ``most_terms`` lexicon
+    entries a round (those with the most evidence).  Rows that look like copies of
+    each other count once.  A term enters if toxic rows have it beyond chance and
+    ``precision`` of the rows that have it are toxic.  Later rounds look at the
+    toxic rows without a hit so far, of which rarer terms stand out.  Without
+    toxic labels the lexicon is empty and every score the same.
+    """
+    spark = docs.sparkSession
+    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"\s+"))
+    alike = F.slice(F.array_sort(F.transform(words, lambda w: F.xxhash64(w))), 1, 4)
+    path = fresh_folder(spark, "toxicity-sample")
+    training_rows(docs, labels, most_per_class).groupBy(alike.alias("alike"), "toxic").agg(F.min("text").alias("text")).select("text", "toxic").write.parquet(path)
+    rows = spark.read.parquet(path)
+    model = Model()
+    for _ in range(rounds):
+        telling = _telling(_count_terms(rows, model), most_terms, precision)
+        if not telling:
+            break
+        model.words |= {t[1:]: w for t, w in telling if t[0] == "="}
+        model.beginnings |= {t: w for t, w in telling if t[0] != "="}
+    if not model.words and not model.beginnings:
         return Model(curve=(-2.0, 0.0, 0.0))
-    ratio = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
-    kept = (
-        found.where((F.col("term") != "") & (F.col("toxic") >= least_documents) & (ratio >= least_ratio))
-        .select("term", F.log(ratio).alias("weight"), (F.log(ratio) * F.col("toxic")).alias("evidence"))
-        .orderBy(F.col("evidence").desc(), "term")
-        .limit(most_terms)
-        .collect()
-    )
-    model = Model(
-        words={r["term"][1:]: r["weight"] for r in kept if r["term"][0] == "="},
-        beginnings={r["term"]: r["weight"] for r in kept if r["term"][0] != "="},
-    )
-    told = docs.sparkSession.sparkContext.broadcast(model.to_json())
+    told = spark.sparkContext.broadcast(model.to_json())
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(Model.from_json(told.value))
