@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, chat, media, secret_scan, toxicity
+from corpusmill.llm import bpe, chat, media, minhash, secret_scan, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_toxicity": op8_toxicity,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_secret_scans": op10_secret_scans,
 }
 
