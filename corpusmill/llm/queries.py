@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, chat, media, minhash, secret_scan, toxicity
+from corpusmill.llm import bpe, chat, html_extract, media, minhash, mixing, secret_scan, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,15 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(_table(spark, sf_dir, "conversations"))
 
@@ -40,6 +49,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_byte_bpe": op2_byte_bpe,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_mixing": op6_mixing,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_toxicity": op8_toxicity,
     "op9_minhash_dedup": op9_minhash_dedup,

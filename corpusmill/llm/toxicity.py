@@ -20,7 +20,6 @@ from dataclasses import asdict, dataclass, field
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,23 +139,27 @@ def _count_terms(rows: DataFrame, model: Model) -> DataFrame:
     """
     told = rows.sparkSession.sparkContext.broadcast(model.to_json())
 
-    def frame_of(counts: tuple[Counter, Counter]) -> pd.DataFrame:
+    names = ["term", "clean", "toxic"]
+
+    def out(counts: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
         terms = list(counts[0].keys() | counts[1].keys())
-        return pd.DataFrame({"term": terms, "clean": [counts[0][t] for t in terms], "toxic": [counts[1][t] for t in terms]})
+        for at in range(0, len(terms), 50_000):
+            some = terms[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([c[t] for t in some], pa.int64()) for c in counts)], names=names)
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(Model.from_json(told.value))
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for frame in frames:
-            for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
+        for batch in batches_of(batches):
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not toxic or not matcher.weight(fold(text or "")):
-                    counts[int(toxic)].update(_terms(text or "") | {""})
+                    counts[toxic].update(_terms(text or "") | {""})
             if len(counts[0]) + len(counts[1]) > 500_000:
-                yield frame_of(counts)
+                yield from out(counts)
                 counts = (Counter(), Counter())
-        yield frame_of(counts)
+        yield from out(counts)
 
-    return rows.mapInPandas(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return rows.select("text", "toxic").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
 def _telling(found: DataFrame, most: int, precision: float) -> list[tuple[str, float]]:
@@ -206,14 +209,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = 6000, most_ter
         return Model(curve=(-2.0, 0.0, 0.0))
     told = spark.sparkContext.broadcast(model.to_json())
 
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(Model.from_json(told.value))
-        for frame in frames:
-            found = [matcher.measures(t or "") for t in frame["text"]]
-            yield pd.DataFrame({"a": [x[0] for x in found], "b": [x[1] for x in found], "y": frame["toxic"].astype("int64")})
+        for batch in batches_of(batches):
+            found = [matcher.measures(t or "") for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in found], pa.float64()) for k in (0, 1)), batch.column(1).cast(pa.int64())], names=["a", "b", "y"])
 
     # at most 2 * most_per_class rows, and equal ones are counted
-    points = rows.mapInPandas(measure, "a double, b double, y long").groupBy(F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), "y").count().orderBy("a", "b", "y").collect()
+    points = rows.select("text", "toxic").mapInArrow(measure, "a double, b double, y long").groupBy(F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), "y").count().orderBy("a", "b", "y").collect()
     model.curve = _fit_curve(np.array([[1.0, r["a"], r["b"]] for r in points]), np.array([float(r["y"]) for r in points]), np.array([float(r["count"]) for r in points]))
     return model
 
