@@ -27,6 +27,8 @@ from corpusmill.llm.common import WORD, cut, require
 BLOCK = 20_000
 #: Sources whose totals the driver works on; more are refused.
 MOST_SOURCES = 100_000
+#: Documents of a source that the landing rounds together, over all roundings.
+LANDING = 12
 _CLOSE = 1e-9
 
 
@@ -55,15 +57,15 @@ def targets_of(sizes: list[int], weights: list[float], share: float = 1.5, most:
     return found
 
 
-def fly(chances: np.ndarray, sizes: np.ndarray, random: np.random.Generator) -> np.ndarray:
-    """Flight with the constraints (count, words); at most two chances stay between 0 and 1."""
+def fly(chances: np.ndarray, sizes: np.ndarray, random: np.random.Generator, leave: int = 2) -> np.ndarray:
+    """Flight with the constraints (count, words); at most ``leave`` chances, 2 at least, stay open."""
     pi = chances.astype(float).copy()
     pi[pi < _CLOSE] = 0.0
     pi[pi > 1 - _CLOSE] = 1.0
     waiting = np.flatnonzero((pi > 0) & (pi < 1)).tolist()[::-1]
     draws = random.random(3 * len(waiting) + 8).tolist()
     active: list[int] = []
-    while True:
+    while len(active) + len(waiting) > leave:
         while len(active) < 3 and waiting:
             active.append(waiting.pop())
         if len(active) == 3:
@@ -74,7 +76,7 @@ def fly(chances: np.ndarray, sizes: np.ndarray, random: np.random.Generator) ->
         elif len(active) == 2 and sizes[active[0]] == sizes[active[1]]:
             u = (1.0, -1.0)
         else:
-            return pi
+            break
         up = down = np.inf  # how far one may go along u and against it
         for i, d in zip(active, u, strict=True):
             if d > 0:
@@ -89,6 +91,7 @@ def fly(chances: np.ndarray, sizes: np.ndarray, random: np.random.Generator) ->
             if 0 < pi[i] < 1:
                 stay.append(i)
         active = stay
+    return pi
 
 
 def land(chances: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -96,19 +99,19 @@ def land(chances: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     pi = chances.copy()
     open_ = np.flatnonzero((pi > 0) & (pi < 1))
     if len(open_):
-        words, count = float(pi[open_] @ sizes[open_]), float(pi[open_].sum())
-        ways = itertools.product((0.0, 1.0), repeat=len(open_))
-        pi[open_] = min(ways, key=lambda w: (abs(float(np.dot(w, sizes[open_])) - words), abs(sum(w) - count), w))
+        ways = np.array(list(itertools.product((0.0, 1.0), repeat=len(open_))))
+        words = np.abs(ways @ sizes[open_] - pi[open_] @ sizes[open_])
+        count = np.abs(ways.sum(1) - pi[open_].sum())
+        pi[open_] = ways[np.lexsort((count, words))[0]]
     return pi
 
 
 def _flight(seed: int, last: bool):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        # largest first, so that what stays open at the end is short and lands near its target
-        frame = frame.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        frame = frame.sort_values(["order", "doc_id", "size"], kind="stable").reset_index(drop=True)
         rank, block = int(frame["rank"].iloc[0]), int(frame["block"].iloc[0])
         sizes = frame["size"].to_numpy(float)
-        pi = fly(frame["chance"].to_numpy(), sizes, np.random.default_rng([seed, rank, block]))
+        pi = fly(frame["chance"].to_numpy(), sizes, np.random.default_rng([seed, rank, block]), LANDING if last else 2)
         frame["chance"] = land(pi, sizes) if last else pi
         return frame.drop(columns="block")
 
