@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, chat, html_extract, media, minhash, mixing, secret_scan, spotsigs, toxicity
+from corpusmill.llm import bpe, chat, html_extract, media, minhash, mixing, packing, secret_scan, spotsigs, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.digest(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_pairs(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_packed_ids": op3_packed_ids,
     "op4_fingerprints": op4_fingerprints,
     "op5_html_extraction": op5_html_extraction,
     "op6_mixing": op6_mixing,
