@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpusmill.queries import Query, aggregates, joins, ranking, rules, scans
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "retrieve_hybrid"
+for _area in (scans, rules, joins, aggregates, ranking):
+    QUERIES |= _area.R.queries
+    ORACLE_SQL |= _area.R.sql
+#: Questions against the corpus: hybrid search, fusion, budget and cited context.
+FLAGSHIP = "rag_retrieve"
