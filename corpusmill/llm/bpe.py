@@ -33,6 +33,12 @@ CACHED_PIECES = 1_200_000
 _UNSAFE_CUT = regex.compile(r"\s (?:\s|\Z)")
 
 
+def ranks_of(path: str) -> dict[bytes, int]:
+    """Byte strings and their ranks, as a rank file lists them."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(b): int(i) for b, i in map(bytes.split, lines)}
+
+
 class Vocabulary:
     """Ranks of byte strings, with the pair test that the prefix table needs."""
 
@@ -51,8 +57,7 @@ class Vocabulary:
 
     @classmethod
     def from_file(cls, path: str) -> "Vocabulary":
-        with open(path, "rb") as lines:
-            return cls({base64.b64decode(b): int(i) for b, i in map(bytes.split, lines)})
+        return cls(ranks_of(path))
 
     def merge(self, piece: bytes) -> list[int]:
         """Plain merging, lowest rank first; used for single tokens and for pairs."""
