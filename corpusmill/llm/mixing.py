@@ -6,9 +6,9 @@ the fraction is an inclusion probability.  The cube method's flight moves these
 probabilities, a few documents at a time, through the null space of two
 constraints (the sum of the probabilities and the sum of probabilities times
 words), until nearly all are 0 or 1; the totals of documents and words stay what
-they were.  Blocks of a source fly in parallel; the two documents or fewer that
-each leaves fly again together, and a last handful per source lands by choosing
-the rounding whose totals are nearest.
+they were.  Blocks of a source fly in parallel; the dozen documents or fewer that
+each leaves open fly again together, and the last dozen per source lands by
+choosing the rounding whose totals are nearest.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from corpusmill.llm.common import WORD, cut, require
 BLOCK = 20_000
 #: Sources whose totals the driver works on; more are refused.
 MOST_SOURCES = 100_000
-#: Documents of a source that the landing rounds together, over all roundings.
+#: Documents that a flight leaves open, and that the landing rounds together, over all roundings.
 LANDING = 12
 _CLOSE = 1e-9
 
@@ -111,7 +111,7 @@ def _flight(seed: int, last: bool):
         frame = frame.sort_values(["order", "doc_id", "size"], kind="stable").reset_index(drop=True)
         rank, block = int(frame["rank"].iloc[0]), int(frame["block"].iloc[0])
         sizes = frame["size"].to_numpy(float)
-        pi = fly(frame["chance"].to_numpy(), sizes, np.random.default_rng([seed, rank, block]), LANDING if last else 2)
+        pi = fly(frame["chance"].to_numpy(), sizes, np.random.default_rng([seed, rank, block]), LANDING)
         frame["chance"] = land(pi, sizes) if last else pi
         return frame.drop(columns="block")
 
@@ -163,8 +163,8 @@ def mix_plan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", so
             break
         still = (F.col("chance") > 0) & (F.col("chance") < 1)
         done = flown.where(~still) if done is None else done.unionByName(flown.where(~still))
-        units = flown.where(still).withColumn("blocks", F.ceil(2 * F.col("blocks") / F.lit(BLOCK)).cast("int"))
-        blocks = -(-2 * blocks // BLOCK)
+        units = flown.where(still).withColumn("blocks", F.ceil(LANDING * F.col("blocks") / F.lit(BLOCK)).cast("int"))
+        blocks = -(-LANDING * blocks // BLOCK)
     copies = (F.col("sure") + F.round("chance").cast("int")).cast("int")
     return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
@@ -172,12 +172,13 @@ def mix_plan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", so
 def mix_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: ``docs`` with each row as often as the plan takes it."""
     plan = mix_plan(docs, text_col, id_col, source_col, **how)
-    key = lambda *c: F.md5(F.to_json(F.struct(*[F.col(x).cast("string").alias(f"c{i}") for i, x in enumerate(c)])))
-    per_key = plan.groupBy(key("doc_id", "source", "size").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").cast("int").alias("_rows"))
+    key = lambda *c: F.md5(F.to_json(F.struct(*[x.cast("string").alias(f"c{i}") for i, x in enumerate(c)])))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_size", size).withColumn("_key", key(id_col, source_col, "_size")).join(per_key.where("_copies > 0"), "_key")
+    per_key = plan.groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("key")).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").cast("int").alias("rows"))
+    # the document rides along as one column, so that its own columns cannot clash
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), key(F.col(id_col), F.col(source_col), size).alias("key"), F.xxhash64(text_col).alias("order"))
+    rows = rows.join(per_key.where("copies > 0"), "key")
     # rows alike in key share the key's copies, first come first served in the order of their texts
-    at = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(text_col)))
-    own = F.expr("_copies div _rows").cast("int") + (F.col("_at") <= F.col("_copies") % F.col("_rows")).cast("int")
-    rows = rows.withColumn("_at", at).withColumn("_again", F.explode(F.array_repeat(F.lit(1), own)))
-    return rows.select(*docs.columns)
+    at = F.row_number().over(Window.partitionBy("key").orderBy("order"))
+    own = F.expr("copies div rows").cast("int") + (F.col("at") <= F.col("copies") % F.col("rows")).cast("int")
+    return rows.withColumn("at", at).withColumn("again", F.explode(F.array_repeat(F.lit(1), own))).select("doc.*")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
@@ -31,9 +32,10 @@ from corpusmill.llm.common import batches_of, fresh_folder, require
 LOOK_ALIKE = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
     "ο": "o", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "|": "i", "!": "i", "l": "i",
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "l": "i",
 }
 _FOLD = str.maketrans(LOOK_ALIKE | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | dict.fromkeys("​‌‍­⁠", ""))
+_STROKE = re.compile(r"(?<=\w)[!|](?=\w)")
 #: Lengths of word beginnings that may enter the lexicon.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Phrases in which a listed word insults nobody; matched after folding.
@@ -57,7 +59,11 @@ class Model:
 
 
 def fold(text: str) -> str:
-    return text.lower().translate(_FOLD)
+    """Lower case and Latin shapes; a bar or an exclamation mark inside a word is an i."""
+    text = text.lower()
+    if "!" in text or "|" in text:
+        text = _STROKE.sub("i", text)
+    return text.translate(_FOLD)
 
 
 class Matcher:
@@ -278,5 +284,7 @@ def _drop_text(docs: DataFrame, model: Model) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """The documents that are not predicted toxic, with their columns."""
     model = fit(docs, labels, **bounds)
-    name = "_toxicity"
+    name = "toxicity"
+    while name in docs.columns:
+        name += "_"
     return score_column(docs, model, name=name).where(F.col(name) < 0.5).drop(name)
