@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from corpusmill.llm.common import batches_of, require
 
-#: Pieces one Python worker remembers; the table is emptied when it is full.
-CACHED_PIECES = 1_200_000
+#: Stretches one Python worker remembers: two generations of so many; the older goes when the younger is full.
+CACHED = 250_000
 #: A space between two white-space characters (or before the end): the only
 #: place where cutting a text before its spaces could change the pieces.
 _UNSAFE_CUT = regex.compile(r"\s (?:\s|\Z)")
@@ -73,7 +73,7 @@ class Vocabulary:
         """Whether left and right stay two tokens when their bytes are encoded together."""
         known = self.known_pairs.get(left << 32 | right)
         if known is None:
-            if len(self.known_pairs) > 3_000_000:
+            if len(self.known_pairs) > 600_000:
                 self.known_pairs.clear()
             known = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
             self.known_pairs[left << 32 | right] = known
@@ -142,7 +142,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
-        self._pieces: dict[str, tuple[int, ...]] = {}
+        self._young: dict[str, tuple[int, ...]] = {}
+        self._old: dict[str, tuple[int, ...]] = {}
         self.bytes_of = vocabulary.bytes_of
 
     def piece(self, piece: str) -> tuple[int, ...]:
@@ -159,7 +160,7 @@ class Encoder:
         if stretch[1:].isalpha() and (stretch[0] == " " or stretch[0].isalpha()):
             return self.piece(stretch)
         if stretch[-1] in ",.;:!?" and stretch[1:-1].isalpha() and (stretch[0] == " " or stretch[0].isalpha()):
-            return (self._pieces.get(stretch[:-1]) or self.piece(stretch[:-1])) + self.piece(stretch[-1])
+            return (self._young.get(stretch[:-1]) or self.piece(stretch[:-1])) + self.piece(stretch[-1])
         return tuple(i for p in self.pattern.findall(stretch) for i in self.piece(p))
 
     def encode(self, text: str) -> list[int]:
@@ -169,7 +170,7 @@ class Encoder:
         up whole.  Where a cut could part a run of white space that the pattern
         keeps together, the text is taken in one stretch instead.
         """
-        known, ids = self._pieces, []
+        young, old, ids = self._young, self._old, []
         if _UNSAFE_CUT.search(text):
             stretches = self.pattern.findall(text)
         else:
@@ -178,13 +179,13 @@ class Encoder:
             stretches += [" " + x for x in rest]
         add = ids.extend
         for stretch in stretches:
-            found = known.get(stretch)
+            found = young.get(stretch)
             if found is None:
-                found = self._stretch(stretch)
-                if len(known) >= CACHED_PIECES:
-                    known.clear()
+                found = old.get(stretch) or self._stretch(stretch)
+                if len(young) >= CACHED:
+                    self._young, self._old = young, old = {}, young
                 if len(stretch) <= 64:
-                    known[stretch] = found
+                    young[stretch] = found
             add(found)
         return ids
 
