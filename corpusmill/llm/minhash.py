@@ -182,7 +182,9 @@ def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     rows = classes.join(several, "node", "left_semi")
     rows = rows.join(texts, rows["first_id"].eqNullSafe(texts["id"]))
     _with_sets(rows, shingle).write.parquet(f"{folder}/members")
-    members = spark.read.parquet(f"{folder}/members").dropDuplicates(["node"])
+    members = spark.read.parquet(f"{folder}/members")
+    if members.groupBy("node").count().where("count > 1").limit(1).count():  # ids that several rows have
+        members = members.dropDuplicates(["node"])
 
     small, large = F.least("n", "centre_n"), F.greatest("n", "centre_n")
     stars = in_buckets.where((F.col("node") != F.col("centre")) & (100 * small >= percent * large)).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()

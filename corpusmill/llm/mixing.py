@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import WORD, cut, require
 
 #: Documents that fly together in one task.
-BLOCK = 20_000
+BLOCK = 2_000
 #: Sources whose totals the driver works on; more are refused.
 MOST_SOURCES = 100_000
 #: Documents that a flight leaves open, and that the landing rounds together, over all roundings.
