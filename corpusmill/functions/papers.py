@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import let
+
 MONEY = r"\d{1,3}(?:,\d{3})*\.\d{2}"
 QTY = r"^(\d{1,3}(?:,\d{3})+|\d+)(?:\s*([ก-๙A-Za-z.]{1,12}))?$"
 AMBIGUOUS = r"^\d{1,3}\.\d{3}$"
@@ -66,8 +68,8 @@ def role(header: Column | str) -> Column:
 def roles(headers: Column | str) -> Column:
     """role -> column number, of equals the first."""
     known = F.filter(F.transform(_col(headers), lambda h, i: F.struct(role(h).alias("key"), i.alias("value"))), lambda x: x["key"].isNotNull())
-    first = F.filter(known, lambda x, i: F.array_position(F.transform(known, lambda k: k["key"]), x["key"]) == i + 1)
-    return F.map_from_entries(first)
+    first = lambda k: F.filter(k, lambda x, i: F.array_position(F.transform(k, lambda y: y["key"]), x["key"]) == i + 1)
+    return F.map_from_entries(let(known, first))
 
 
 def quantity(cell: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,11 +109,16 @@ def suspicious_phrase(c: Column | str) -> Column:
     return F.try_element_at(F.filter(F.array(*[F.lit(p) for p in SUSPICIOUS]), lambda p: F.contains(low, p)), F.lit(1))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def word_windows(c: Column | str, run: int = RUN) -> Column:
     """Distinct runs of ``run`` lower-cased words; none if there are fewer words."""
     words = F.filter(F.split(F.lower(strip(c)), r"\s+"), lambda x: x != "")
-    starts = F.sequence(F.lit(1), F.size(words) - run + 1)
-    return F.when(F.size(words) >= run, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(run)), " ")))).otherwise(F.array().cast("array<string>"))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - run + 1), lambda i: F.array_join(F.slice(w, i, F.lit(run)), " "))
+    return let(words, lambda w: F.when(F.size(w) >= run, F.array_distinct(runs(w))).otherwise(F.array().cast("array<string>")))
 
 
 def lexemes(c: Column | str) -> Column:

@@ -22,9 +22,9 @@ def check_messages(df: DataFrame, text_col: str, most: int = fn.MAX_MESSAGE) ->
 def verbatim_runs(texts: DataFrame, passages: DataFrame, text_id: str, passage_id: str, run: int = fn.RUN) -> DataFrame:
     """text_id, passage_id, shared_runs: how many runs of words both have.
 
-    Runs meet by their 128-bit digest in an equi join; each side keeps a run once.
+    Runs meet by their 128-bit digest in an equi join; a text has each run once already.
     """
-    digests = lambda df, key: df.select(key, F.explode(fn.word_windows("text", run)).alias("r")).select(key, F.md5("r").alias("run")).distinct()
+    digests = lambda df, key: df.select(key, F.explode(fn.word_windows("text", run)).alias("r")).select(key, F.md5("r").alias("run"))
     return digests(texts, text_id).join(digests(passages, passage_id), "run").groupBy(text_id, passage_id).agg(F.count("*").alias("shared_runs"))
 
 

@@ -94,6 +94,9 @@ def keyword_topk(queries: DataFrame, corpus: DataFrame, most: int) -> DataFrame:
     words = F.filter(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     placed = corpus.select("chunk_id", F.posexplode(words).alias("pos", "word"))
     wanted = placed.join(terms.select("word").distinct(), "word", "left_semi").groupBy("chunk_id", "word").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    found = wanted.join(terms, "word").groupBy("query_id", "chunk_id", "terms").agg(F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("pos"), F.col("term").alias("term"))))).alias("places"), F.count("*").alias("n"))
-    scored = found.where(F.col("n") == F.col("terms")).select("query_id", "chunk_id", F.round(_cover(F.sort_array("places"), F.col("terms")), 9).alias("score"))
+    # which chunks have all words is settled on counts; only theirs are folded
+    full = wanted.select("chunk_id", "word").join(terms, "word").groupBy("query_id", "chunk_id", "terms").agg(F.count("*").alias("n")).where("n = terms").drop("n")
+    found = full.join(terms.drop("terms"), "query_id").join(wanted, ["chunk_id", "word"]).groupBy("query_id", "chunk_id", "terms")
+    found = found.agg(F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("pos"), F.col("term").alias("term"))))).alias("places"))
+    scored = found.select("query_id", "chunk_id", F.round(_cover(F.sort_array("places"), F.col("terms")), 9).alias("score"))
     return ranked(scored, most=most)

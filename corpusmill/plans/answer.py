@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as fn
 from corpusmill.functions import vectors
 from corpusmill.operators import chunking, context, fusion, guard, search
-from corpusmill.sources import parsers
+from corpusmill.sources import parsers, tables
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ def candidates(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy(
 
 def retrieve(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """query_id, place, chunk_id, doc_id, title, page, content, token_count, score: each question's passages in order."""
-    fused = candidates(questions, chunks, policy)
+    fused = tables.written(candidates(questions, chunks, policy))  # some rows a question, read three times below
     held = chunks.select("chunk_id", "doc_id", "title", "page", "content", "token_count", "embedding", "heading_path")
     full = fused.join(held, "chunk_id")
     picks = fusion.diversify(full, policy.relevance, 2 * policy.passages)

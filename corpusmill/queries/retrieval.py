@@ -9,6 +9,7 @@ from corpusmill.functions import text as fn
 from corpusmill.operators import chunking, context, filters, fusion, guard, lifecycle, routing, search
 from corpusmill.plans import answer
 from corpusmill.queries import Registry, Tables
+from corpusmill.sources import tables
 
 R = Registry()
 
@@ -18,7 +19,8 @@ def _questions(t: Tables):
 
 
 def _ingested(t: Tables):
-    return answer.ingest(t.documents.select("doc_id", "text"))
+    """The chunk table: ingestion writes it once, searches read it."""
+    return tables.written(answer.ingest(t.documents.select("doc_id", "text")))
 
 
 @R.query("rag_chunk")

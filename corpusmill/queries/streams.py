@@ -60,7 +60,7 @@ def st_windowed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def st_version_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written in versions; the pointer to the newest complete version comes last."""
-    folder = run.shared(spark)
+    folder = run.shared(spark, "stream")
     docs = run.read_table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3 + 1).alias("version"), F.char_length("text").alias("chars"))
 
     def swap(batch: DataFrame, number: int) -> None:

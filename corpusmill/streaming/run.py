@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; the cluster names where in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from corpusmill.sources.tables import shared
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +18,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that is there now, processed by ``availableNow`` into Parquet, and read back."""
     spark = stream.sparkSession
-    folder = shared(spark)
+    folder = shared(spark, "stream")
     query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -38,7 +31,7 @@ def drain_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
     overwrites itself, so a retry changes nothing.
     """
     spark = stream.sparkSession
-    folder = shared(spark)
+    folder = shared(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
