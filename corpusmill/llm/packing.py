@@ -28,7 +28,9 @@ from corpusmill.llm.bpe import ranks_of
 from corpusmill.llm.common import batches_of, require
 
 #: Documents whose rests are packed together, about.
-GROUP = 4000
+GROUP = 1000
+#: Groups that one task takes at most, on average, whatever the session's partitions.
+GROUPS_A_TASK = 32
 #: Rests of one group that a task holds before it packs them.
 MOST_HELD = 4 * GROUP
 
@@ -148,7 +150,8 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, width: int = 2048,
         raise ValueError("width and ids must fit 16 bits")
     groups = max(1, -(-docs.count() // GROUP))
     chunks = encode_chunks(docs, path, pattern, width, end_id, text_col, id_col, groups)
-    dealt = chunks.repartition("group").sortWithinPartitions("group", "doc_id", "start", "ids")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // GROUPS_A_TASK))
+    dealt = chunks.repartition(tasks, "group").sortWithinPartitions("group", "doc_id", "start", "ids")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, number = None, 0
