@@ -40,6 +40,8 @@ UNWANTED = frozenset(
     header masthead menu nav navbar navigation topbar sidebar sidebars aside rail related recommended recommendations share sharing shares social pager pagination toolbar widget
     widgets search skip hidden""".split()
 )
+#: Those of them that also describe a page's layout ("has-sidebar"): an article inside is kept all the same.
+LAYOUT = frozenset("footer foot header masthead menu nav navbar navigation topbar sidebar sidebars rail search skip social share".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -50,37 +52,42 @@ _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Node:
     __slots__ = ("tag", "parent", "parts", "out", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: "Node | None", out: bool):
+    def __init__(self, tag: str, parent: "Node | None", out: int):
         self.tag, self.parent, self.out = tag, parent, out
         self.parts: list = []  # texts and nodes
         self.score = 0.0
         self.chars = self.linked = 0
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
+def _unwanted(tag: str, attributes: str) -> int:
+    """0 for what stays, 1 for what only a layout word speaks against, 2 for what goes."""
     if tag in LEFT_OUT:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 2
+    if not attributes or tag in ("html", "body", "main"):
+        return 0
+    against = 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
-            if not UNWANTED.isdisjoint(_SPLIT.split(_HUMP.sub("-", value).lower())):
-                return True
+            named = UNWANTED.intersection(_SPLIT.split(_HUMP.sub("-", value).lower()))
+            if tag == "article":  # an article may be called anything but a comment
+                named &= {"comment", "comments", "reply", "replies"}
+            if named:
+                against = max(against, 1 if named <= LAYOUT else 2)
         elif name == "role":
             if value.lower() in ROLES:
-                return True
+                return 2
         elif name == "style":
             if _HIDDEN.search(value):
-                return True
+                return 2
         elif name == "hidden" or value.lower() == "true":
-            return True
-    return False
+            return 2
+    return against
 
 
 def parse(page: str) -> Node:
     """The tree of a page; unclosed and misplaced tags are mended as browsers roughly do."""
-    root = Node("html", None, False)
+    root = Node("html", None, 0)
     at, stack, names = root, [root], ["html"]
     scan, pos, end = _TOKEN.match, 0, len(page)
     while pos < end:
@@ -105,7 +112,7 @@ def parse(page: str) -> Node:
                 stack.pop()
                 at = stack[-1]
             elif tag in BLOCK:
-                at.parts.append(Node("br", at, False))
+                at.parts.append(Node("br", at, 0))
             continue
         if tag in ("html", "body"):
             continue
@@ -120,12 +127,17 @@ def parse(page: str) -> Node:
                     del names[k:], stack[k:]
                     at = stack[-1]
                     break
-        node = Node(tag, at, at.out or _unwanted(tag, attributes))
+        own = _unwanted(tag, attributes)
+        if tag in ("article", "main") and own == 0 and at.out == 1:
+            up = at
+            while up is not None and up.out == 1:
+                up.out, up = 0, up.parent
+        node = Node(tag, at, max(at.out, own))
         at.parts.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, pos)
             pos = close.end() if close else end
-            node.out = True
+            node.out = 2
         elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
             names.append(tag)

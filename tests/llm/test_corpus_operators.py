@@ -194,6 +194,8 @@ PAGE = """<html><body><header><h1>Site</h1></header><div id=menu><a href=#>x</a>
         ("<div style='display: none'>no</div><main><section><p>A, b.</p></section><section><p>C.</p></section></main>", "A, b. C."),
         ("<p>a <!-- <p>no --> b</p", "a b"),
         ("<p title='x > y'>quoted</p>", "quoted"),
+        ("<div class='page has-sidebar'><article><p>Kept, all.</p></article><div class='sidebar'><p>no</p></div></div>", "Kept, all."),
+        ("<article><p>Text, here.</p><section id='comments'><article><p>no, no, no</p></article></section></article><article class='comment'><p>no</p></article>", "Text, here."),
     ],
 )
 def test_pages(page, text):
