@@ -84,7 +84,7 @@ def test_best_fit_decreasing_is_best_fit():
     for _ in range(40):
         width = rng.randint(2, 60)
         lengths = [rng.randint(1, width) for _ in range(rng.randint(0, 80))]
-        rooms, plain = [], []
+        rooms: list[int] = []
         for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
             fits = [(r, k) for k, r in enumerate(rooms) if r >= lengths[item]]
             if fits:
@@ -94,7 +94,6 @@ def test_best_fit_decreasing_is_best_fit():
         rows = packing.best_fit_decreasing(lengths, width)
         assert sorted(i for r in rows for i in r) == list(range(len(lengths)))
         assert sorted(width - sum(lengths[i] for i in r) for r in rows) == sorted(rooms)
-        del plain
 
 
 def test_packing_loses_nothing(spark, reference):
