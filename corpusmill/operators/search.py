@@ -85,18 +85,20 @@ def _cover(placed: Column, terms: Column) -> Column:
 def keyword_topk(queries: DataFrame, corpus: DataFrame, most: int) -> DataFrame:
     """query_id, chunk_id, score, rank of chunks that have all words of a question.
 
-    Words of the corpus meet the questions' words in an equi join; a chunk stays if
-    it has as many different ones as the question.  Scores are cover densities;
-    a question without words finds nothing.
+    A question's rarest word in the corpus leads: only chunks with that word are
+    candidates, so common words never meet in a join; candidates are then checked
+    for all words on arrays.  Scores are cover densities; a question without words,
+    or with a word that no chunk has, finds nothing.
     """
-    terms = queries.select("query_id", fn.lexemes("text").alias("ls")).where(F.size("ls") > 0)
-    terms = terms.select("query_id", F.size("ls").alias("terms"), F.posexplode("ls").alias("term", "word"))
-    words = F.filter(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    placed = corpus.select("chunk_id", F.posexplode(words).alias("pos", "word"))
-    wanted = placed.join(terms.select("word").distinct(), "word", "left_semi").groupBy("chunk_id", "word").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    # which chunks have all words is settled on counts; only theirs are folded
-    full = wanted.select("chunk_id", "word").join(terms, "word").groupBy("query_id", "chunk_id", "terms").agg(F.count("*").alias("n")).where("n = terms").drop("n")
-    found = full.join(terms.drop("terms"), "query_id").join(wanted, ["chunk_id", "word"]).groupBy("query_id", "chunk_id", "terms")
-    found = found.agg(F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("pos"), F.col("term").alias("term"))))).alias("places"))
-    scored = found.select("query_id", "chunk_id", F.round(_cover(F.sort_array("places"), F.col("terms")), 9).alias("score"))
-    return ranked(scored, most=most)
+    asked = queries.select("query_id", fn.lexemes("text").alias("wanted")).where(F.size("wanted") > 0)
+    terms = asked.select("query_id", F.explode("wanted").alias("word"))
+    words = corpus.select("chunk_id", F.explode(fn.lexemes("text")).alias("word"))
+    counts = words.join(terms.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("chunks"))
+    rarest = terms.join(counts, "word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("chunks", F.lit(0)).alias("chunks"), "word")).alias("r"))
+    leads = rarest.where("r.chunks > 0").select("query_id", F.col("r.word").alias("word"))
+    candidates = words.join(leads, "word").select("query_id", "chunk_id").join(asked, "query_id").join(corpus.select("chunk_id", "text"), "chunk_id")
+    in_order = F.filter(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    full = candidates.withColumn("words", in_order).where(F.size(F.array_except("wanted", "words")) == 0)
+    numbered = F.transform("words", lambda w, i: F.struct(i.alias("pos"), (F.array_position("wanted", w) - 1).cast("int").alias("term")))
+    placed = full.select("query_id", "chunk_id", F.filter(numbered, lambda x: x["term"] >= 0).alias("places"), F.size("wanted").alias("terms"))
+    return ranked(placed.select("query_id", "chunk_id", F.round(_cover(F.col("places"), F.col("terms")), 9).alias("score")), most=most)
