@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import io
 import json
-import os
 import struct
 import time
 import uuid
