@@ -30,7 +30,7 @@ def doc_status_class(t: Tables):
     return t.documents.select("doc_id", _status().alias("status")).select("doc_id", "status", (s == "ready").alias("searchable"), (s == "failed").alias("retryable"), (~s.isin("ready", "failed", "deleted")).alias("in_progress"))
 
 
-@R.query("st_progress", f"SELECT doc_id, [5, 10, 30, 50, 70, 90, 100, 0, 0][(doc_id % 9 + 1)::INT] AS progress FROM documents")
+@R.query("st_progress", "SELECT doc_id, [5, 10, 30, 50, 70, 90, 100, 0, 0][(doc_id % 9 + 1)::INT] AS progress FROM documents")
 def st_progress(t: Tables):
     return t.documents.select("doc_id", routing.lookup(routing.PROGRESS, _status()).alias("progress"))
 

@@ -27,8 +27,6 @@ def filter_optional(t: Tables):
     return filters.optional(t.documents, lang="en", source=None).select("doc_id", "lang", "source")
 
 
-_GONE = "CASE WHEN o_orderstatus = 'F' THEN o_orderdate END"
-
 
 @R.query("filter_live", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' OR o_orderdate IS NULL")
 def filter_live(t: Tables):
