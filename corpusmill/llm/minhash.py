@@ -11,14 +11,16 @@
    pairs of bounded blocks, and only pairs near the threshold come out; those are
    confirmed on full sets too.
 
-With 36 bands of 7 coordinates a pair at similarity 0.85 shares no bucket with
-probability 1e-6; the sketch comparison of step 3 loses one with 1e-5.  Nothing
-else is left out: no bucket is capped.
+Bands follow the threshold: a pair at it shares no bucket with probability 1e-6
+(36 bands of 7 coordinates at 0.85, 46 of 6 at 0.8); the sketch comparison of step
+3 loses one with 1e-5.  Nothing else is left out: no bucket is capped.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,32 @@ from corpusmill.llm.common import batches_of, cut, fresh_folder, require
 from corpusmill.llm.components import connected
 from corpusmill.llm.shingles import WordHashes, band_keys, fast_similarity_sketch, overlap, set_digest, shingle_set
 
-BANDS, ROWS_PER_BAND = 36, 7
+#: Coordinates a sketch has at most, and the chance that a pair at the threshold shares no band.
+MOST_COORDINATES, MISSED = 280, 1e-6
 #: Members of a bucket that one task compares with as many others at a time.
 BLOCK = 2000
 
 
-def _sketch_rows(docs: DataFrame, size: int) -> DataFrame:
+class Layout(NamedTuple):
+    bands: int
+    rows: int
+
+    @property
+    def coordinates(self) -> int:
+        return self.bands * self.rows
+
+
+def layout(percent: int) -> Layout:
+    """The longest bands that miss a pair at the threshold no more often than ``MISSED``."""
+    p = min(percent, 99) / 100
+    ways = [Layout(math.ceil(math.log(MISSED) / math.log1p(-(p**rows))), rows) for rows in range(1, MOST_COORDINATES // 2)]
+    fitting = [x for x in ways if x.coordinates <= MOST_COORDINATES]
+    if not fitting:
+        raise ValueError(f"a threshold of {percent} percent needs more than {MOST_COORDINATES} coordinates")
+    return fitting[-1]
+
+
+def _sketch_rows(docs: DataFrame, size: int, cut_as: Layout) -> DataFrame:
     """id, n, set_id and bands of every row; no bands without words."""
     schema = T.StructType([
         T.StructField("id", docs.schema["id"].dataType), T.StructField("n", T.LongType()),
@@ -50,7 +72,7 @@ def _sketch_rows(docs: DataFrame, size: int) -> DataFrame:
                 found = shingle_set(text, hashes, size)
                 n.append(len(found))
                 ids.append(set_digest(found) if len(found) else None)
-                bands.append(band_keys(fast_similarity_sketch(found, BANDS * ROWS_PER_BAND), BANDS).view(np.int64) if len(found) else None)
+                bands.append(band_keys(fast_similarity_sketch(found, cut_as.coordinates), cut_as.bands).view(np.int64) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.field("element", pa.int64())))], names=schema.names
             )
@@ -58,7 +80,7 @@ def _sketch_rows(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _with_sets(rows: DataFrame, size: int) -> DataFrame:
+def _with_sets(rows: DataFrame, size: int, cut_as: Layout) -> DataFrame:
     """node, n, bands, text -> node, n, bands, sketch (a byte a coordinate) and elements; rows of another set of the same id go."""
     schema = T.StructType([
         T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
@@ -73,7 +95,7 @@ def _with_sets(rows: DataFrame, size: int) -> DataFrame:
                 found = shingle_set(text, hashes, size)
                 if len(found) and set_digest(found) == digest:
                     keep.append(at)
-                    sketches.append((fast_similarity_sketch(found, BANDS * ROWS_PER_BAND) & np.uint64(255)).astype(np.uint8).tobytes())
+                    sketches.append((fast_similarity_sketch(found, cut_as.coordinates) & np.uint64(255)).astype(np.uint8).tobytes())
                     sets.append(found.tobytes())
             kept = batch.select([0, 1, 2]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())], names=schema.names)
@@ -89,7 +111,7 @@ def _least_agreement(percent: int, coordinates: int) -> int:
 
 def _agreeing(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sketches agree often enough to be looked at in full."""
-    least = _least_agreement(percent, BANDS * ROWS_PER_BAND)
+    least = _least_agreement(percent, layout(percent).coordinates)
     sketches = members.select("node", "sketch")
     both = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
 
@@ -124,13 +146,13 @@ def _across(unresolved: DataFrame, percent: int) -> DataFrame:
     ``unresolved``: key, i, j (blocks), side, node, label, n, bands, sketch.  A pair comes
     out of the first bucket only that both are in.
     """
-    least = _least_agreement(percent, BANDS * ROWS_PER_BAND)
+    least = _least_agreement(percent, layout(percent).coordinates)
 
     def run(table: pa.Table) -> pa.Table:
         key = table.column("key")[0].as_py()
         same_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         node, label, n, side = (table.column(c).to_numpy() for c in ("node", "label", "n", "side"))
-        bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(node), BANDS)
+        bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(node), -1)
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
         found_a, found_b = [], []
         for at in range(len(node)) if same_block else np.flatnonzero(side == 0):
@@ -160,11 +182,11 @@ def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     other than the two are left out.
     """
     require(docs, id_col, text_col)
-    spark = docs.sparkSession
+    spark, cut_as = docs.sparkSession, layout(percent)
     folder = fresh_folder(spark, "minhash")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    _sketch_rows(texts, shingle).write.parquet(f"{folder}/sketches")
+    _sketch_rows(texts, shingle, cut_as).write.parquet(f"{folder}/sketches")
     sketches = spark.read.parquet(f"{folder}/sketches")
     classes = sketches.where("n > 0").groupBy("set_id").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes.withColumn("node", F.monotonically_increasing_id()).write.parquet(f"{folder}/classes")
@@ -181,7 +203,7 @@ def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     several = in_buckets.select("node").distinct()
     rows = classes.join(several, "node", "left_semi")
     rows = rows.join(texts, rows["first_id"].eqNullSafe(texts["id"]))
-    _with_sets(rows, shingle).write.parquet(f"{folder}/members")
+    _with_sets(rows, shingle, cut_as).write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")
     if members.groupBy("node").count().where("count > 1").limit(1).count():  # ids that several rows have
         members = members.dropDuplicates(["node"])
@@ -211,7 +233,11 @@ def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest id."""
-    kept = near_components(docs, text_col, id_col).where("kept").select(F.col(id_col).alias("_kept")).distinct()
+def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: the one of the smallest id.
+
+    Documents count as copies from ``percent`` on.  Rows that share an id, null
+    included, stay or go together; all columns are kept.  Texts without words stay.
+    """
+    kept = near_components(docs, text_col, id_col, shingle, percent).where("kept").select(F.col(id_col).alias("_kept")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")

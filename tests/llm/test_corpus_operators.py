@@ -92,6 +92,19 @@ def test_op9_against_all_pairs(spark):
     assert got == _plain_components([(d.doc_id, d.text) for d in docs])
 
 
+def test_bands_follow_the_threshold(spark):
+    assert minhash.layout(85) == (36, 7) and minhash.layout(80) == (46, 6)
+    for percent in (50, 80, 85, 95, 100):
+        bands, rows = minhash.layout(percent)
+        assert bands * rows <= minhash.MOST_COORDINATES and (1 - (min(percent, 99) / 100) ** rows) ** bands <= minhash.MISSED
+    with pytest.raises(ValueError):
+        minhash.layout(1)
+    rows = [(i, " ".join([*(f"w{i // 2}_{k}" for k in range(200)), *(f"e{i}_{k}" for k in range(i % 2 * i // 2))])) for i in range(120)]  # pairs from alike to 200 of 259 words
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in minhash.keep_one_of_each(docs).collect())
+    assert kept == sorted({c for _, _, c in _plain_components(rows, 80)}) and kept != sorted({c for _, _, c in _plain_components(rows)})
+
+
 def test_targets():
     assert mixing.targets_of([100, 100, 100], [3, 1, 2]) == [200.0, pytest.approx(250 / 3), pytest.approx(500 / 3)]
     assert mixing.targets_of([0, 10], [3, 1]) == [0, pytest.approx(15.0)]
@@ -265,7 +278,7 @@ def test_pipeline_stages(spark):
             clean = {r.doc_id for r in before.collect() if toxicity.Matcher(model).score(r.text or "") < 0.5}
             assert {r.doc_id for r in docs.collect()} == clean
         elif name == "near_copies":
-            assert {r.doc_id for r in docs.collect()} == {i for i, _, c in _plain_components([(r.doc_id, r.text) for r in before.collect()]) if i == c}
+            assert {r.doc_id for r in docs.collect()} == {i for i, _, c in _plain_components([(r.doc_id, r.text) for r in before.collect()], 80) if i == c}
         elif name == "secrets":
             assert rows == old
         else:
