@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 from corpusmill.llm.common import batches_of, require
 
 #: Stretches one Python worker remembers: two generations of so many; the older goes when the younger is full.
-CACHED = 250_000
+CACHED = 180_000
+#: Pairs of tokens whose test one Python worker remembers.
+KNOWN_PAIRS = 300_000
 #: A space between two white-space characters (or before the end): the only
 #: place where cutting a text before its spaces could change the pieces.
 _UNSAFE_CUT = regex.compile(r"\s (?:\s|\Z)")
@@ -73,7 +75,7 @@ class Vocabulary:
         """Whether left and right stay two tokens when their bytes are encoded together."""
         known = self.known_pairs.get(left << 32 | right)
         if known is None:
-            if len(self.known_pairs) > 600_000:
+            if len(self.known_pairs) >= KNOWN_PAIRS:
                 self.known_pairs.clear()
             known = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
             self.known_pairs[left << 32 | right] = known

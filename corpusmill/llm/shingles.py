@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered up to a bound."""
 
-    MOST = 600_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")

@@ -38,6 +38,8 @@ _FOLD = str.maketrans(LOOK_ALIKE | {chr(0xFF01 + i): chr(0x21 + i) for i in rang
 _STROKE = re.compile(r"(?<=\w)[!|](?=\w)")
 #: Lengths of word beginnings that may enter the lexicon.
 BEGINNINGS = (4, 5, 6, 7, 8)
+#: Terms that a task counts before it hands on what it has.
+TERMS_HELD = 150_000
 #: Phrases in which a listed word insults nobody; matched after folding.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "idiot proof")
 
@@ -160,7 +162,7 @@ def _count_terms(rows: DataFrame, model: Model) -> DataFrame:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not toxic or not matcher.weight(fold(text or "")):
                     counts[toxic].update(_terms(text or "") | {""})
-            if len(counts[0]) + len(counts[1]) > 500_000:
+            if len(counts[0]) + len(counts[1]) > TERMS_HELD:
                 yield from out(counts)
                 counts = (Counter(), Counter())
         yield from out(counts)
