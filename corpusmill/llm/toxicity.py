@@ -170,13 +170,15 @@ def _count_terms(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def _telling(found: DataFrame, most: int, precision: float) -> list[tuple[str, float]]:
+def _telling(found: DataFrame, most: int) -> list[tuple[str, float]]:
     """Terms that toxic rows have too often for chance, given how many terms there are.
 
     For a term in k toxic and n clean rows, with q the toxic share of all rows,
     (k + n) times the divergence of k / (k + n) from q bounds the logarithm of the
     chance; it must outweigh the logarithm of the number of terms that could pass,
-    those in two toxic rows or more.
+    those in two toxic rows or more.  No share of toxic rows is asked for: a term
+    that clean rows have as well weighs less.  The weight is the logarithm of how
+    much more often toxic rows have it.
     """
     total = found.agg(F.count_if(F.col("toxic") >= 2).alias("terms"), F.max("clean").alias("clean"), F.max("toxic").alias("toxic")).first()
     if not total["terms"] or not total["toxic"]:
@@ -186,19 +188,19 @@ def _telling(found: DataFrame, most: int, precision: float) -> list[tuple[str, f
     rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - q))).otherwise(0.0)
     evidence = (F.col("toxic") + F.col("clean")) * (share * F.log(share / q) + rest)
     weight = F.log(((F.col("toxic") + 0.5) / (total["toxic"] + 1)) / ((F.col("clean") + 0.5) / ((total["clean"] or 0) + 1)))
-    kept = found.where((F.col("term") != "") & (F.col("toxic") >= 2) & (share > q) & (share >= precision) & (evidence >= math.log(total["terms"]) + 2))
+    kept = found.where((F.col("term") != "") & (F.col("toxic") >= 2) & (share > q) & (evidence >= math.log(total["terms"]) + 2))
     return [(r["term"], r["weight"]) for r in kept.select("term", weight.alias("weight"), evidence.alias("evidence")).orderBy(F.col("evidence").desc(), "term").limit(most).collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = 6000, most_terms: int = 20000, precision: float = 0.998, rounds: int = 4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = 6000, most_terms: int = 20000, rounds: int = 4) -> Model:
     """Learn the lexicon and the curve.
 
     Bounds: ``most_per_class`` labelled rows of each class, ``most_terms`` lexicon
     entries a round (those with the most evidence).  Rows that look like copies of
-    each other count once.  A term enters if toxic rows have it beyond chance and
-    ``precision`` of the rows that have it are toxic.  Later rounds look at the
-    toxic rows without a hit so far, of which rarer terms stand out.  Without
-    toxic labels the lexicon is empty and every score the same.
+    each other count once.  A term enters if toxic rows have it beyond chance; how
+    much it weighs follows the odds.  Later rounds look at the toxic rows without a
+    hit so far, of which rarer terms stand out.  Without toxic labels the lexicon is
+    empty and every score the same.
     """
     spark = docs.sparkSession
     words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"\s+"))
@@ -208,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = 6000, most_ter
     rows = spark.read.parquet(path)
     model = Model()
     for _ in range(rounds):
-        telling = _telling(_count_terms(rows, model), most_terms, precision)
+        telling = _telling(_count_terms(rows, model), most_terms)
         if not telling:
             break
         model.words |= {t[1:]: w for t, w in telling if t[0] == "="}

@@ -178,6 +178,22 @@ def test_toxicity_rows(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_toxicity_term_survives_a_clean_row(spark):
+    counts = [("", 3000, 300), ("=foulwort", 1, 16), ("=everyday", 1500, 150), ("=rare", 1, 2)]
+    found = dict(toxicity._telling(spark.createDataFrame(counts, "term string, clean long, toxic long"), 10))
+    assert set(found) == {"=foulwort"} and found["=foulwort"] > 1
+
+
+@pytest.mark.parametrize("of_clean", [2, 5])
+def test_toxicity_finds_every_language_at_any_training_size(spark, of_clean):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    some = labels.where((F.col("toxic") == 1) | (F.crc32(F.concat(F.lit("y"), F.col("doc_id")).cast("binary")) % 5 < of_clean))
+    toxic = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id").where(toxicity.held_out())
+    scored = toxicity.score_column(toxic, toxicity.fit(docs, some)).where("lang <> 'en'").collect()
+    assert sum(r.score >= 0.5 for r in scored) / len(scored) > 0.9
+
+
 def test_op8_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     scored = queries.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
