@@ -43,45 +43,63 @@ UNWANTED = frozenset(
 #: Those of them that also describe a page's layout ("has-sidebar"): an article inside is kept all the same.
 LAYOUT = frozenset("footer foot header masthead menu nav navbar navigation topbar sidebar sidebars rail search skip social share".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<""", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Those that name what readers write.
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
+#: A name that begins with one of these tells what its element has ("has-comments"), not what it is.
+TELLS = frozenset("has have with no not without".split())
+#: Levels of Node.out: a layout word, another unwanted word, a word for comments speak against it; it goes for certain.
+LAID_OUT, NAMED, COMMENTED, GONE = 1, 2, 3, 4
+#: One attribute after the other, so that no value is read as a name.
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "parts", "out", "own", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: "Node | None", out: int):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: "Node | None", own: int):
+        self.tag, self.parent, self.own = tag, parent, own
+        self.out = own if parent is None else max(parent.out, own)  # what is in a node goes with it
         self.parts: list = []  # texts and nodes
         self.score = 0.0
         self.chars = self.linked = 0
 
 
+def _named(value: str) -> set[str]:
+    """The unwanted words of a class or id; "hidden" counts alone only, since hidden-print and overflow-hidden are seen."""
+    found: set[str] = set()
+    for name in value.split():
+        words = _SPLIT.split(_HUMP.sub("-", name).lower())
+        if words[0] not in TELLS:
+            found |= UNWANTED.intersection(words) - ({"hidden"} if len(words) > 1 else set())
+    return found
+
+
 def _unwanted(tag: str, attributes: str) -> int:
-    """0 for what stays, 1 for what only a layout word speaks against, 2 for what goes."""
+    """0 for what stays, or how much speaks against it."""
     if tag in LEFT_OUT:
-        return 2
+        return GONE
     if not attributes or tag in ("html", "body", "main"):
         return 0
     against = 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
-            named = UNWANTED.intersection(_SPLIT.split(_HUMP.sub("-", value).lower()))
+            named = _named(value)
             if tag == "article":  # an article may be called anything but a comment
                 named &= {"comment", "comments", "reply", "replies"}
             if named:
-                against = max(against, 1 if named <= LAYOUT else 2)
+                against = max(against, COMMENTED if named & COMMENTS else LAID_OUT if named <= LAYOUT else NAMED)
         elif name == "role":
             if value.lower() in ROLES:
-                return 2
+                return GONE
         elif name == "style":
             if _HIDDEN.search(value):
-                return 2
-        elif name == "hidden" or value.lower() == "true":
-            return 2
+                return GONE
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return GONE
     return against
 
 
@@ -90,6 +108,7 @@ def parse(page: str) -> Node:
     root = Node("html", None, 0)
     at, stack, names = root, [root], ["html"]
     scan, pos, end = _TOKEN.match, 0, len(page)
+    articles = mains = 0  # kept so far
     while pos < end:
         m = scan(page, pos)
         pos = m.end()
@@ -128,16 +147,20 @@ def parse(page: str) -> Node:
                     at = stack[-1]
                     break
         own = _unwanted(tag, attributes)
-        if tag in ("article", "main") and own == 0 and at.out == 1:
-            up = at
-            while up is not None and up.out == 1:
-                up.out, up = 0, up.parent
-        node = Node(tag, at, max(at.out, own))
+        if tag in ("article", "main") and own == 0 and 0 < at.out < GONE:
+            # after an article, one in a box of comments or of related pages is not the page's own
+            if at.out == LAID_OUT or not articles and (at.out == NAMED or not mains):
+                up = at
+                while up is not None and up.out:
+                    up.out, up.own, up = 0, 0, up.parent
+        node = Node(tag, at, own)
+        articles += tag == "article" and not node.out
+        mains += tag == "main" and not node.out
         at.parts.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, pos)
             pos = close.end() if close else end
-            node.out = 2
+            node.own = node.out = GONE
         elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
             names.append(tag)
@@ -145,6 +168,54 @@ def parse(page: str) -> Node:
     return root
 
 
+def _plain(node: Node) -> tuple[int, int]:
+    """Characters outside and inside of links of what is not gone for certain in a node that was put out."""
+    plain = linked = 0
+    todo = [(node, False)]
+    while todo:
+        x, link = todo.pop()
+        link = link or x.tag == "a"
+        for p in x.parts:
+            if type(p) is not str:
+                if p.own < COMMENTED:
+                    todo.append((p, link))
+            elif link:
+                linked += len(p.strip())
+            else:
+                plain += len(p.strip())
+    return plain, linked
+
+
+def _reclaim(root: Node) -> None:
+    """Take back what only its name speaks against where next to nothing else is left.
+
+    Such a box comes back unless it is short or mostly links.
+    """
+    boxes: list[Node] = []
+    left, todo = 0, [root]
+    while todo:
+        x = todo.pop()
+        for p in x.parts:
+            if type(p) is str:
+                left += len(p.strip()) if x.tag != "a" else 0
+            elif not p.out:
+                todo.append(p)
+            elif p.out < COMMENTED:
+                boxes.append(p)
+    sizes = [(box, *_plain(box)) for box in boxes]
+    if sum(plain for _, plain, _ in sizes) < 4 * left:
+        return
+    for box, plain, linked in sizes:
+        if plain < 80 or linked > plain:
+            continue
+        box.own = 0
+        again = [box]
+        while again:
+            x = again.pop()
+            x.out = max(x.parent.out, x.own)
+            again += [p for p in x.parts if type(p) is not str]
+
+
 def _measure(node: Node, in_link: bool, below: list) -> None:
     """Characters and linked characters of every kept node; ``below`` gets the paragraphs."""
     todo = [(node, in_link, False)]
@@ -208,6 +279,7 @@ def main_text(page: str | None) -> str:
     if not page or not page.strip():
         return ""
     root = parse(page)
+    _reclaim(root)
     found: list[Node] = []
     _measure(root, False, found)
     scored: list[Node] = []

@@ -231,6 +231,26 @@ def test_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='elementor-widget-container'><article><p>Kept, all.</p></article></div>", "Kept, all."),
+        ("<div class='content has-comments'><article><p>Kept, all.</p></article></div>", "Kept, all."),
+        ("<div class='hidden-print'><article><p>Kept, all.</p></article></div>", "Kept, all."),
+        ("<div class='promo'><main><p>Kept, all.</p></main></div>", "Kept, all."),
+        ("<article title='The hidden cost'><p>Kept, all.</p><p title=\"a class=comments b\">And this.</p></article>", "Kept, all. And this."),
+        ("<article><p>Kept, all.</p><p data-x='1' hidden>no</p></article>", "Kept, all."),
+        ("<div hidden><article><p>no</p></article></div><p>Kept.</p>", "Kept."),
+        ("<main><p>Kept, all.</p><div id='comments'><article><p>no</p></article></div></main>", "Kept, all."),
+        ("<article><p>Kept, all.</p></article><div class='related'><article><p>no</p></article></div>", "Kept, all."),
+        ("<p>Hi.</p><div class='entry widgets'><p>" + "Long text, kept. " * 20 + "</p><div id='comments'><p>no</p></div></div>", "Long text, kept. " * 20),
+        ("<div class='widget'><p>" + "Long text. " * 20 + "</p></div><article><p>" + "The article, whole. " * 20 + "</p></article>", "The article, whole. " * 20),
+    ],
+)
+def test_pages_whose_boxes_have_unwanted_names(page, text):
+    assert html_extract.main_text(page).removeprefix("Hi. ") == text.strip()
+
+
 def test_page_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "<p>" + "long, text. " * 50_000, None), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     rows = html_extract.extract_pages(pages).collect()
