@@ -26,7 +26,7 @@ from corpusmill.functions import text as fn
 
 #: Source type -> parser, and the limits of a document.
 PARSERS = {"text": "text", "markdown": "markdown", "html": "html", "json": "json", "csv": "csv", "pdf": "pdf", "docx": "docx", "image": "image"}
-LEAST_CHARS, MOST_PAGES, MOST_XML = 32, 2000, 64 << 20
+LEAST_CHARS, MOST_XML = 32, 64 << 20
 
 _BLOCK_FIELDS = [T.StructField("pos", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType())]
 
@@ -241,7 +241,7 @@ def make_docx(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def page_rows(df: DataFrame, id_col: str, pages_col: str) -> DataFrame:
     """id, page (from 1), chars, scanned: whether all pages together have too little text to be more than a scan."""
-    pages = F.slice(F.transform(F.col(pages_col), lambda p: F.char_length(F.trim(p))), 1, MOST_PAGES)
+    pages = F.transform(F.col(pages_col), lambda p: F.char_length(F.trim(p)))
     total = F.aggregate(pages, F.lit(0), lambda a, n: a + n)
     return df.select(id_col, (total < LEAST_CHARS).alias("scanned"), F.posexplode(pages).alias("pos", "chars")).select(id_col, (F.col("pos") + 1).alias("page"), "chars", "scanned")
 

@@ -72,3 +72,9 @@ def test_flattening(spark):
 def test_csv(spark):
     df = spark.createDataFrame([(1, "id;;name", '7;"a;b";x'), (2, "x;y", "1"), (3, "a;id", "; ")], "k int, h string, l string")
     assert {r.k: (r.lines, r.record_key) for r in records.csv_lines(df, ["k"], "h", "l").collect()} == {1: ("id: 7\ncolumn 2: a;b\nname: x", "7"), 2: ("x: 1", "row"), 3: ("", "row")}
+
+
+def test_page_rows_keep_every_page(spark):
+    docs = spark.createDataFrame([(1, [""] * 2000 + ["x" * 40])], "doc_id long, pages array<string>")
+    rows = parsers.page_rows(docs, "doc_id", "pages").collect()
+    assert [r.page for r in rows] == list(range(1, 2002)) and rows[-1].chars == 40 and not any(r.scanned for r in rows)
