@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes that a Python task handles at once, whatever Spark hands over.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+#: A key with more than one of so many parts of all rows is dealt over several tasks.
+HOT = 256
 #: The words of the contracts: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,14 +37,20 @@ def batches_of(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset, as in
-    tests on one machine, a temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset and all runs
+    on one machine, as in tests, a temporary folder is made.  On a cluster without
+    that setting a ValueError says so.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not found:
         found = context._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="corpusmill-")
+        if found.isDefined():
+            found = found.get()
+        elif context.master.split("[")[0] == "local":
+            found = tempfile.mkdtemp(prefix="corpusmill-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(found)
     return found
@@ -58,5 +66,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hot_keys(counts: DataFrame, key: str, rows: str = "rows", total: int | None = None) -> DataFrame:
+    """key, shares: the keys that hold more than a ``HOT``-th of all rows; fewer than ``HOT`` of them.
+
+    ``counts`` has one row a key.  A key's shares follow its part of the rows.
+    """
+    if total is None:
+        total = counts.agg(F.sum(rows)).first()[0] or 0
+    one = max(1, -(-total // HOT))
+    return counts.where(F.col(rows) > one).select(key, F.ceil(F.col(rows) / F.lit(one)).cast("int").alias("shares"))
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key) on ``key``, hot keys dealt over several tasks.
+
+    The rows of a hot key go to one of its shares each, by a hash of the column
+    ``by``; the table's row is copied to every share.  Only ``hot``, of fewer than
+    ``HOT`` rows, is broadcast.
+    """
+    told = F.broadcast(hot.select(key, F.col("shares").alias("_shares")))
+    dealt = rows.join(told, key, "left").withColumn("_share", F.coalesce(F.pmod(F.xxhash64(by), F.col("_shares")), F.lit(0))).drop("_shares")
+    copied = table.join(told, key, "left").withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_shares", F.lit(1)).cast("long") - 1))).drop("_shares")
+    return dealt.withColumn("_share", F.col("_share").cast("long")).join(copied, [key, "_share"], how).drop("_share")
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

@@ -7,9 +7,10 @@
    with the bucket's centre only.  Pairs are confirmed on full sets, and connected
    components are formed.
 3. What is left are pairs of one bucket whose members are still in different
-   components.  They are compared by their sketches inside the bucket's task, in
-   pairs of bounded blocks, and only pairs near the threshold come out; those are
-   confirmed on full sets too.
+   components.  A bucket's members are dealt to bounded blocks, those of its largest
+   component apart; pairs of blocks are compared by sketches, and the members that
+   have a partner are confirmed on full sets in the block's own task.  A block
+   hands on fewer links than it has members, and no pairs.
 
 Bands follow the threshold: a pair at it shares no bucket with probability 1e-6
 (36 bands of 7 coordinates at 0.85, 46 of 6 at 0.8); the sketch comparison of step
@@ -28,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import batches_of, cut, fresh_folder, require
+from corpusmill.llm.common import batches_of, cut, fresh_folder, hot_keys, lookup, require
 from corpusmill.llm.components import connected
 from corpusmill.llm.shingles import WordHashes, band_keys, fast_similarity_sketch, overlap, set_digest, shingle_set
 
 #: Coordinates a sketch has at most, and the chance that a pair at the threshold shares no band.
 MOST_COORDINATES, MISSED = 280, 1e-6
-#: Members of a bucket that one task compares with as many others at a time.
-BLOCK = 2000
+#: Members of a bucket that one task compares with as many others at a time, and shingles that they have together.
+BLOCK, BLOCK_ELEMENTS = 500, 2_000_000
 
 
 class Layout(NamedTuple):
@@ -57,10 +58,16 @@ def layout(percent: int) -> Layout:
     return fitting[-1]
 
 
+def _row_key(id_col: str, text_col: str):
+    """A digest of id and text: rows that share it are equal in both."""
+    known = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null"))
+    return F.unhex(F.md5(F.concat_ws("\0", known, F.coalesce(F.concat(F.lit("="), F.col(text_col)), F.lit("null")))))
+
+
 def _sketch_rows(docs: DataFrame, size: int, cut_as: Layout) -> DataFrame:
-    """id, n, set_id and bands of every row; no bands without words."""
+    """id, row_key, n, set_id and bands of every row; no bands without words."""
     schema = T.StructType([
-        T.StructField("id", docs.schema["id"].dataType), T.StructField("n", T.LongType()),
+        T.StructField("id", docs.schema["id"].dataType), T.StructField("row_key", T.BinaryType()), T.StructField("n", T.LongType()),
         T.StructField("set_id", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
     ])
 
@@ -68,20 +75,20 @@ def _sketch_rows(docs: DataFrame, size: int, cut_as: Layout) -> DataFrame:
         hashes = WordHashes()
         for batch in batches_of(batches):
             n, ids, bands = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 found = shingle_set(text, hashes, size)
                 n.append(len(found))
                 ids.append(set_digest(found) if len(found) else None)
                 bands.append(band_keys(fast_similarity_sketch(found, cut_as.coordinates), cut_as.bands).view(np.int64) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.field("element", pa.int64())))], names=schema.names
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.field("element", pa.int64())))], names=schema.names
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("id", "row_key", "text").mapInArrow(run, schema)
 
 
 def _with_sets(rows: DataFrame, size: int, cut_as: Layout) -> DataFrame:
-    """node, n, bands, text -> node, n, bands, sketch (a byte a coordinate) and elements; rows of another set of the same id go."""
+    """node, n, bands, text -> node, n, bands, sketch (a byte a coordinate) and elements; equal rows that follow one another once."""
     schema = T.StructType([
         T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
         T.StructField("sketch", T.BinaryType()), T.StructField("elements", T.BinaryType()),
@@ -89,18 +96,20 @@ def _with_sets(rows: DataFrame, size: int, cut_as: Layout) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        before = None
         for batch in batches_of(batches):
             keep, sketches, sets = [], [], []
-            for at, (digest, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                found = shingle_set(text, hashes, size)
-                if len(found) and set_digest(found) == digest:
+            for at, (node, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if node != before:
+                    before = node
+                    found = shingle_set(text, hashes, size)
                     keep.append(at)
                     sketches.append((fast_similarity_sketch(found, cut_as.coordinates) & np.uint64(255)).astype(np.uint8).tobytes())
                     sets.append(found.tobytes())
             kept = batch.select([0, 1, 2]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())], names=schema.names)
 
-    return rows.select("node", "n", "bands", "set_id", "text").mapInArrow(run, schema)
+    return rows.select("node", "n", "bands", "text").mapInArrow(run, schema)
 
 
 def _least_agreement(percent: int, coordinates: int) -> int:
@@ -109,65 +118,136 @@ def _least_agreement(percent: int, coordinates: int) -> int:
     return max(1, int(p * coordinates - 4.3 * (coordinates * p * (1 - p)) ** 0.5))
 
 
-def _agreeing(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sketches agree often enough to be looked at in full."""
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    common = overlap(x, y)
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _star_links(stars: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b (b the centre) that hold on their full sets.
+
+    Sketches are compared first; full sets travel only for those that agree often
+    enough.  A centre with very many pairs is dealt over several tasks.
+    """
     least = _least_agreement(percent, layout(percent).coordinates)
-    sketches = members.select("node", "sketch")
-    both = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
+    hot = hot_keys(stars.groupBy("b").agg(F.count("*").alias("rows")), "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, rows=4096):
             same = [int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
 
-    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches):
+            linked = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
+    for column, keep in (("sketch", agreeing), ("elements", confirmed)):
+        both = stars.join(members.select(F.col("node").alias("a"), F.col(column).alias("of_a")), "a")
+        both = lookup(both, members.select(F.col("node").alias("b"), F.col(column).alias("of_b")), "b", hot, "a")
+        stars = both.select("a", "b", "of_a", "of_b").mapInArrow(keep, "a long, b long")
+    return stars
+
+
+class _Block:
+    """The rows of one (key, i, j): the members of a block, or of two that are compared with each other."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        self.key, self.percent = table.column("key")[0].as_py(), percent
+        self.least = _least_agreement(percent, layout(percent).coordinates)
+        self.within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        self.node, self.label, self.n, self.side = (table.column(c).to_numpy() for c in ("node", "label", "n", "side"))
+        self.bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(self.node), -1)
+        self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(self.node), -1)
+
+    def partners(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Row by row the others of other labels that agree with it often enough, if this bucket is the first that both are in."""
+        for at in range(len(self.node)) if self.within else np.flatnonzero(self.side == 1):
+            others = np.flatnonzero((self.node > self.node[at]) if self.within else (self.side == 0))
+            small, large = np.minimum(self.n[others], self.n[at]), np.maximum(self.n[others], self.n[at])
+            others = others[(self.label[others] != self.label[at]) & (100 * small >= self.percent * large)]
+            others = others[(self.sketch[others] == self.sketch[at]).sum(1) >= self.least]
+            if len(others):
+                first = (self.bands[others] == self.bands[at]).argmax(1)
+                others = others[self.bands[at][first] == self.key]
+                if len(others):
+                    yield at, others
 
-def _confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs that hold on their full sets: 100 * intersection >= percent * union."""
-    sets = members.select("node", "elements")
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches):
-            linked = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = overlap(x, y)
-                linked.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+def _with_partners(blocks: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``blocks`` that have a partner in their block: at most all of them, never their pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        seen = np.zeros(table.num_rows, bool)
+        for at, others in _Block(table, percent).partners():
+            seen[at] = True
+            seen[others] = True
+        return table.filter(pa.array(seen, pa.bool_()))
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return blocks.groupBy("key", "i", "j").applyInArrow(run, blocks.schema)
 
 
-def _across(unresolved: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket, of different components, that agree often enough by their sketches.
+def _links_of_blocks(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links between components, confirmed on full sets in the block's own task.
 
-    ``unresolved``: key, i, j (blocks), side, node, label, n, bands, sketch.  A pair comes
-    out of the first bucket only that both are in.
+    A pair is looked at unless its two ends are joined in this block already, so that
+    a block gives fewer links than it has rows, however many pairs it has.
     """
-    least = _least_agreement(percent, layout(percent).coordinates)
 
     def run(table: pa.Table) -> pa.Table:
-        key = table.column("key")[0].as_py()
-        same_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        node, label, n, side = (table.column(c).to_numpy() for c in ("node", "label", "n", "side"))
-        bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(node), -1)
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        block = _Block(table, percent)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("elements").to_pylist()]
+        above: dict[int, int] = {}
+
+        def top(label: int) -> int:
+            while label in above:
+                label = above[label]
+            return label
+
         found_a, found_b = [], []
-        for at in range(len(node)) if same_block else np.flatnonzero(side == 0):
-            others = np.flatnonzero((node > node[at]) if same_block else (side == 1))
-            small, large = np.minimum(n[others], n[at]), np.maximum(n[others], n[at])
-            others = others[(label[others] != label[at]) & (100 * small >= percent * large)]
-            others = others[(sketch[others] == sketch[at]).sum(1) >= least]
-            if len(others):
-                first = (bands[others] == bands[at]).argmax(1)
-                others = others[bands[at][first] == key]
-                found_a += [min(node[at], x) for x in node[others]]
-                found_b += [max(node[at], x) for x in node[others]]
+        for at, others in block.partners():
+            own = top(int(block.label[at]))
+            for other in others:
+                theirs = top(int(block.label[other]))
+                if theirs != own and _linked(sets[at], sets[other], percent):
+                    above[theirs] = own
+                    found_a.append(min(block.node[at], block.node[other]))
+                    found_b.append(max(block.node[at], block.node[other]))
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
-    return unresolved.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return blocks.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _blocks_of(labelled: DataFrame, hot: DataFrame) -> DataFrame:
+    """key, i, j, side, node, label of the buckets (key, node, n, label) that hold several components.
+
+    The largest component of a bucket needs no comparison within itself: its members
+    are dealt to blocks of their own (i < 0), each of which meets the blocks of all
+    others (j >= 0); those meet each other too.  So a bucket of one large component
+    and a few others costs what the others cost.
+    """
+    parts = labelled.groupBy("key", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("elements"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("rows", "label", "elements")).alias("main"), F.sum("rows").alias("rows"), F.sum("elements").alias("elements"), F.count("*").alias("parts")).where("parts > 1")
+
+    def blocks(rows, elements):
+        return F.greatest(F.ceil(rows / F.lit(BLOCK)), F.ceil(elements / F.lit(BLOCK_ELEMENTS))).cast("int")
+
+    mixed = mixed.select(
+        "key", F.col("main.label").alias("main"), blocks(F.col("main.rows"), F.col("main.elements")).alias("mains"),
+        blocks(F.col("rows") - F.col("main.rows"), F.col("elements") - F.col("main.elements")).alias("others"),
+    )
+    left = lookup(labelled, mixed, "key", hot, "node")
+    is_main = F.col("label") == F.col("main")
+    own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    left = left.withColumn("own", own)
+    place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    to_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda x: place(F.least(x, "own"), F.greatest(x, "own"), F.col("own") > x))
+    of_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda x: place(-1 - F.col("own"), x, F.lit(0)))
+    to_mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda x: place(-1 - x, F.col("own"), F.lit(1)))
+    return left.select("key", "node", "label", F.explode(F.when(is_main, of_main).otherwise(F.concat(to_others, to_mains))).alias("at")).select("key", "at.i", "at.j", "at.side", "node", "label")
 
 
 def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, percent: int = 85) -> DataFrame:
@@ -178,66 +258,77 @@ def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     it is the row's own.  Texts with fewer words than a shingle are one shingle; null
     and empty texts and texts of white space have no shingles and are linked with
     nothing.  Rows that share an id are separate documents of that id; a null id
-    counts as larger than any other.  An empty table gives an empty result; columns
-    other than the two are left out.
+    counts as larger than any other, and ids of any type that has an order will do.
+    An empty table gives an empty result; columns other than the two are left out.
     """
     require(docs, id_col, text_col)
+    rows = _components(docs, text_col, id_col, shingle, percent)
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _components(docs: DataFrame, text_col: str, id_col: str, shingle: int, percent: int) -> DataFrame:
+    """id, row_key, n, component_id and first_key (the row key of the component's first row) of every row."""
     spark, cut_as = docs.sparkSession, layout(percent)
     folder = fresh_folder(spark, "minhash")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    _sketch_rows(texts, shingle, cut_as).write.parquet(f"{folder}/sketches")
-    sketches = spark.read.parquet(f"{folder}/sketches")
-    classes = sketches.where("n > 0").groupBy("set_id").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes.withColumn("node", F.monotonically_increasing_id()).write.parquet(f"{folder}/classes")
-    classes = spark.read.parquet(f"{folder}/classes")
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("row_key"))
+    sketches = written(_sketch_rows(texts, shingle, cut_as), "sketches")
+    rank = F.struct(F.col("id").isNull().alias("unknown"), "id", "row_key")
+    classes = sketches.where("n > 0").groupBy("set_id").agg(F.min(rank).alias("first"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    # buckets of several classes, with their members
-    order = F.struct(F.coalesce(F.col("first_id").cast("long"), F.lit(2**63 - 1)).alias("first_id"), "node", "n")
-    placed = classes.select("node", "n", order.alias("order"), F.explode("bands").alias("key"))
+    # buckets of several classes, with their members; a bucket's centre is its first class
+    placed = classes.select("node", "n", F.struct("first", "node", "n").alias("order"), F.explode("bands").alias("key"))
     buckets = placed.groupBy("key").agg(F.min("order").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    placed.select("key", "node", "n").join(buckets.select("key", "size", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n")), "key").write.parquet(f"{folder}/buckets")
-    in_buckets = spark.read.parquet(f"{folder}/buckets")
+    buckets = written(buckets.select("key", "size", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n")), "centres")
+    hot = hot_keys(buckets, "key", "size")
+    in_buckets = written(lookup(placed.select("key", "node", "n"), buckets, "key", hot, "node"), "buckets")
 
     # sets of the classes that are in such buckets
     several = in_buckets.select("node").distinct()
-    rows = classes.join(several, "node", "left_semi")
-    rows = rows.join(texts, rows["first_id"].eqNullSafe(texts["id"]))
-    _with_sets(rows, shingle, cut_as).write.parquet(f"{folder}/members")
-    members = spark.read.parquet(f"{folder}/members")
-    if members.groupBy("node").count().where("count > 1").limit(1).count():  # ids that several rows have
+    firsts = classes.join(several, "node", "left_semi").select("node", "n", "bands", F.col("first.row_key").alias("row_key"))
+    members = written(_with_sets(firsts.join(texts.select("row_key", "text"), "row_key"), shingle, cut_as), "members")
+    if members.groupBy("node").count().where("count > 1").limit(1).count():  # equal rows that did not meet in one task
         members = members.dropDuplicates(["node"])
 
     small, large = F.least("n", "centre_n"), F.greatest("n", "centre_n")
     stars = in_buckets.where((F.col("node") != F.col("centre")) & (100 * small >= percent * large)).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    links = cut(_confirmed(_agreeing(stars, members, percent), members, percent))
+    links = cut(_star_links(cut(stars), members, percent))
     labels = connected(links)
 
-    # buckets that still hold several components
-    labelled = in_buckets.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    left = labelled.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("own", own)
-    left = left.select("key", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    left = left.select("key", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    more = _across(left.join(members.select("node", "n", "bands", "sketch"), "node"), percent).distinct()
-    links = links.unionByName(_confirmed(cut(more), members, percent))
-    labels = connected(cut(links))
-
-    named = classes.join(labels, "node", "left").select("set_id", "first_id", F.coalesce("label", "node").alias("label"))
-    lowest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_set = named.join(lowest, "label").select("set_id", "component_id")
-    found = sketches.select("id", "n", "set_id").join(of_set, "set_id", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    # pairs of buckets that still hold several components
+    labelled = cut(in_buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")))
+    blocks = _blocks_of(labelled, hot).join(members.select("node", "n", "bands", "sketch"), "node")
+    involved = cut(_with_partners(blocks, percent))
+    more = _links_of_blocks(involved.join(members.select("node", "elements"), "node"), percent)
+    links = cut(links.unionByName(more))
+    labels = connected(links)
+
+    named = cut(classes.join(labels, "node", "left").select("set_id", "rows", "first", F.coalesce("label", "node").alias("label")))
+    lowest = named.groupBy("label").agg(F.min("first").alias("lowest"), F.count("*").alias("classes"))
+    of_set = lookup(named, lowest, "label", hot_keys(lowest, "label", "classes"), "set_id")
+    of_set = of_set.select("set_id", F.col("lowest.id").alias("component_id"), F.col("lowest.row_key").alias("first_key"))
+    # a set that very many rows have is dealt over several tasks, and rows without one are not joined at all
+    found = lookup(sketches.where("n > 0").select("id", "row_key", "n", "set_id"), of_set, "set_id", hot_keys(named, "set_id"), "row_key")
+    return found.select("id", "row_key", "n", "component_id", "first_key").unionByName(
+        sketches.where("n = 0").select("id", "row_key", "n", F.col("id").alias("component_id"), F.col("row_key").alias("first_key"))
+    )
 
 
 def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest id.
+    """``docs`` with one row of each component: the first by id, null last, then by a digest of the text.
 
-    Documents count as copies from ``percent`` on.  Rows that share an id, null
-    included, stay or go together; all columns are kept.  Texts without words stay.
+    Documents count as copies from ``percent`` on.  Texts without words are linked with
+    nothing; of rows equal in id and text one stays all the same.  All columns are
+    kept; an empty table gives an empty one.
     """
-    kept = near_components(docs, text_col, id_col, shingle, percent).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    require(docs, id_col, text_col)
+    rows = _components(docs, text_col, id_col, shingle, percent)
+    kept = rows.select(F.col("first_key").alias("_kept")).distinct()
+    # the document rides along as one column, so that its own columns cannot clash
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), _row_key(id_col, text_col).alias("_key"))
+    return keyed.join(kept, F.col("_key") == F.col("_kept"), "left_semi").groupBy("_key").agg(F.first("doc").alias("doc")).select("doc.*")
