@@ -19,6 +19,7 @@ Bands follow the threshold: a pair at it shares no bucket with probability 1e-6
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -37,6 +38,8 @@ from corpusmill.llm.shingles import WordHashes, band_keys, fast_similarity_sketc
 MOST_COORDINATES, MISSED = 280, 1e-6
 #: Members of a bucket that one task compares with as many others at a time, and shingles that they have together.
 BLOCK, BLOCK_ELEMENTS = 500, 2_000_000
+#: Pairs of sketches that are compared at once.
+PAIRS = 1 << 14
 
 
 class Layout(NamedTuple):
@@ -152,42 +155,72 @@ def _star_links(stars: DataFrame, members: DataFrame, percent: int) -> DataFrame
     return stars
 
 
-class _Block:
-    """The rows of one (key, i, j): the members of a block, or of two that are compared with each other."""
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups (key, i, j) from rows sorted by them, and where each group begins; the end is the last number."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        table = pa.Table.from_batches([*held, batch])
+        at = [table.column(c).to_numpy() for c in ("key", "i", "j")]
+        begins = (np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1).tolist()
+        if begins:
+            yield table.slice(0, begins[-1]), [0, *begins]
+            table = table.slice(begins[-1])
+        held = table.to_batches()
+    if held and sum(x.num_rows for x in held):
+        table = pa.Table.from_batches(held)
+        yield table, [0, table.num_rows]
+
+
+class _Blocks:
+    """Rows of some (key, i, j): of each, the members of a block or of two that are compared with each other."""
 
     def __init__(self, table: pa.Table, percent: int):
-        self.key, self.percent = table.column("key")[0].as_py(), percent
-        self.least = _least_agreement(percent, layout(percent).coordinates)
-        self.within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        self.node, self.label, self.n, self.side = (table.column(c).to_numpy() for c in ("node", "label", "n", "side"))
+        self.percent, self.least = percent, _least_agreement(percent, layout(percent).coordinates)
+        self.key, self.i, self.j, self.side, self.node, self.label, self.n = (table.column(c).to_numpy() for c in ("key", "i", "j", "side", "node", "label", "n"))
         self.bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(self.node), -1)
         self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(self.node), -1)
 
-    def partners(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Row by row the others of other labels that agree with it often enough, if this bucket is the first that both are in."""
-        for at in range(len(self.node)) if self.within else np.flatnonzero(self.side == 1):
-            others = np.flatnonzero((self.node > self.node[at]) if self.within else (self.side == 0))
-            small, large = np.minimum(self.n[others], self.n[at]), np.maximum(self.n[others], self.n[at])
-            others = others[(self.label[others] != self.label[at]) & (100 * small >= self.percent * large)]
-            others = others[(self.sketch[others] == self.sketch[at]).sum(1) >= self.least]
-            if len(others):
-                first = (self.bands[others] == self.bands[at]).argmax(1)
-                others = others[self.bands[at][first] == self.key]
-                if len(others):
-                    yield at, others
+    def partners(self, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows of one group that are of different labels and agree often enough, if this bucket is the first that both are in."""
+        within = self.i[start] == self.j[start]
+        rows = np.arange(start, end)
+        left, right = (rows, rows) if within else (rows[self.side[start:end] == 1], rows[self.side[start:end] == 0])
+        step = max(1, PAIRS // max(1, len(right)))
+        for at in range(0, len(left), step):
+            x = left[at : at + step, None]
+            small, large = np.minimum(self.n[x], self.n[right]), np.maximum(self.n[x], self.n[right])
+            meet = (self.label[x] != self.label[right]) & (100 * small >= self.percent * large)
+            if within:
+                meet &= self.node[x] < self.node[right]
+            which, others = np.nonzero(meet)
+            a, b = x[which, 0], right[others]
+            for k in range(0, len(a), PAIRS):
+                some_a, some_b = a[k : k + PAIRS], b[k : k + PAIRS]
+                alike = (self.sketch[some_a] == self.sketch[some_b]).sum(1) >= self.least
+                some_a, some_b = some_a[alike], some_b[alike]
+                first = (self.bands[some_a] == self.bands[some_b]).argmax(1)
+                here = self.bands[some_a, first] == self.key[start]
+                if here.any():
+                    yield some_a[here], some_b[here]
+
+
+def _by_group(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def _with_partners(blocks: DataFrame, percent: int) -> DataFrame:
     """The rows of ``blocks`` that have a partner in their block: at most all of them, never their pairs."""
 
-    def run(table: pa.Table) -> pa.Table:
-        seen = np.zeros(table.num_rows, bool)
-        for at, others in _Block(table, percent).partners():
-            seen[at] = True
-            seen[others] = True
-        return table.filter(pa.array(seen, pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in _whole_groups(batches):
+            found, seen = _Blocks(table, percent), np.zeros(table.num_rows, bool)
+            for start, end in itertools.pairwise(begins):
+                for a, b in found.partners(start, end):
+                    seen[a] = True
+                    seen[b] = True
+            yield from table.filter(pa.array(seen, pa.bool_())).to_batches()
 
-    return blocks.groupBy("key", "i", "j").applyInArrow(run, blocks.schema)
+    return _by_group(blocks).mapInArrow(run, blocks.schema)
 
 
 def _links_of_blocks(blocks: DataFrame, percent: int) -> DataFrame:
@@ -197,28 +230,29 @@ def _links_of_blocks(blocks: DataFrame, percent: int) -> DataFrame:
     a block gives fewer links than it has rows, however many pairs it has.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        block = _Block(table, percent)
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("elements").to_pylist()]
-        above: dict[int, int] = {}
-
-        def top(label: int) -> int:
-            while label in above:
-                label = above[label]
-            return label
-
-        found_a, found_b = [], []
-        for at, others in block.partners():
-            own = top(int(block.label[at]))
-            for other in others:
-                theirs = top(int(block.label[other]))
-                if theirs != own and _linked(sets[at], sets[other], percent):
-                    above[theirs] = own
-                    found_a.append(min(block.node[at], block.node[other]))
-                    found_b.append(max(block.node[at], block.node[other]))
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
-
-    return blocks.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in _whole_groups(batches):
+            found, elements = _Blocks(table, percent), table.column("elements")
+            for start, end in itertools.pairwise(begins):
+                sets = [np.frombuffer(x, np.uint64) for x in elements.slice(start, end - start).to_pylist()]
+                above: dict[int, int] = {}
+
+                def top(label: int, above: dict[int, int] = above) -> int:
+                    while label in above:
+                        label = above[label]
+                    return label
+
+                links: list[tuple[int, int]] = []
+                for a, b in found.partners(start, end):
+                    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                        own, theirs = top(int(found.label[x])), top(int(found.label[y]))
+                        if theirs != own and _linked(sets[x - start], sets[y - start], percent):
+                            above[theirs] = own
+                            links.append((int(found.node[x]), int(found.node[y])))
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+    return _by_group(blocks).mapInArrow(run, "a long, b long")
 
 
 def _blocks_of(labelled: DataFrame, hot: DataFrame) -> DataFrame:
@@ -227,7 +261,7 @@ def _blocks_of(labelled: DataFrame, hot: DataFrame) -> DataFrame:
     The largest component of a bucket needs no comparison within itself: its members
     are dealt to blocks of their own (i < 0), each of which meets the blocks of all
     others (j >= 0); those meet each other too.  So a bucket of one large component
-    and a few others costs what the others cost.
+    and a few others costs what the others cost.  A bucket that fits one block is one.
     """
     parts = labelled.groupBy("key", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("elements"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("rows", "label", "elements")).alias("main"), F.sum("rows").alias("rows"), F.sum("elements").alias("elements"), F.count("*").alias("parts")).where("parts > 1")
@@ -235,19 +269,20 @@ def _blocks_of(labelled: DataFrame, hot: DataFrame) -> DataFrame:
     def blocks(rows, elements):
         return F.greatest(F.ceil(rows / F.lit(BLOCK)), F.ceil(elements / F.lit(BLOCK_ELEMENTS))).cast("int")
 
+    small = (F.col("rows") <= BLOCK) & (F.col("elements") <= BLOCK_ELEMENTS)
     mixed = mixed.select(
-        "key", F.col("main.label").alias("main"), blocks(F.col("main.rows"), F.col("main.elements")).alias("mains"),
-        blocks(F.col("rows") - F.col("main.rows"), F.col("elements") - F.col("main.elements")).alias("others"),
+        "key", F.when(~small, F.col("main.label")).alias("main"), blocks(F.col("main.rows"), F.col("main.elements")).alias("mains"),
+        F.when(small, 1).otherwise(blocks(F.col("rows") - F.col("main.rows"), F.col("elements") - F.col("main.elements"))).alias("others"),
     )
     left = lookup(labelled, mixed, "key", hot, "node")
-    is_main = F.col("label") == F.col("main")
+    is_main = F.col("label").eqNullSafe(F.col("main"))
     own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
     left = left.withColumn("own", own)
     place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
     to_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda x: place(F.least(x, "own"), F.greatest(x, "own"), F.col("own") > x))
     of_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda x: place(-1 - F.col("own"), x, F.lit(0)))
     to_mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda x: place(-1 - x, F.col("own"), F.lit(1)))
-    return left.select("key", "node", "label", F.explode(F.when(is_main, of_main).otherwise(F.concat(to_others, to_mains))).alias("at")).select("key", "at.i", "at.j", "at.side", "node", "label")
+    return left.select("key", "node", "label", F.explode(F.when(is_main, of_main).when(F.col("main").isNull(), to_others).otherwise(F.concat(to_others, to_mains))).alias("at")).select("key", "at.i", "at.j", "at.side", "node", "label")
 
 
 def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, percent: int = 85) -> DataFrame:
