@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,18 +68,21 @@ class Node:
         self.chars = self.linked = 0
 
 
-def _named(value: str) -> set[str]:
-    """The unwanted words of a class or id; "hidden" counts alone only, since hidden-print and overflow-hidden are seen."""
+def _named(value: str, alone: bool) -> set[str]:
+    """The unwanted words of a class or id; "hidden" counts alone only, since hidden-print and overflow-hidden are seen.
+
+    ``alone``: no word counts as a part of a name.
+    """
     found: set[str] = set()
     for name in value.split():
         words = _SPLIT.split(_HUMP.sub("-", name).lower())
-        if words[0] not in TELLS:
+        if words[0] not in TELLS and not (alone and len(words) > 1):
             found |= UNWANTED.intersection(words) - ({"hidden"} if len(words) > 1 else set())
     return found
 
 
-def _unwanted(tag: str, attributes: str) -> int:
-    """0 for what stays, or how much speaks against it."""
+def _unwanted(tag: str, attributes: str, in_article: bool) -> int:
+    """0 for what stays, or how much speaks against it; a paragraph of an article goes for a whole name only."""
     if tag in LEFT_OUT:
         return GONE
     if not attributes or tag in ("html", "body", "main"):
@@ -87,7 +91,7 @@ def _unwanted(tag: str, attributes: str) -> int:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
-            named = _named(value)
+            named = _named(value, in_article and tag in PARAGRAPH)
             if tag == "article":  # an article may be called anything but a comment
                 named &= {"comment", "comments", "reply", "replies"}
             if named:
@@ -107,6 +111,12 @@ def parse(page: str) -> Node:
     """The tree of a page; unclosed and misplaced tags are mended as browsers roughly do."""
     root = Node("html", None, 0)
     at, stack, names = root, [root], ["html"]
+    held: Counter[str] = Counter()  # open elements by name
+
+    def shut(down_to: int) -> None:
+        held.subtract(names[down_to:])
+        del names[down_to:], stack[down_to:]
+
     scan, pos, end = _TOKEN.match, 0, len(page)
     articles = mains = 0  # kept so far
     while pos < end:
@@ -123,12 +133,11 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if closing:
-            if tag in names[1:]:
-                while names[-1] != tag:
-                    names.pop()
-                    stack.pop()
-                names.pop()
-                stack.pop()
+            if held[tag]:
+                k = len(names) - 1
+                while names[k] != tag:
+                    k -= 1
+                shut(k)
                 at = stack[-1]
             elif tag in BLOCK:
                 at.parts.append(Node("br", at, 0))
@@ -136,17 +145,17 @@ def parse(page: str) -> Node:
         if tag in ("html", "body"):
             continue
         ended, until = ENDS.get(tag, ((), ()))
-        if tag in BLOCK and "p" in names:
+        if tag in BLOCK and held["p"]:
             ended, until = {"p", *ended}, {"table", "td", "th", "caption", "button", "object", *until}
-        if ended:
+        if any(held[x] for x in ended):
             for k in range(len(names) - 1, 0, -1):
                 if names[k] in until:
                     break
                 if names[k] in ended:
-                    del names[k:], stack[k:]
+                    shut(k)
                     at = stack[-1]
                     break
-        own = _unwanted(tag, attributes)
+        own = _unwanted(tag, attributes, held["article"] + held["main"] > 0)
         if tag in ("article", "main") and own == 0 and 0 < at.out < GONE:
             # after an article, one in a box of comments or of related pages is not the page's own
             if at.out == LAID_OUT or not articles and (at.out == NAMED or not mains):
@@ -164,6 +173,7 @@ def parse(page: str) -> Node:
         elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
             names.append(tag)
+            held[tag] += 1
             at = node
     return root
 

@@ -322,3 +322,18 @@ def test_pipeline_stages(spark):
             assert rows == plan.agg(F.sum("copies")).first()[0]
     encoded = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert encoded.count() == docs.count()
+
+
+def test_a_name_is_no_part_of_a_paragraph_s_class():
+    page = "<article><p>Kept, all.</p><p class='notice-text'>And this.</p><p class='promoted-by-all'>This too.</p><p class='notice'>no</p><div class='share-buttons'>no</div></article>"
+    assert html_extract.main_text(page) == "Kept, all. And this. This too."
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    n = 60_000
+    assert html_extract.main_text("<div>" * n + "<p>Deep, but here.</p>" + "</div>" * n) == "Deep, but here."
+    assert html_extract.main_text("<p>" + "<span>" * n + "Deep, but here." + "</span>" * n) == "Deep, but here."
+    assert time.perf_counter() - began < 30
