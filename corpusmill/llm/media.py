@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import re
 import struct
 import time
 import uuid
@@ -37,7 +38,9 @@ from corpusmill.llm.common import batches_of, fresh_folder, require
 WIDTH, PAD = 576, 255
 FORMAT = "media_archive"
 _PNG = b"\x89PNG\r\n\x1a\n"
-_MANIFEST = "_committed.json"
+_MANIFEST = re.compile(r"_committed-[0-9a-f]{32}\.json")  # one a write job
+#: The member name of a null id; other ids carry a mark in front, so that none reads like it.
+_NULL, _MARK = "null", "="
 STORED = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("n_bytes", T.LongType()),
@@ -103,6 +106,10 @@ class Written(WriterCommitMessage):
     members: int
 
 
+def _manifests(store: fs.FileSystem, folder: str) -> list[str]:
+    return sorted(i.path for i in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if _MANIFEST.fullmatch(i.base_name))
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -113,8 +120,10 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         """Byte ranges of the archives that were committed; only names and sizes pass here."""
         store, folder = filesystem(self.path)
-        with store.open_input_stream(f"{folder}/{_MANIFEST}") as f:
-            names = json.loads(f.read())
+        names = []
+        for manifest in _manifests(store, folder):
+            with store.open_input_stream(manifest) as f:
+                names += json.loads(f.read())
         infos = store.get_file_info([f"{folder}/{n}" for n in names]) if names else []
         found = []
         for info in infos:
@@ -160,7 +169,7 @@ class ArchiveReader(DataSourceReader):
                     raise ValueError("checksum of the member")
                 payload, n_bytes = from_png(png)
                 name = member.filename.rpartition(".")[0]
-                return (None if name == "null" else name, n_bytes, payload, len(png), hashlib.sha256(png).hexdigest())
+                return (None if name == _NULL else name.removeprefix(_MARK), n_bytes, payload, len(png), hashlib.sha256(png).hexdigest())
             except (OSError, ValueError, zlib.error) as error:
                 if attempt + 1 == self.tries:
                     raise RuntimeError(f"{path}, member {member.filename} at {member.header_offset}: {error}") from error
@@ -174,10 +183,14 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """One archive a task; only those of successful attempts enter the manifest."""
+    """One archive a task; only those of successful attempts enter the manifest of the job.
 
-    def __init__(self, options):
-        self.path = options["path"]
+    A job that appends adds a manifest of its own; one that overwrites removes the
+    manifests before it, and then their archives.
+    """
+
+    def __init__(self, options, overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, folder = filesystem(self.path)
@@ -187,7 +200,7 @@ class ArchiveWriter(DataSourceArrowWriter):
             for batch in batches_of(batches):
                 for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     data = data or b""
-                    entry = zipfile.ZipInfo(f"{'null' if key is None else key}.png", (1980, 1, 1, 0, 0, 0))
+                    entry = zipfile.ZipInfo(f"{_NULL if key is None else _MARK + key}.png", (1980, 1, 1, 0, 0, 0))
                     archive.writestr(entry, to_png(padded(data), len(data)))
                     members += 1
         if not members:
@@ -197,8 +210,15 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, folder = filesystem(self.path)
         store.create_dir(folder, recursive=True)
-        with store.open_output_stream(f"{folder}/{_MANIFEST}") as f:
+        before = _manifests(store, folder) if self.overwrite else []
+        with store.open_output_stream(f"{folder}/_committed-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(sorted(m.name for m in messages if m is not None and m.members)).encode())
+        for manifest in before:
+            with store.open_input_stream(manifest) as f:
+                names = json.loads(f.read())
+            store.delete_file(manifest)
+            for name in names:
+                store.delete_file(f"{folder}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         store, folder = filesystem(self.path)
@@ -236,18 +256,19 @@ class MediaArchive(DataSource):
         return ArchiveReader(self.options)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options)
+        return ArchiveWriter(self.options, overwrite)
 
 
-def store_texts(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> None:
+def store_texts(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", mode: str = "append") -> None:
     """Write every text's UTF-8 bytes as a member of an archive under ``path``.
 
     A null text counts as empty; a null id is kept as null; rows with the same id
-    are members of the same name at different offsets.  Nothing is shuffled.
+    are members of the same name at different offsets.  ``mode`` is append, which
+    keeps what other jobs have stored there, or overwrite.  Nothing is shuffled.
     """
     require(docs, id_col, text_col)
     docs.sparkSession.dataSource.register(MediaArchive)
-    docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("data")).write.format(FORMAT).mode("append").save(path)
+    docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("data")).write.format(FORMAT).mode(mode).save(path)
 
 
 def read_media(spark, path: str, **options) -> DataFrame:
@@ -269,7 +290,10 @@ def features(payload: bytes) -> str:
 
 
 def describe_media(media: DataFrame, id_type: T.DataType) -> DataFrame:
-    """Digests and features of members as read back; one row a member."""
+    """Digests and features of members as read back; one row a member, repeated members included.
+
+    Ids are cast to ``id_type``, null ids stay null; no member has an empty payload.
+    """
     schema = T.StructType([
         T.StructField("id", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()),
         T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()),
@@ -296,7 +320,12 @@ def describe_media(media: DataFrame, id_type: T.DataType) -> DataFrame:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Store every text, read the archives back and describe what came back."""
+    """Store every text, read the archives back and describe what came back.
+
+    One row per row of ``docs``: a null text counts as empty, repeated rows give
+    repeated results, an empty table an empty one; columns other than doc_id and text
+    are left out.  The archives stay in the shared folder.
+    """
     path = fresh_folder(docs.sparkSession, "media")
     store_texts(docs, path)
     return describe_media(read_media(docs.sparkSession, path), docs.schema["doc_id"].dataType)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -277,3 +278,48 @@ def test_op1_against_plain_bytes(spark):
         payload = media.padded(docs[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(docs[r.doc_id]), len(payload), zlib.crc32(payload[-32:]))
         assert re.fullmatch(r"[0-9a-f]{64}", r.media_sha256)
+
+
+def test_feature_and_stored_form_of_the_query(spark):
+    """The feature computed value by value, and the stored form as the writer makes it."""
+    docs = {d.doc_id: (d.text or "").encode() for d in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op1_media_columns(spark, SF).collect():
+        data = media.padded(docs[r.doc_id])
+        stored = media.to_png(data, len(docs[r.doc_id]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        size, named = r.feature.split(";", 1)
+        values = dict(x.split("=") for x in named.split(";"))
+        mean = sum(data) / len(data)
+        share = [data.count(v) / len(data) for v in set(data)]
+        assert size == f"576x{len(data) // 576}" and float(values["mean"]) == pytest.approx(mean, abs=1e-4)
+        assert float(values["sd"]) == pytest.approx((sum(v * v for v in data) / len(data) - mean**2) ** 0.5, abs=1e-3)
+        assert float(values["entropy"]) == pytest.approx(-sum(p * np.log2(p) for p in share), abs=1e-3)
+        assert re.fullmatch(r"[0-9a-f]{16}", values["hash"])
+
+
+def test_media_jobs_append_and_overwrite(spark, tmp_path):
+    path = str(tmp_path / "archives")
+    texts = spark.createDataFrame([("null", "a"), (None, "b"), ("=x", "c")], "doc_id string, text string")
+    media.store_texts(texts, path)
+    media.store_texts(texts.where("text = 'c'"), path)
+    assert sorted((str(r.id), bytes(r.payload)[:1]) for r in media.read_media(spark, path).collect()) == [("=x", b"c"), ("=x", b"c"), ("None", b"b"), ("null", b"a")]
+    media.store_texts(texts.where("text = 'a'"), path, mode="overwrite")
+    assert [r.id for r in media.read_media(spark, path).collect()] == ["null"]
+    assert len(list((tmp_path / "archives").glob("*.zip"))) == 1
+
+
+def test_long_runs_are_scanned_in_linear_time():
+    began = time.perf_counter()
+    scanner = secret_scan.Scanner()
+    for text in ("a" * 1_000_000 + "://" + "b" * 1000 + ":" + "c" * 1000 + "@", "a:" * 400_000 + "://x", "ab://" * 200_000, "-----BEGIN " * 90_000 + "PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----" + "\n" * 900_000):
+        scanner.scan([text])
+    assert time.perf_counter() - began < 20
+
+
+def test_whole_private_keys_are_redacted(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "aB3+/" * 9] * 3 + ["xYz9=="])
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    cut_off = key[: key.index("xYz9")].rstrip()
+    rows = [(1, f"before {key} after it"), (2, f"before {cut_off} after it, all of this stays"), (3, f"in code: {key}".replace("\n", "\\n"))]
+    out = {r.doc_id: r.text for r in secret_scan.redact_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: "before <private_key> after it", 2: "before <private_key> after it, all of this stays", 3: "in code: <private_key>"}
