@@ -142,8 +142,10 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, width: int = 2048,
     which document each is from and at which of its tokens it begins.  Full rows
     have the number -1 of their group, packed ones count from 0.  Repeated rows are
     packed each; an empty table gives no rows; other columns are left out.  Ids
-    below 65,536 only.  Documents are grouped by a hash of id and text; equal rows
-    are told apart by nothing and share a group.
+    below 65,536 and whole-number ids only.  Documents are grouped by a hash of id and
+    text; equal rows share a group.  A task packs at most ``MOST_HELD`` rests together,
+    so a group that equal rows make larger is packed in several goes: nothing is lost,
+    but each go may leave a row or two less full than one go over all would.
     """
     require(docs, id_col, text_col)
     if not 2 <= width <= 65535 or max(end_id, pad_id) > 65535:

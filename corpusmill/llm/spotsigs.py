@@ -3,8 +3,9 @@
 An anchor is one of a text's very common short words (of any language listed); its
 signature is the anchor with the next content words at a fixed distance.  A
 document's fingerprint is the set of its signatures.  A hashed twelfth of all other
-words, and every word of a very short text, are anchors as well, so that texts in
-other languages, tables and junk do not look alike for want of anchors.
+words and the first dozen words of every text are anchors as well, so that short
+texts and texts in other languages, tables and junk do not look alike for want of
+anchors.  The rule is the same at every length.
 
 Sets are compared by Jaccard similarity, pruned: sets whose sizes differ by more
 than the threshold allows never meet, and a comparison ends as soon as the
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -38,28 +40,28 @@ ANCHORS = frozenset(
 )
 #: A chain: content words CHAIN of them, every DISTANCE-th after the anchor.
 CHAIN, DISTANCE = 2, 1
-#: Other words serve as anchors too: one in SPARSE by its hash, and in texts of up to SHORT words all.
-SPARSE, SHORT = 12, 12
+#: Other words serve as anchors too: one in SPARSE by its hash, and the first LEADING of every text.
+SPARSE, LEADING = 12, 12
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def signatures(text: str) -> np.ndarray:
     """Sorted distinct 32-bit hashes of a text's signatures.
 
-    A text without words but not empty is one signature, the empty text none.
+    Chains run short at the end of a text.  A text without words but not empty is one
+    signature, the empty text none.
     """
     words = [w.strip(_EDGE) or w for w in text.lower().split()]
-    everywhere = len(words) <= SHORT
     content: list[str] = []
     spots: list[tuple[str, int]] = []  # anchors, and how many content words came before
-    for w in words:
+    for nth, w in enumerate(words):
         common = w in ANCHORS
         if not common:
             content.append(w)
-        if everywhere or common or not crc32(w.encode("utf-8", "surrogatepass")) % SPARSE:
+        if nth < LEADING or common or not crc32(w.encode("utf-8", "surrogatepass")) % SPARSE:
             spots.append((w, len(content)))
     reach = CHAIN * DISTANCE
-    found = {"\0".join((w, *content[at : at + reach : DISTANCE])) for w, at in spots if at + reach <= len(content) or everywhere}
+    found = {"\0".join((w, *content[at : at + reach : DISTANCE])) for w, at in spots}
     if not found and text:
         found = {"\0".join(words) or text}
     return np.unique(np.array([crc32(s.encode("utf-8", "surrogatepass")) for s in found], np.uint32))
@@ -123,9 +125,10 @@ def matches(prints: DataFrame, threshold: float = 0.8, id_col: str = "doc_id") -
     Equal fingerprints are one row here, under their smallest id: join back on the
     fingerprint for membership.  Sets of a length partition are looked up in their
     own and the next partition by their rarest signatures; a pair meets under the
-    first signature that both prefixes share.  Empty sets match nothing.
+    first signature that both prefixes share.  Empty sets match nothing, rows
+    with a null id are left out, and an empty table gives no pairs.
     """
-    classes = cut(prints.where("n_signatures > 0").groupBy("fingerprint").agg(F.min(id_col).alias("id"), F.first("n_signatures").alias("n")))
+    classes = cut(prints.where(F.col(id_col).isNotNull() & (F.col("n_signatures") > 0)).groupBy("fingerprint").agg(F.min(id_col).alias("id"), F.first("n_signatures").alias("n")))
     each = classes.mapInArrow(_explode, "id long, n long, signature long")
     counts = each.groupBy("signature").agg(F.count("*").alias("rows"))
     order = F.sort_array(F.collect_list(F.struct("rows", "signature")))
@@ -156,11 +159,21 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array([n] * len(found), pa.int64()), pa.array(found.astype(np.int64))], names=["id", "n", "signature"])
 
 
-def _borders(docs: DataFrame, slices: int) -> list[int]:
-    """Ids that part the table into about equal slices; a few numbers, whatever the table's size."""
+def _borders(rows: DataFrame, slices: int) -> list[tuple[bool, int, int]]:
+    """Where slices begin, in the order of (id unknown, id, digest); a few numbers, whatever the table's size.
+
+    Slices have about equally many rows.  An id that very many rows have gets several
+    of them, parted by the digest, whose values are spread evenly.
+    """
     if slices < 2:
         return []
-    return sorted({int(x) for x in docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").approxQuantile("id", [i / slices for i in range(1, slices)], 0.2 / slices)})
+    known, unknown = rows.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    if not known + unknown:
+        return []
+    of_known = round(slices * known / (known + unknown))
+    found = Counter((False, int(x)) for x in rows.where("doc_id is not null").approxQuantile("doc_id", [i / of_known for i in range(1, of_known)], 0.2 / slices)) if of_known > 1 else Counter()
+    found[True, 0] = slices - of_known
+    return sorted((*at, -(2**63) + (k << 64) // times) for at, times in found.items() for k in range(times))
 
 
 def fingerprint_pairs(docs: DataFrame, slices: int | None = None) -> DataFrame:
@@ -172,18 +185,22 @@ def fingerprint_pairs(docs: DataFrame, slices: int | None = None) -> DataFrame:
     Every text is shuffled once, to its slice of ids; the first document of each
     slice goes to the slice before it too.  Slices are sorted by Spark, and a task
     holds two documents at a time.  A null text counts as empty; the only document
-    of a table is its own next; an empty table gives an empty result.
+    of a table is its own next; an empty table gives an empty result; ids must be
+    whole numbers; other columns are left out.
     """
     require(docs, "doc_id", "text")
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise ValueError("doc_id must be a whole number: what comes next follows its order")
     spark = docs.sparkSession
     if slices is None:
         slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text"), F.lit(""))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("order"))
-    borders = _borders(whole, slices)
+    borders = _borders(docs.select(F.col("doc_id").cast("long").alias("doc_id")), slices)
     at = F.lit(0)
     if borders:
-        at = F.size(F.filter(F.lit(borders).cast("array<bigint>"), lambda b: b <= F.coalesce("doc_id", F.lit(2**63 - 1))))
+        told = F.array(*[F.struct(*[F.lit(x).cast(k) for x, k in zip(b, ("boolean", "long", "long"), strict=True)]) for b in borders])
+        at = F.size(F.filter(told, lambda b: b <= F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)).cast("long"), F.col("order"))))
     placed = whole.withColumn("slice", at.cast("int"))
     # the first document of each slice: its id, and among equal ids its digest
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "order")
@@ -197,7 +214,7 @@ def fingerprint_pairs(docs: DataFrame, slices: int | None = None) -> DataFrame:
         only = placed.orderBy(rank).limit(1)
         again = only.select("doc_id", "text", "order", "slice", F.lit(True).alias("guest"))
     rows = placed.select("doc_id", "text", "order", "slice", F.lit(False).alias("guest")).unionByName(again)
-    rows = rows.repartition(max(1, slices), "slice").sortWithinPartitions("slice", "guest", F.col("doc_id").asc_nulls_last(), "order")
+    rows = rows.repartitionById(len(borders) + 1, "slice").sortWithinPartitions("slice", "guest", F.col("doc_id").asc_nulls_last(), "order")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long"
     return rows.select("doc_id", "text", "slice", "guest").mapInArrow(_neighbours, schema)
 

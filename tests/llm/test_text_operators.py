@@ -323,3 +323,57 @@ def test_whole_private_keys_are_redacted(spark):
     rows = [(1, f"before {key} after it"), (2, f"before {cut_off} after it, all of this stays"), (3, f"in code: {key}".replace("\n", "\\n"))]
     out = {r.doc_id: r.text for r in secret_scan.redact_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {1: "before <private_key> after it", 2: "before <private_key> after it, all of this stays", 3: "in code: <private_key>"}
+
+
+def _plain_signatures(text):
+    """Anchors and chains word by word, as sets of strings."""
+    words = []
+    for w in text.lower().split():
+        bare = w.strip(spotsigs._EDGE)
+        words.append(bare if bare else w)
+    out = set()
+    for i, w in enumerate(words):
+        if i < 12 or w in spotsigs.ANCHORS or zlib.crc32(w.encode("utf-8", "surrogatepass")) % 12 == 0:
+            chain = [x for x in words[i if w not in spotsigs.ANCHORS else i + 1 :] if x not in spotsigs.ANCHORS]
+            own = 0 if w in spotsigs.ANCHORS else 1  # an anchor that is a content word itself is followed by those after it
+            out.add((w, *chain[own : own + 2]))
+    return out or ({(text,)} if text else set())
+
+
+def test_op4_against_plain_likeness(spark):
+    docs = sorted((d.doc_id, d.text or "") for d in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    sets = [_plain_signatures(t) for _, t in docs]
+    got = {r.doc_id: r for r in queries.op4_fingerprints(spark, SF).collect()}
+    assert len(got) == len(docs)
+
+    def likeness(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    prints = {}
+    for k, (i, text) in enumerate(docs):
+        following = docs[(k + 1) % len(docs)][1]
+        quarter = len(text) // 4
+        edited = text[: len(text) - quarter] + following[:quarter]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.near_edited == pytest.approx(likeness(sets[k], _plain_signatures(edited)), abs=1e-6)
+        assert r.near_next == pytest.approx(likeness(sets[k], sets[(k + 1) % len(docs)]), abs=1e-6)
+        assert prints.setdefault(text, r.fingerprint) == r.fingerprint and r.n_signatures == len(sets[k])
+
+
+def test_nearly_equal_short_texts_look_alike():
+    words = [f"word{i}" for i in range(40)]
+    for n in (10, 11, 12, 13, 14, 20, 30):
+        a, b = (spotsigs.signatures(" ".join(words[:k])) for k in (n, n + 1))
+        assert spotsigs.pruned_jaccard(a, b) > 0.5
+
+
+def test_one_id_fills_several_slices(spark):
+    rows = [(None if i % 3 else 7, f"text number {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parted = spotsigs._borders(docs, 9)
+    assert len(parted) == 8 and len({b[:2] for b in parted}) == 2
+    got = spotsigs.fingerprint_pairs(docs, slices=9).collect()
+    assert len(got) == 300 and sorted(r.n_chars for r in got) == sorted(len(t) for _, t in rows)
+    with pytest.raises(ValueError):
+        spotsigs.fingerprint_pairs(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
