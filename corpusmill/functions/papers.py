@@ -5,8 +5,12 @@ Fixed values: the patterns and words below are those of the paper forms.
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.text import let
 
@@ -18,16 +22,22 @@ DOC_NO_TH = r"(?:เลขที่|ที่)[\s:：]*([ก-๙]{1,5}\s?\d{3,5}
 DOC_DATE = r"วันที่[\s:：]*(\d{1,2}[\s/][ก-๙\d\s.]{2,20}\d{4}|\d{2}/\d{2}/\d{4})"
 TAX_ID = r"\b(\d{13})\b"
 EXCEPTION = r"(ชำรุด|เสียหาย|แตก|หัก|ขาด|ไม่ครบ|คืน|เปลี่ยน|ค้างส่ง|รอส่ง)"
+REMARK = "หมายเหตุ"
 EXCEPTION_QTY = r"(?:ชำรุด|เสียหาย|แตก|หัก|ขาด|คืน|ค้าง)\s*(\d+)"
 REDUCING = ("ชำรุด", "เสียหาย", "แตก", "หัก", "ขาด", "คืน")
 TOTAL_WORDS = {"subtotal": ("รวมเป็นเงิน",), "vat": ("ภาษีมูลค่าเพิ่ม", "VAT"), "grand_total": ("รวมทั้งสิ้น", "จำนวนเงินรวมทั้งสิ้น", "ยอดสุทธิ")}
-#: Header pattern -> role, the first that fits.
-ROLES = (("amount", "จำนวนเงิน|รวมเงิน|มูลค่า|^รวม"), ("unit_price", "ราคา|หน่วยละ"), ("qty", "จำนวน|ปริมาณ"), ("unit", "หน่วย"), ("note", "หมายเหตุ"), ("desc", "รายการ|รายละเอียด|วัสดุ|สินค้า"), ("idx", r"^(?i:ลำดับ|ที่|No\.?|#)$"))
+#: Words that head the column of descriptions.
+DESCRIBES = "รายการ|รายละเอียด|วัสดุ|สินค้า"
+#: A line that gives a name and a value, and the most characters of a name in a cell.
+PAIR, NAME_MOST = r"^([ก-๙A-Za-z./ ]{2,20})[\s:：]+(.{2,})$", 20
+#: Header pattern -> role, the first that fits.
+ROLES = (("amount", "จำนวนเงิน|รวมเงิน|มูลค่า|^รวม"), ("unit_price", "ราคา|หน่วยละ"), ("qty", "จำนวน|ปริมาณ"), ("unit", "หน่วย"), ("note", "หมายเหตุ"), ("desc", DESCRIBES), ("idx", r"^(?i:ลำดับ|ที่|No\.?|#)$"))
 UNIT_ALIASES = {"กก": "กก.", "กิโลกรัม": "กก.", "ลบ.ม": "ลบ.ม.", "ตร.ม": "ตร.ม.", "เมตร": "ม."}
+#: The units that papers name.
 UNITS = (
-    "ก้อน ถุง คิว ลบ.ม. ลบ.ม ตร.ม. ตร.ม ตร.ว. เส้น กก. กก กิโลกรัม ตัน แผ่น ม. เมตร ม้วน ชุด ตัว อัน ชิ้น กล่อง ลัง แท่ง ท่อน ถัง ลิตร แกลลอน กระป๋อง หลอด มัด คู่ ใบ แพ็ค ลูก คัน เที่ยว "
-    "งาน หน่วย จุด ชั้น ตร.ฟุต ฟุต นิ้ว หลา ซม. มม."
-).split()
+    "ก้อน", "ถุง", "คิว", "ลบ.ม.", "ลบ.ม", "ตร.ม.", "ตร.ม", "ตร.ว.", "เส้น", "กก.", "กก", "กิโลกรัม", "ตัน", "แผ่น", "ม.", "เมตร", "ม้วน", "ชุด", "ตัว", "อัน", "ชิ้น", "กล่อง", "ลัง",
+    "แท่ง", "ท่อน", "ถัง", "ลิตร", "แกลลอน", "กระป๋อง", "หลอด", "มัด", "คู่", "ใบ", "แพ็ค", "ลูก", "คัน", "เที่ยว", "งาน", "หน่วย", "จุด", "ชั้น", "ตร.ฟุต", "ฟุต", "นิ้ว", "หลา", "ซม.", "มม.",
+)
 
 
 def _col(c: Column | str) -> Column:
@@ -47,12 +57,17 @@ def money(c: Column | str) -> Column:
     return F.replace(found(c, MONEY, 0), F.lit(","), F.lit("")).cast("double")
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    return texts.map(unescape, na_action="ignore")
+
+
 def plain_lines(c: Column | str) -> Column:
-    """Lines of a page without tags; ends of cells, rows and paragraphs end a line; blank lines go."""
-    c = F.regexp_replace(_col(c), r"<br\s*/?>|</t[dhr]>|</p>|</li>", "\n")
-    c = F.regexp_replace(c, r"<[^>]+>", " ")
-    for mark, by in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(mark), F.lit(by))
+    """Lines of a page without tags, references decoded; what ends a block or a cell ends a line; blank lines go."""
+    ends = "|".join(("br", "hr", *(f"/{tag}" for tag in ("p", "li", "div", "td", "th", "tr", "h[1-6]"))))
+    c = F.regexp_replace(_col(c), rf"(?i)<(?:{ends})(?:\s[^<>]*)?/?>", "\n")
+    c = F.regexp_replace(c, "<[^<>]+>", " ")
+    c = F.coalesce(_decoded(F.when(c.contains("&"), c)), c)  # only what has a reference goes to Python
     return F.filter(F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
@@ -99,13 +114,20 @@ def totals(lines: Column | str) -> Column:
     return F.struct(*[first(words).alias(name) for name, words in TOTAL_WORDS.items()])
 
 
-def exception(note: Column | str, qty: Column) -> Column:
-    """kind, qty and net_qty of a remark that what came is not what is written; null kind without one."""
-    kind = found(note, EXCEPTION)
-    less = found(note, EXCEPTION_QTY).cast("double")
+def exception(note: Column | str, qty: Column, description: Column | str | None = None) -> Column:
+    """kind, qty and net_qty of a remark, in the note or the description, that what came is not what is written; null kind without one."""
+    said = F.concat_ws(" ", _col(note), *([] if description is None else [_col(description)]))
+    kind = found(said, EXCEPTION)
+    less = found(said, EXCEPTION_QTY).cast("double")
     return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), less).alias("qty"), F.when(kind.isin(*REDUCING) & less.isNotNull(), qty - less).otherwise(qty).alias("net_qty"))
 
 
+def remarks(lines: Column | str) -> Column:
+    """Kind and text of every remark on the whole paper that names an exception."""
+    said = F.filter(_col(lines), lambda x: x.startswith(REMARK) & x.rlike(EXCEPTION))
+    return F.transform(said, lambda x: F.struct(found(x, EXCEPTION).alias("kind"), x.alias("text")))
+
+
 def arithmetic(items_sum: Column, subtotal: Column, vat: Column, grand: Column) -> Column:
     """items_match_subtotal, vat_is_7pct and total_adds_up; null where a number is missing."""
     return F.struct(

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 # fixed values: offset and prime of the 64-bit word hash
 OFFSET, PRIME = 1469598103934665603, 1099511628211
-_WORD = re.compile(r"\w+")
+# words are what lies between white space, signs included; the separators U+001C to U+001F are none
+_WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,7 +39,7 @@ def word_hash(word: str) -> int:
 
 
 def hash_vector(text: str | None, width: int, known: dict[str, int]) -> np.ndarray:
-    """Counts of hashed lower-cased words, scaled to length 1; zeros without words."""
+    """Counts of hashed lower-cased words (parted by white space), scaled to length 1; zeros without words."""
     vector = np.zeros(width)
     for word in _WORD.findall((text or "").lower()):
         at = known.get(word)

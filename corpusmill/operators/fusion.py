@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources import tables
+
 #: Rank constant, weight of relevance, token budget and most passages.
 RANK_CONSTANT, RELEVANCE, BUDGET, MOST = 60, 0.7, 6000, 8
 
@@ -19,6 +21,19 @@ def ranked(hits: DataFrame, score: str = "score", most: int | None = None, tie:
     return found.where(F.col("rank") <= most) if most else found
 
 
+def placed(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place from 1 in one order over all; equal rows are told apart by chance.
+
+    Rows are dealt by ranges of the order and numbered in each; what the ranges before
+    hold is added, which takes one number a range.  Nulls come first.
+    """
+    dealt = tables.written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ranges = dealt.groupBy("_range").count()  # a row a range, so that one task can add them up
+    before = ranges.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_range", "_own", "_before")
+
+
 def reciprocal_rank(lists: list[DataFrame], constant: int = RANK_CONSTANT) -> DataFrame:
     """query_id, chunk_id, score: the sum of 1 / (constant + rank) over the lists (query_id, chunk_id, rank)."""
     rows = reduce(DataFrame.unionByName, [x.select("query_id", "chunk_id", "rank") for x in lists])
@@ -29,8 +44,8 @@ def diversify(candidates: DataFrame, relevance: float = RELEVANCE, most: int = 2
     """query_id, chunk_id, pick: the candidates of each query in order of marginal relevance.
 
     The next pick has the largest relevance * score - (1 - relevance) * (largest
-    cosine to a pick so far); the best candidate comes first, ties go to the
-    earlier.  A query's candidates are the few that search returned.
+    cosine to a pick so far, 0 at least: being unlike earns nothing); the best
+    candidate comes first, ties go to the earlier.  A query's candidates are the few that search returned.
     """
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
@@ -46,7 +61,7 @@ def diversify(candidates: DataFrame, relevance: float = RELEVANCE, most: int = 2
             best = int(worth.argmax())
             picks.append(best)
             free[best] = False
-            nearest = np.maximum(nearest, vectors @ vectors[best]) if len(picks) > 1 else vectors @ vectors[best]
+            nearest = np.maximum(nearest, vectors @ vectors[best])
         return pd.DataFrame({"query_id": frame["query_id"].iloc[picks], "chunk_id": frame["chunk_id"].iloc[picks], "pick": range(1, len(picks) + 1)})
 
     schema = f"query_id {candidates.schema['query_id'].dataType.simpleString()}, chunk_id {candidates.schema['chunk_id'].dataType.simpleString()}, pick int"

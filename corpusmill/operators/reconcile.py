@@ -47,7 +47,7 @@ def by_name(ordered: DataFrame, delivered: DataFrame, doc: str, least: float = L
     ``ordered`` has doc, place, item and qty; ``delivered`` doc, place, item and net
     (null if unreadable).  Each ordered item in turn takes the likest delivered item
     that is still free, if alike enough; what nobody takes is unexpected.  The two
-    sides of a document meet in one row of two short lists.
+    sides of a document, a paper of some lines each, meet in one row of two lists.
     """
     lists = lambda df, *c: df.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("place", *c))).alias("items"))
     want, got = lists(ordered, "item", "qty"), lists(delivered, "item", "net")

@@ -57,14 +57,15 @@ def plan_models(requests: DataFrame, models: DataFrame) -> DataFrame:
     """
     tier = F.create_map(*[F.lit(x) for i, t in enumerate(TIERS) for x in (t, i)])
     start = F.create_map(*[F.lit(x) for kv in TIER_OF.items() for x in kv])
-    usable = models.where("enabled and not open").withColumn("_tier", tier[F.col("tier")])
+    usable = models.where("enabled and not open").select("model", F.col("provider").alias("m_provider"), tier[F.col("tier")].alias("step"), "priority", "max_context", "streams")
     fits = (F.col("max_context") >= F.col("context_tokens")) & (~F.col("streaming") | F.col("streams"))
-    custom = F.col("policy") == "custom"
-    climbs = (F.col("_tier") >= start[F.col("reasoning")]) & ((F.col("policy") == "auto") | (F.col("m_provider") == F.col("provider")))
-    chosen = (custom & F.array_contains("chain", F.col("model"))) | (~custom & climbs)
-    step = F.when(custom, F.array_position("chain", F.col("model")).cast("int")).otherwise(F.col("_tier"))
-    pairs = requests.join(F.broadcast(usable.withColumnRenamed("provider", "m_provider")), fits & chosen)  # models are a small dimension
-    order = Window.partitionBy("request_id").orderBy(step, F.when(custom, 0).otherwise(F.col("priority")), "model")
+    # equi joins: a request meets the models of its tiers, or those of its chain; Spark broadcasts models if they are small
+    climbing = requests.where("policy <> 'custom'").withColumn("step", F.explode(F.sequence(start[F.col("reasoning")], F.lit(len(TIERS) - 1))))
+    climbed = climbing.join(usable, "step").where(fits & ((F.col("policy") == "auto") | (F.col("m_provider") == F.col("provider"))))
+    named = requests.where("policy = 'custom'").select("request_id", "context_tokens", "streaming", F.posexplode(F.array_distinct("chain")).alias("step", "model"))
+    chained = named.join(usable.drop("step"), "model").where(fits).withColumn("priority", F.lit(0))
+    pairs = climbed.select("request_id", "model", "step", "priority").unionByName(chained.select("request_id", "model", "step", "priority"))
+    order = Window.partitionBy("request_id").orderBy("step", "priority", "model")
     return pairs.select("request_id", "model", F.row_number().over(order).alias("place"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from corpusmill.operators.fusion import ranked
 
 #: Vectors in a block of questions and of the corpus.
 QUERY_BLOCK, CORPUS_BLOCK = 256, 2048
+#: Vectors of the corpus in a share.
+SHARE = 8 * CORPUS_BLOCK
 
 
 def _blocks(df: DataFrame, id_col: str, vector_col: str, rows: int, kind: str) -> DataFrame:
@@ -32,20 +35,24 @@ def _blocks(df: DataFrame, id_col: str, vector_col: str, rows: int, kind: str) -
                     matrix = np.array([vectors[i] or [] for i in some], "<f8").reshape(len(some), width)
                     size = np.linalg.norm(matrix, axis=1, keepdims=True) if width else np.zeros((len(some), 1))
                     matrix = np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
-                    number = hash(str(ids[some[0]])) % (1 << 31)
+                    number = crc32(str(ids[some[0]]).encode())
                     yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([width]), pa.array([[ids[i] for i in some]], pa.list_(batch.schema.field(0).type)), pa.array([matrix.tobytes()], pa.binary())], names=["number", "width", "ids", "vectors"])
 
     return df.select(id_col, vector_col).mapInArrow(run, f"number long, width long, ids array<{kind}>, vectors binary")
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, most: int, digits: int | None = None, spread: int = 16) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, most: int, digits: int | None = None, spread: int | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank of the ``most`` nearest chunks of every question, by cosine.
 
     ``queries`` has query_id and embedding, ``corpus`` chunk_id and embedding; vectors
     of another width or without direction score 0.  Exact: blocks of questions meet
-    blocks of the corpus in an equi join on ``spread`` shares, a task multiplies two
+    blocks of the corpus in an equi join on shares of the corpus, a task multiplies two
     matrices, and each pair of blocks hands on its best ``most`` per question only.
+    There is a share for every ``SHARE`` vectors of the corpus, so that a task holds as
+    much of it at any size; ``spread`` sets another number.
     """
+    if spread is None:
+        spread = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // SHARE))
     qk, ck = queries.schema["query_id"].dataType.simpleString(), corpus.schema["chunk_id"].dataType.simpleString()
     asked = _blocks(queries, "query_id", "embedding", QUERY_BLOCK, qk).select("width", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("share"))
     held = _blocks(corpus, "chunk_id", "embedding", CORPUS_BLOCK, ck).select(F.col("width").alias("c_width"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c"), F.pmod("number", F.lit(spread)).cast("int").alias("share"))
@@ -60,10 +67,11 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, most: int, digits: int |
                 if digits is not None:
                     scores = np.round(scores, digits)
                 order = np.argsort(np.array(c_ids, object), kind="stable")
-                for i, row in enumerate(scores):
-                    # best scores first, of equals the smaller id
-                    top = order[np.argsort(-row[order], kind="stable")[:most]]
-                    yield pa.RecordBatch.from_arrays([pa.array([q_ids[i]] * len(top)), pa.array([c_ids[k] for k in top]), pa.array(row[top])], names=["query_id", "chunk_id", "score"])
+                # best scores first, of equals the smaller id
+                tops = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :most]]
+                asked_by = np.repeat(np.arange(len(q_ids)), tops.shape[1])
+                columns = [pa.array(q_ids).take(pa.array(asked_by)), pa.array(c_ids).take(pa.array(tops.ravel())), pa.array(np.take_along_axis(scores, tops, 1).ravel())]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "score"])
 
     pairs = asked.join(held, "share").select("width", "q_ids", "q", "c_width", "c_ids", "c")
     return ranked(pairs.mapInArrow(best, f"query_id {qk}, chunk_id {ck}, score double"), most=most)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,9 +10,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as fn
 from corpusmill.functions import vectors
-from corpusmill.operators import chunking, context, fusion, guard, search
+from corpusmill.operators import chunking, connectors, context, fusion, guard, search
 from corpusmill.sources import parsers, tables
 
+#: Texts of a batch -> (index, vector) in any order; model and prompt -> answer.
+Embedder = Callable[[list[str]], list[tuple[int, list[float]]]]
+Chat = Callable[[str, str], str]
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -28,24 +33,32 @@ class Policy:
     width: int = 64
 
 
-def ingest(documents: DataFrame, title: Column | None = None, width: int = 64) -> DataFrame:
-    """chunk_id, doc_id, title, chunk_index, content, token_count, page, heading_path, content_hash, embedding.
+def ingest(documents: DataFrame, title: Column | None = None, width: int = 64, embedder: Embedder | None = None) -> DataFrame:
+    """chunk_id, doc_id, title, chunk_index, content, token_count, page, heading_path, record_key, content_hash, embedding.
 
-    ``documents`` has doc_id and text.  Equal contents are embedded once, by their
-    hash; the vectors come back by an equi join.
+    ``documents`` has doc_id and either text or, from another parser, blocks (array of
+    structs with kind, level, text, page and key).  Texts are parsed and chunked where
+    they lie; equal contents are embedded once, by their hash, and the vectors come
+    back by an equi join.  ``embedder`` gets the texts of a batch and answers with
+    (index, vector) in any order; without one, words are hashed.
     """
-    blocks = parsers.parse_text(documents.select("doc_id", "text"), "doc_id", "text")
-    folded = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "level", "text"))).alias("blocks"))
-    titled = documents.select("doc_id", (title if title is not None else F.concat(F.lit("Document "), "doc_id")).alias("title"))
-    chunks = chunking.chunk(folded.join(titled, "doc_id"))
-    chunks = chunks.join(titled, "doc_id").withColumn("content_hash", fn.content_hash("content"))
-    once = chunks.groupBy("content_hash").agg(F.first("content").alias("content")).select("content_hash", vectors.hashed_words(width)("content").alias("embedding"))
+    blocks = F.col("blocks") if "blocks" in documents.columns else parsers.text_blocks("text")
+    named = title if title is not None else F.concat(F.lit("Document "), "doc_id")
+    chunks = chunking.chunk(documents.select("doc_id", named.alias("title"), blocks.alias("blocks"))).withColumn("content_hash", fn.content_hash("content"))
+    once = chunks.groupBy("content_hash").agg(F.first("content").alias("content"))
+    if embedder is None:
+        once = once.select("content_hash", vectors.hashed_words(width)("content").alias("embedding"))
+    else:
+        once = connectors.embed(once, "content_hash", "content", embedder, width)
     return chunks.join(once, "content_hash").withColumn("chunk_id", F.concat(F.lit("chk_"), "doc_id", F.lit("_"), "chunk_index"))
 
 
-def candidates(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """query_id, chunk_id, score: vector and keyword hits fused by reciprocal rank."""
-    asked = questions.select("query_id", vectors.hashed_words(policy.width)("text").alias("embedding"))
+def candidates(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy(), embedder: Embedder | None = None) -> DataFrame:
+    """query_id, chunk_id, score: vector and keyword hits fused by reciprocal rank; the embedder is that of the chunks."""
+    if embedder is None:
+        asked = questions.select("query_id", vectors.hashed_words(policy.width)("text").alias("embedding"))
+    else:
+        asked = connectors.embed(questions, "query_id", "text", embedder, policy.width)
     near = search.vector_topk(asked, chunks.select("chunk_id", "embedding"), policy.per_list, digits=9)
     lists = [near.where(F.col("score") >= policy.least_relevance).select("query_id", "chunk_id", "rank")]
     if policy.hybrid:
@@ -53,9 +66,9 @@ def candidates(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy(
     return fusion.reciprocal_rank(lists)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy(), embedder: Embedder | None = None) -> DataFrame:
     """query_id, place, chunk_id, doc_id, title, page, content, token_count, score: each question's passages in order."""
-    fused = tables.written(candidates(questions, chunks, policy))  # some rows a question, read three times below
+    fused = tables.written(candidates(questions, chunks, policy, embedder))  # some rows a question, read three times below
     held = chunks.select("chunk_id", "doc_id", "title", "page", "content", "token_count", "embedding", "heading_path")
     full = fused.join(held, "chunk_id")
     picks = fusion.diversify(full, policy.relevance, 2 * policy.passages)
@@ -67,17 +80,27 @@ def retrieve(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy())
     return taken.join(named, ["query_id", "chunk_id"]).select("query_id", "place", "chunk_id", "doc_id", "title", "page", "content", "token_count", F.round("score", 9).alias("score"))
 
 
-def answer(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def answer(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy(), embedder: Embedder | None = None, chat: Chat | None = None, models: tuple[str, ...] = ("default",)) -> DataFrame:
     """query_id, ok, reason, suspected, grounded, answer, sources, tokens_in, tokens_out for every question.
 
     Refused questions get no answer; a strict policy without passages gives its
-    fallback; the rest go to the offline answerer, and only cited sources stay.
+    fallback; the rest go to ``chat`` (called with a model and the prompt; models are
+    tried in turn) or, without one, to the offline answerer.  Only cited sources stay.
+    Where no model answers, the answer is null.
     """
     checked = guard.check_messages(questions, "text")
-    found = context.build(retrieve(checked.where("ok").select("query_id", "text"), chunks, policy))
+    found = context.build(retrieve(checked.where("ok").select("query_id", "text"), chunks, policy, embedder))
     both = checked.join(found, "query_id", "left")
     nothing = F.col("knowledge").isNull()
-    said = F.when(~F.col("ok"), F.lit(None).cast("string")).when(nothing & F.lit(policy.strict), F.lit(policy.fallback)).otherwise(context.echo_answer(F.col("text"), F.coalesce("knowledge", F.lit(""))))
+    if chat is None:
+        told_by = context.echo_answer(F.col("text"), F.coalesce("knowledge", F.lit("")))
+    else:
+        both = tables.written(both)  # read for the requests and for the answers
+        asked = both.where(F.col("ok") & ~(nothing & F.lit(policy.strict)))
+        requests = asked.select("query_id", F.lit(list(models)).alias("models"), F.concat_ws("\n\n", "knowledge", "text").alias("prompt"))
+        both = both.join(connectors.call(requests, "query_id", chat).select("query_id", F.col("answer").alias("_said")), "query_id", "left")
+        told_by = F.col("_said")
+    said = F.when(~F.col("ok"), F.lit(None).cast("string")).when(nothing & F.lit(policy.strict), F.lit(policy.fallback)).otherwise(told_by)
     told = both.withColumn("answer", said).withColumn("sources", context.cited(F.col("answer"), F.col("sources")))
     return told.select(
         "query_id", "ok", "reason", "suspected", (F.coalesce(F.size("sources"), F.lit(0)) > 0).alias("grounded"), "answer", "sources",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors
-from corpusmill.operators import connectors, fusion, reconcile, search
+from corpusmill.operators import connectors, fusion, lifecycle, reconcile, search
 from corpusmill.queries import Registry, Tables
 from corpusmill.sources import tables
 
@@ -68,10 +68,11 @@ def join_mmr_pairwise(t: Tables):
 
 @R.query("join_fuzzy_reconcile")
 def join_fuzzy_reconcile(t: Tables):
-    """Part names of a brand as ordered, and as written on delivery: upper case, signs added."""
-    ordered = t.part.select("p_brand", F.col("p_partkey").alias("place"), F.col("p_name").alias("item"), F.col("p_size").cast("double").alias("qty"))
-    noted = ordered.where("place % 4 <> 0").select("p_brand", "place", F.concat(F.upper("item"), F.lit(" -")).alias("item"), (F.col("qty") - F.col("place") % 2).alias("net"))
-    return reconcile.by_name(ordered, noted, "p_brand")
+    """The lines of each order by part name, and as written on delivery: upper case, signs added, some lines gone."""
+    lines = lifecycle.row_numbers(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"], "place")
+    ordered = lines.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "place", F.col("p_name").alias("item"), F.col("l_quantity").alias("qty"))
+    noted = ordered.where("place % 4 <> 0").select("l_orderkey", "place", F.concat(F.upper("item"), F.lit(" -")).alias("item"), (F.col("qty") - F.col("place") % 2).alias("net"))
+    return reconcile.by_name(ordered, noted, "l_orderkey")
 
 
 @R.query("agg_context_tokens", "SELECT conv_id, sum(length(text))::BIGINT AS context_tokens FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 8 GROUP BY 1")

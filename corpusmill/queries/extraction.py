@@ -75,17 +75,31 @@ def ex_year(t: Tables):
     return _papers(t).select("l_orderkey", scalars.year_ce(fn.found(text, fn.DOC_DATE)).alias("year_ce"), fn.found(text, fn.DOC_NO).alias("doc_no"))
 
 
-@R.query("ex_exceptions", f"WITH {_LINES} SELECT l_orderkey, k, CASE WHEN l_quantity > 40 THEN 'ชำรุด' END AS kind, l_quantity - CASE WHEN l_quantity > 40 THEN 2 ELSE 0 END AS net_qty FROM lines")
+@R.query(
+    "ex_exceptions",
+    f"""WITH {_LINES} SELECT l_orderkey, k, CASE WHEN l_quantity > 40 THEN 'ชำรุด' WHEN l_quantity > 30 THEN 'ค้างส่ง' WHEN l_quantity > 20 THEN 'แตก' END AS kind,
+    l_quantity - CASE WHEN l_quantity > 40 THEN 2 WHEN l_quantity > 30 THEN 0 WHEN l_quantity > 20 THEN 3 ELSE 0 END AS net_qty FROM lines""",
+)
 def ex_exceptions(t: Tables):
-    note = F.when(F.col("l_quantity") > 40, "ชำรุด 2 เส้น").otherwise("ok")
-    return _lines(t).select("l_orderkey", "k", fn.exception(note, F.col("l_quantity")).alias("e")).select("l_orderkey", "k", "e.kind", "e.net_qty")
+    """Remarks in the note or, where that says nothing, in the description; not all make the quantity less."""
+    note = F.when(F.col("l_quantity") > 40, "ชำรุด 2 เส้น").when(F.col("l_quantity") > 30, "ค้างส่ง 5").when(F.col("l_quantity") > 20, "-")
+    description = F.concat(F.lit("item "), F.col("l_partkey"), F.when((F.col("l_quantity") > 20) & (F.col("l_quantity") <= 30), " (แตก 3)").otherwise(""))
+    return _lines(t).select("l_orderkey", "k", fn.exception(note, F.col("l_quantity"), description).alias("e")).select("l_orderkey", "k", "e.kind", "e.net_qty")
+
+
+@R.query("ex_remarks", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN ['คืน'] WHEN 1 THEN ['ไม่ครบ', 'คืน'] ELSE []::VARCHAR[] END AS kinds FROM orders")
+def ex_remarks(t: Tables):
+    """Remarks on whole papers: only lines that begin as one and name an exception count."""
+    last = F.lit("<p>หมายเหตุ: คืน 1 เส้น &amp; ใบเดิม</p>")
+    page = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("<p>รายการ แตก</p>"), last)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("<div>หมายเหตุ ไม่ครบ</div>"), last)).otherwise("<p>หมายเหตุ: ครบ</p><p>ที่ หมายเหตุ คืน</p>")
+    return t.orders.select("o_orderkey", F.transform(fn.remarks(fn.plain_lines(page)), lambda x: x["kind"]).alias("kinds"))
 
 
 @R.query("ex_similarity")
 def ex_similarity(t: Tables):
-    """Each brand's names matched with the names of its cheaper half."""
-    names = t.part.select("p_brand", F.col("p_partkey").alias("place"), F.col("p_name").alias("item"), F.col("p_size").cast("double").alias("qty"))
-    return reconcile.by_name(names, names.where("qty < 25").withColumnRenamed("qty", "net"), "p_brand")
+    """The part names of each order's lines matched with those of its smaller lines."""
+    named = _lines(t).join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.col("k").alias("place"), F.col("p_name").alias("item"), F.col("l_quantity").alias("qty"))
+    return reconcile.by_name(named, named.where("qty < 25").withColumnRenamed("qty", "net"), "l_orderkey")
 
 
 _BOUGHT = "SELECT o_custkey, l_partkey, sum(l_quantity) AS qty FROM orders JOIN lineitem ON o_orderkey = l_orderkey"

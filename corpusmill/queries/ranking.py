@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as fn
@@ -107,8 +106,8 @@ def topk_vector(t: Tables):
 
 @R.query("topk_keyword")
 def topk_keyword(t: Tables):
-    """Benchmark items' first words searched in all documents."""
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(fn.lexemes("text"), 1, 3), " ").alias("text"))
+    """Whole benchmark texts searched in all documents."""
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
     return search.keyword_topk(asked, t.documents.select(F.col("doc_id").alias("chunk_id"), "text"), 30)
 
 
@@ -133,15 +132,15 @@ def sort_created(t: Tables):
     return t.customer.orderBy(F.desc("c_acctbal")).select("c_custkey", "c_name")
 
 
-@R.query("sort_version_desc", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey = 7 ORDER BY l_linenumber DESC LIMIT 10")
+@R.query("sort_version_desc", "SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) <= 10")
 def sort_version_desc(t: Tables):
-    return t.lineitem.where("l_orderkey = 7").orderBy(F.desc("l_linenumber")).limit(10).select("l_orderkey", "l_linenumber")
+    """The ten latest versions of everything: the limit is the feature."""
+    return lifecycle.row_numbers(t.lineitem, ["l_orderkey"], [F.desc("l_linenumber")], "k").where("k <= 10").select("l_orderkey", "l_linenumber")
 
 
 @R.query("sort_model_priority", "SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS place FROM part")
 def sort_model_priority(t: Tables):
-    """Models are few; their order is one list."""
-    return t.part.select("p_partkey", F.row_number().over(Window.orderBy("p_size", "p_partkey")).cast("long").alias("place"))
+    return fusion.placed(t.part.select("p_partkey", "p_size"), ["p_size", "p_partkey"], "place").select("p_partkey", "place")
 
 
 @R.query("sort_reindex", "SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_quantity) AS in_order FROM lineitem GROUP BY 1")

@@ -62,6 +62,11 @@ def parse_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.select(id_col, "pos", F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), "text")
 
 
+def text_blocks(text_col: str) -> Column:
+    """The same paragraphs as one array of blocks, which chunking takes as it is."""
+    return F.transform(fn.paragraphs(fn.normalize(text_col)), lambda p: F.struct(F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), p.alias("text")))
+
+
 _INLINE = [(re.compile(r"!?\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"(\*\*|__)(.+?)\1"), r"\2"), (re.compile(r"(?<!\w)([*_])(\S.*?\S|\S)\1(?!\w)"), r"\2"), (re.compile(r"`([^`]*)`"), r"\1")]
 _ITEM = re.compile(r"^\s{0,3}(?:[-*+]|\d{1,9}[.)])\s+(.*)$")
 
@@ -319,21 +324,30 @@ class _Tables(HTMLParser):
 
 
 def tables_of(text: str) -> list[list[list[str]]]:
-    """Markdown pipe tables and HTML tables of a text, as rows of trimmed cells."""
-    found, now = [], []
-    for line in [*text.split("\n"), ""]:
+    """HTML tables and then Markdown pipe tables of a text, as rows of trimmed cells.
+
+    Rows of HTML whose cells are all empty go, and tables without rows.  A line is of
+    a pipe table if a bar begins and ends it; a line of two dashes or more a cell parts
+    the head from the body.
+    """
+    found: list[list[list[str]]] = []
+    if "<table" in text:
+        reader = _Tables()
+        reader.feed(text)
+        reader.close()
+        kept = ([[c.strip() for c in row] for row in table if any(c.strip() for c in row)] for table in reader.tables)
+        found = [table for table in kept if table]
+    now: list[list[str]] = []
+    for line in [*text.splitlines(), ""]:
         line = line.strip()
-        if line.startswith("|") and line.count("|") > 1:
-            cells = [unescape(x.strip()) for x in line.strip("|").split("|")]
-            if not all(re.fullmatch(r":?-+:?", c) for c in cells):
+        if line.startswith("|") and line.endswith("|"):
+            cells = [x.strip() for x in line.strip("|").split("|")]
+            if not all(re.fullmatch(r":?-{2,}:?", c) for c in cells):
                 now.append(cells)
         elif now:
             found.append(now)
             now = []
-    reader = _Tables()
-    reader.feed(text)
-    reader.close()
-    return found + [[[" ".join(c.split()) for c in row] for row in table if row] for table in reader.tables if table]
+    return found
 
 
 def table_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

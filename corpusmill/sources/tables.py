@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession, what: str = "table") -> str:
-    """A new folder that driver and executors share; the cluster names where in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-")
+    """A new folder that driver and executors share.
+
+    The cluster names where in spark.checkpoint.dir.  Unset, it is a temporary folder
+    on one machine, as in tests; on a cluster a ValueError says what is missing.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="corpusmill-")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

@@ -74,7 +74,7 @@ def test_diversify_is_greedy(spark):
         picks = [mine.pop(0)]
         unit = lambda v: np.array(v) / np.linalg.norm(v)
         while len(picks) < 9:
-            best = max(mine, key=lambda r: 0.6 * r[2] - 0.4 * max(float(unit(r[3]) @ unit(p[3])) for p in picks))
+            best = max(mine, key=lambda r: 0.6 * r[2] - 0.4 * max(0.0, *(float(unit(r[3]) @ unit(p[3])) for p in picks)))
             picks.append(best)
             mine.remove(best)
         assert [r.chunk_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.pick)] == [p[1] for p in picks]
@@ -157,3 +157,45 @@ def test_streamed_state_equals_the_step(spark):
         states[e.user_id], verdict = step(states.get(e.user_id), e.ts.timestamp(), 0)
         want[e.event_id] = verdict[:2]
     assert got == want
+
+
+def test_words_of_vectors_lie_between_white_space():
+    vector = vectors.hash_vector("Refunds, refunds　refunds\x1cx", 4096, {})
+    want = np.zeros(4096)
+    for word in ("refunds,", "refunds", "refunds\x1cx"):
+        want[vectors.word_hash(word) % 4096] += 1
+    assert np.allclose(vector, want / np.sqrt(3))
+
+
+def test_paragraphs_gather_until_the_target():
+    words = lambda n: " ".join(["word"] * n)
+    blocks = [{"kind": "paragraph", "level": None, "text": words(n), "page": p} for p, n in enumerate((3, 4, 2, 9, 1), 1)]
+    found = chunking.chunk_blocks("T", blocks, chunking.Sizes(target=6, overlap=1, most=100))
+    assert [(page, content.count("\n\n")) for _, content, _, _, page, _ in found] == [(1, 1), (3, 1), (5, 0)]
+
+
+def test_places_over_all_ranges(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, *range(40)])) for i in range(500)]
+    got = fusion.placed(spark.createDataFrame(rows, "id int, size int").repartition(5), ["size", "id"], "place").collect()
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert sorted((r.place, r.id) for r in got) == [(k + 1, r[0]) for k, r in enumerate(want)]
+
+
+def test_references_are_decoded_in_lines(spark):
+    df = spark.createDataFrame([("<DIV>a &eacute; &#3585;</DIV>b &lt;i&gt;<br/>&amp;amp; c",), (None,), ("<h2 class='x'>t</h2>u",)], "x string")
+    assert [r[0] for r in df.select(paper_fn.plain_lines("x")).collect()] == [["a é ก", "b <i>", "&amp; c"], None, ["t", "u"]]
+
+
+def test_injected_embedder_and_chat(spark):
+    def embedder(texts):
+        return [(i, [float(len(t) % 7), 1.0]) for i, t in reversed(list(enumerate(texts)))]
+
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha beta"), (3, "gamma")], "doc_id long, text string")
+    chunks = answer.ingest(docs, width=2, embedder=embedder)
+    assert {r.chunk_id: list(r.embedding) for r in chunks.collect()} == {r.chunk_id: [float(len(r.content) % 7), 1.0] for r in chunks.collect()}
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, " ")], "query_id long, text string")
+    said = {r.query_id: r.answer for r in answer.answer(asked, chunks, answer.Policy(width=2), embedder, lambda model, prompt: f"{model} says {prompt.split()[-1]} [1]", ("m",)).collect()}
+    assert said == {1: "m says beta [1]", 2: None}
+    blocks = spark.createDataFrame([(1, [("heading", 1, "Top", None, None), ("record", None, "k: v", None, "9")])], "doc_id long, blocks array<struct<kind:string,level:int,text:string,page:int,key:string>>")
+    assert [(r.heading_path, r.record_key) for r in answer.ingest(blocks).collect()] == [(["Top"], "9")]

@@ -42,8 +42,9 @@ def test_docx_round_trip(spark):
 
 
 def test_tables():
-    text = "intro\n| a | b |\n|---|:-:|\n| 1 | x &amp; y |\n\n<table><tr><th>k<td>v</tr><tr><td>1<br>2</td></tr></table>"
-    assert parsers.tables_of(text) == [[["a", "b"], ["1", "x & y"]], [["k", "v"], ["1 2"]]]
+    text = "intro\n| a | b |\n|---|:--:|\n| 1 | x &amp; y |\n\n<table><tr><th>k<td>v &amp; w</tr><tr><td> <td></tr><tr><td>1<br>2</td></tr></table><table><tr><td></td></tr></table>"
+    assert parsers.tables_of(text) == [[["k", "v & w"], ["1\n2"]], [["a", "b"], ["1", "x &amp; y"]]]  # HTML first; empty rows and tables go
+    assert parsers.tables_of("| a | b |\n| - | - |\n| c | d\n| e | f |") == [[["a", "b"], ["-", "-"]], [["e", "f"]]]  # one dash parts nothing, a line without its last bar ends the table
 
 
 def test_text_columns(spark):
