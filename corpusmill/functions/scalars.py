@@ -93,7 +93,7 @@ def cover_density(text: Column | str, terms: list[str]) -> Column:
 
 
 # fixed values: common words that tell the languages of the corpus apart
-_COMMON = {
+COMMON = {
     "en": ("the", "and", "of", "to", "in", "is", "that", "was", "for", "with"),
     "de": ("der", "die", "und", "das", "ist", "nicht", "mit", "von", "auf", "den"),
     "es": ("el", "los", "las", "que", "una", "por", "con", "para", "del", "se"),
@@ -106,6 +106,6 @@ def language(text: Column | str, least_chars: int = 20) -> Column:
     c = _col(text)
     words = F.split(F.lower(c), r"[^\p{L}]+")
     among = lambda common: F.size(F.filter(words, lambda w: w.isin(*common)))
-    counts = [F.struct(among(common).alias("n"), F.lit(name).alias("name")) for name, common in _COMMON.items()]
+    counts = [F.struct(among(common).alias("n"), F.lit(name).alias("name")) for name, common in COMMON.items()]
     ranked = F.reverse(F.array_sort(F.array(*counts)))
     return F.when((F.char_length(c) >= least_chars) & (ranked[0]["n"] > ranked[1]["n"]), ranked[0]["name"])

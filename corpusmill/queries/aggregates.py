@@ -95,7 +95,15 @@ def agg_dedupe_hash(t: Tables):
     return usage.billable(t.documents.select("source", "doc_id", F.char_length("text").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("h")), "source", "h", "doc_id", "n")
 
 
-@R.query("agg_bow_vector")
+@R.query(
+    "agg_bow_vector",
+    r"""WITH w AS (SELECT doc_id, unnest([x FOR x IN regexp_split_to_array(lower(text), '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+') IF x <> '']) AS word FROM documents),
+    v AS (SELECT DISTINCT word, hex(encode(word)) AS x FROM w),
+    h AS (SELECT word, (list_reduce([('0x' || x[2 * i + 1 : 2 * i + 2])::INT::UHUGEINT FOR i IN range(length(x) // 2)], lambda a, b: (xor(a, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 1469598103934665603::UHUGEINT) % 64)::INT AS place FROM v),
+    n AS (SELECT doc_id, place, count(*) AS c FROM w JOIN h USING (word) GROUP BY 1, 2),
+    m AS (SELECT doc_id, map_from_entries(list((place, c))) AS counts, sqrt(sum(c * c)) AS size FROM n GROUP BY 1)
+    SELECT d.doc_id, [coalesce(counts[i::INT] / size, 0)::FLOAT FOR i IN range(64)] AS embedding FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id""",
+)
 def agg_bow_vector(t: Tables):
     return t.documents.select("doc_id", vectors.hashed_words(64)("text").alias("embedding"))
 

@@ -35,7 +35,14 @@ def win_heading_path(t: Tables):
     return t.orders.select("o_orderkey", chunking.heading_path(heads).alias("path"))
 
 
-@R.query("win_pack_paragraphs")
+@R.query(
+    "win_pack_paragraphs",
+    r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    s AS (SELECT doc_id, i, greatest(len([w FOR w IN regexp_split_to_array(p, '[\t-\r ]+') IF w <> '']), length(p) // 3, 1)::INT AS n FROM l),
+    f AS (SELECT doc_id, i, n, 0 AS group_no, n AS held FROM s WHERE i = 1
+      UNION ALL SELECT s.doc_id, s.i, s.n, f.group_no + (f.held >= 100)::INT, CASE WHEN f.held >= 100 THEN s.n ELSE f.held + s.n END FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i + 1)
+    SELECT doc_id, group_no, sum(n)::BIGINT AS tokens, count(*) AS parts FROM f GROUP BY 1, 2""",
+)
 def win_pack_paragraphs(t: Tables):
     """Lines packed into groups of 100 tokens and more."""
     return chunking.pack(t.documents.select("doc_id", F.split("text", "\n").alias("parts")), "doc_id", "parts", target=100)
@@ -58,7 +65,19 @@ def win_budget_greedy(t: Tables):
     return items.select("l_orderkey", F.transform(fusion.within_budget(F.col("xs"), 80, 3), lambda x: x["l_linenumber"]).alias("taken"))
 
 
-@R.query("win_mmr")
+def mmr_sql(score: str, most: int) -> str:
+    """Marginal relevance as recursive SQL over the first ``most`` vectors of each label: picks and each one's nearest pick so far."""
+    return f"""WITH RECURSIVE c AS (SELECT label AS query_id, vec_id, embedding::DOUBLE[] AS v, {score} AS score, row_number() OVER (PARTITION BY label ORDER BY {score} DESC, vec_id) AS k FROM embeddings QUALIFY k <= {most}),
+    g AS (SELECT query_id, list(vec_id ORDER BY k) AS ids, list(score ORDER BY k) AS scores, list(v ORDER BY k) AS vs FROM c GROUP BY 1),
+    f AS (SELECT query_id, 1 AS pick, 1 AS best, [1] AS picks, [0.0::DOUBLE FOR x IN ids] AS near FROM g
+      UNION ALL SELECT query_id, pick + 1, best, picks || [best], near FROM (
+        SELECT query_id, pick, picks, near, list_position(worth, list_max(worth))::INT AS best FROM (
+          SELECT f.query_id, pick, picks, near, [CASE WHEN list_contains(picks, i::INT) THEN '-infinity'::DOUBLE ELSE 0.7 * scores[i] - 0.3 * near[i] END FOR i IN range(1, len(ids) + 1)] AS worth FROM (
+            SELECT f.query_id, pick, picks, ids, scores, [greatest(near[i], list_cosine_similarity(vs[i], vs[best])) FOR i IN range(1, len(ids) + 1)] AS near FROM f JOIN g ON g.query_id = f.query_id WHERE pick < least(16, len(ids))) f)))
+    SELECT f.query_id, ids[best] AS chunk_id, pick FROM f JOIN g ON g.query_id = f.query_id"""
+
+
+@R.query("win_mmr", mmr_sql("embedding[1]::DOUBLE", 30))
 def win_mmr(t: Tables):
     candidates = fusion.ranked(t.embeddings.select(F.col("label").alias("query_id"), F.col("vec_id").alias("chunk_id"), F.element_at("embedding", 1).cast("double").alias("score"), "embedding"), most=30)
     return fusion.diversify(candidates)
@@ -104,7 +123,21 @@ def topk_vector(t: Tables):
     return found.select("query_id", "chunk_id", "rank", "score")
 
 
-@R.query("topk_keyword")
+@R.query(
+    "topk_keyword",
+    r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct([x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''])) AS word FROM benchmark),
+    t AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS terms FROM q),
+    d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS ws FROM documents),
+    w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+    h AS (SELECT query_id, doc_id FROM t JOIN (SELECT DISTINCT doc_id, word FROM w) USING (word) GROUP BY query_id, doc_id, terms HAVING count(*) = terms),
+    o AS (SELECT query_id, doc_id, word, terms, i, lead(i) OVER (PARTITION BY query_id, doc_id, word ORDER BY i) AS again FROM h JOIN t USING (query_id) JOIN w USING (doc_id, word)),
+    a AS (SELECT query_id, doc_id, max(i) AS all_seen FROM (SELECT query_id, doc_id, word, min(i) AS i FROM o GROUP BY ALL) GROUP BY 1, 2),
+    l AS (SELECT x.query_id, x.doc_id, x.i, x.terms, min(y.i) AS low FROM o x JOIN a ON a.query_id = x.query_id AND a.doc_id = x.doc_id AND x.i >= all_seen
+      JOIN o y ON y.query_id = x.query_id AND y.doc_id = x.doc_id AND y.i <= x.i AND (y.again IS NULL OR y.again > x.i) GROUP BY 1, 2, 3, 4),
+    b AS (SELECT *, lag(low) OVER (PARTITION BY query_id, doc_id ORDER BY i) AS before FROM l),
+    r AS (SELECT query_id, doc_id AS chunk_id, round(sum(0.1::DOUBLE / (1 + i - low + 1 - terms)), 9) AS score FROM b WHERE before IS NULL OR low > before GROUP BY 1, 2)
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM r QUALIFY rank <= 30""",
+)
 def topk_keyword(t: Tables):
     """Whole benchmark texts searched in all documents."""
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), "text")

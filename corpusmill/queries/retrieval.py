@@ -9,6 +9,7 @@ from corpusmill.functions import text as fn
 from corpusmill.operators import chunking, context, filters, fusion, guard, lifecycle, routing, search
 from corpusmill.plans import answer
 from corpusmill.queries import Registry, Tables
+from corpusmill.queries.ranking import mmr_sql
 from corpusmill.sources import tables
 
 R = Registry()
@@ -92,7 +93,7 @@ def rag_rrf(t: Tables):
     return fusion.ranked(fusion.reciprocal_rank(lists).withColumn("score", F.round("score", 12)))
 
 
-@R.query("rag_mmr")
+@R.query("rag_mmr", mmr_sql("sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding]))", 60))
 def rag_mmr(t: Tables):
     hits = t.embeddings.select(F.col("label").alias("query_id"), F.col("vec_id").alias("chunk_id"), vectors.norm(F.col("embedding")).alias("score"), "embedding")
     return fusion.diversify(fusion.ranked(hits, most=60))

@@ -202,12 +202,28 @@ def fn_windows(t: Tables):
     return t.benchmark.select("item_id", F.size(fn.word_windows("text")).alias("windows"))
 
 
-@R.query("fn_cover_density")
+@R.query(
+    "fn_cover_density",
+    r"""WITH d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS ws FROM documents),
+    w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+    p AS (SELECT doc_id, i, max(i) FILTER (WHERE word = 'the') OVER o AS a, max(i) FILTER (WHERE word = 'of') OVER o AS b FROM w WHERE word IN ('the', 'of') WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    l AS (SELECT doc_id, i, least(a, b) AS low, lag(least(a, b)) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p WHERE a IS NOT NULL AND b IS NOT NULL),
+    r AS (SELECT doc_id, sum(0.1::DOUBLE / (i - low)) AS rank FROM l WHERE before IS NULL OR low > before GROUP BY 1)
+    SELECT d.doc_id, round(coalesce(rank, 0), 9) AS rank FROM d LEFT JOIN r USING (doc_id)""",
+)
 def fn_cover_density(t: Tables):
     """Cover-density rank of two common words in every document."""
-    return t.documents.select("doc_id", scalars.cover_density(F.col("text"), ["the", "of"]).alias("rank"))
+    return t.documents.select("doc_id", F.round(scalars.cover_density(F.col("text"), ["the", "of"]), 9).alias("rank"))
+
 
+_COMMON_SQL = ", ".join("{{'n': len([x FOR x IN ws IF x IN ({})]), 'name': '{}'}}".format(", ".join(f"'{w}'" for w in words), name) for name, words in scalars.COMMON.items())
 
-@R.query("fn_language")
+
+@R.query(
+    "fn_language",
+    rf"""WITH w AS (SELECT doc_id, lang, length(text) AS chars, regexp_split_to_array(lower(text), '[^\p{{L}}]+') AS ws FROM documents),
+    c AS (SELECT doc_id, lang, chars, list_reverse_sort([{_COMMON_SQL}]) AS ranked FROM w)
+    SELECT doc_id, lang, CASE WHEN chars >= 20 AND ranked[1].n > ranked[2].n THEN ranked[1].name END AS guess FROM c""",
+)
 def fn_language(t: Tables):
     return t.documents.select("doc_id", "lang", scalars.language("text").alias("guess"))

@@ -17,30 +17,91 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.read_table(spark, sf_dir, "events").select("user_id", "event_id", at, "event_type")
 
 
-def _limit(name: str, step, out: str, state: str, extra=None):
+def _steps(seed: str, step: str, verdict: str, extra: str = "0") -> str:
+    """A state machine a key as recursive SQL: ``seed`` is the state before a key's first event, ``step``
+    the columns after the event ``e`` in the state ``s``."""
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000 AS at, {extra} AS extra, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    s AS (SELECT DISTINCT user_id, 0::BIGINT AS event_id, 0::BIGINT AS n, 0::DOUBLE AS at, {seed} FROM events
+      UNION ALL SELECT e.user_id, e.event_id, e.n, e.at, {step} FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+    SELECT user_id, event_id, {verdict} FROM s WHERE n > 0"""
+
+
+def _limit(name: str, step, out: str, state: str, extra=None, sql: str | None = None):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _events(spark, sf_dir).withColumn("extra", extra() if extra is not None else F.lit(0))
         return run.drain(limits.keyed(rows, "user_id", "at", "event_id", "extra", step, out, state))
 
     R.queries[name] = query
+    if sql:
+        R.sql[name] = sql
 
 
 _DAY = 86400.0
-_limit("st_rate_limit", limits.fixed_window(3, _DAY), "allowed boolean, remaining int, reset double", "began double, hits int")
-_limit("st_site_limit", limits.fixed_window(3, _DAY, count_denied=False), "allowed boolean, remaining int, reset double", "began double, hits int")
-_limit("st_sliding_limit", limits.sliding_window(3, _DAY), "allowed boolean, hits int", "recent array<double>")
-_limit("st_circuit", limits.circuit(3, 2 * _DAY, _DAY), "phase string, called boolean", "recent array<double>, opened double", lambda: F.col("event_type").isin("error", "view"))
-_limit("st_touch_throttle", limits.throttle(_DAY), "touched boolean", "last double")
-_limit("st_ttl_cache", limits.cached(_DAY), "hit boolean", "loaded double")
+_IN_WINDOW = "s.n > 0 AND e.at - s.began < 86400"
+
+
+def _window_sql(hits: str, allowed: str) -> str:
+    return _steps(
+        "0::DOUBLE AS began, 0 AS hits, FALSE AS allowed",
+        f"CASE WHEN {_IN_WINDOW} THEN s.began ELSE e.at END, CASE WHEN {_IN_WINDOW} THEN {hits} ELSE 1 END, CASE WHEN {_IN_WINDOW} THEN {allowed} ELSE TRUE END",
+        "allowed, greatest(0, 3 - hits)::INT AS remaining, began + 86400 - s.at AS reset",
+    )
+
+
+_RECENT_SQL = _steps(
+    "[]::DOUBLE[] AS recent, FALSE AS allowed",
+    "[x FOR x IN s.recent IF e.at - x < 86400] || CASE WHEN len([x FOR x IN s.recent IF e.at - x < 86400]) < 3 THEN [e.at] ELSE [] END, len([x FOR x IN s.recent IF e.at - x < 86400]) < 3",
+    "allowed, len(recent)::INT AS hits",
+)
+_PHASE = "CASE WHEN s.opened < 0 THEN 'closed' WHEN e.at - s.opened >= 86400 THEN 'half_open' ELSE 'open' END"
+_FAILED = "[x FOR x IN s.recent IF e.at - x < 172800] || [e.at]"
+_CIRCUIT_SQL = _steps(
+    "[]::DOUBLE[] AS recent, -1::DOUBLE AS opened, '' AS phase",
+    f"""CASE WHEN {_PHASE} = 'open' THEN s.recent WHEN e.extra THEN {_FAILED} ELSE [] END,
+      CASE WHEN {_PHASE} = 'open' THEN s.opened WHEN NOT e.extra THEN -1 WHEN {_PHASE} = 'half_open' OR len({_FAILED}) >= 3 THEN e.at ELSE s.opened END, {_PHASE}""",
+    "phase, phase <> 'open' AS called",
+    "event_type IN ('error', 'view')",
+)
+_KEPT = "s.n > 0 AND e.at - s.since < 86400"
+
+
+def _since_sql(verdict: str) -> str:
+    return _steps("0::DOUBLE AS since, FALSE AS kept", f"CASE WHEN {_KEPT} THEN s.since ELSE e.at END, {_KEPT}", verdict)
+
+
+def _job_sql(most_tries: int, stale_days: int, event: str) -> str:
+    gone = f"(s.status = 'running' AND e.at - s.locked > {stale_days * 86400})"
+    again = f"s.attempts < {most_tries}"
+    wait = "e.at + [30, 120, 600][least(s.attempts, 3)]"
+    ready = f"CASE WHEN {gone} AND {again} THEN {wait} ELSE s.ready END"
+    claimed = f"(e.extra = 'claim' AND e.at >= {ready} AND (s.status = 'pending' OR ({gone} AND {again})))"
+    failed = f"(e.extra IN ('transient', 'permanent') AND s.status = 'running' AND NOT {gone})"
+    retried = f"({failed} AND e.extra = 'transient' AND {again})"
+    return _steps(
+        "'pending' AS status, 0 AS attempts, 0::DOUBLE AS ready, 0::DOUBLE AS locked",
+        f"""CASE WHEN {claimed} THEN 'running' WHEN {gone} THEN CASE WHEN {again} THEN 'pending' ELSE 'dead' END WHEN {retried} THEN 'pending' WHEN {failed} THEN 'dead'
+        WHEN e.extra = 'complete' AND s.status = 'running' THEN 'complete' ELSE s.status END,
+      s.attempts + {claimed}::INT, CASE WHEN {retried} THEN {wait} ELSE {ready} END, CASE WHEN {claimed} THEN e.at WHEN {gone} OR {failed} THEN 0 ELSE s.locked END""",
+        "status, attempts::INT AS attempts, ready AS run_after",
+        event,
+    )
+
+
+_limit("st_rate_limit", limits.fixed_window(3, _DAY), "allowed boolean, remaining int, reset double", "began double, hits int", sql=_window_sql("s.hits + 1", "s.hits < 3"))
+_limit("st_site_limit", limits.fixed_window(3, _DAY, count_denied=False), "allowed boolean, remaining int, reset double", "began double, hits int", sql=_window_sql("least(s.hits + 1, 3)", "s.hits < 3"))
+_limit("st_sliding_limit", limits.sliding_window(3, _DAY), "allowed boolean, hits int", "recent array<double>", sql=_RECENT_SQL)
+_limit("st_circuit", limits.circuit(3, 2 * _DAY, _DAY), "phase string, called boolean", "recent array<double>, opened double", lambda: F.col("event_type").isin("error", "view"), _CIRCUIT_SQL)
+_limit("st_touch_throttle", limits.throttle(_DAY), "touched boolean", "last double", sql=_since_sql("NOT kept AS touched"))
+_limit("st_ttl_cache", limits.cached(_DAY), "hit boolean", "loaded double", sql=_since_sql("kept AS hit"))
 
 
 def _job_event():
     return F.element_at(F.array(*[F.lit(x) for x in ("claim", "transient", "claim", "complete", "claim", "permanent")]), (F.col("event_id") % 6 + 1).cast("int"))
 
 
-_limit("st_queue", jobs.lifecycle(stale=5 * _DAY), "status string, attempts int, run_after double", "status string, attempts int, ready double, locked double", _job_event)
-_limit("st_retry", jobs.lifecycle(most_tries=2, stale=30 * _DAY), "status string, attempts int, run_after double", "status string, attempts int, ready double, locked double", lambda: F.when(F.col("event_id") % 2 == 0, "claim").otherwise("transient"))
-_limit("st_reaper", jobs.lifecycle(most_tries=3, stale=_DAY), "status string, attempts int, run_after double", "status string, attempts int, ready double, locked double", lambda: F.lit("claim"))
+_limit("st_queue", jobs.lifecycle(stale=5 * _DAY), "status string, attempts int, run_after double", "status string, attempts int, ready double, locked double", _job_event, _job_sql(4, 5, "['claim', 'transient', 'claim', 'complete', 'claim', 'permanent'][(event_id % 6 + 1)::INT]"))
+_limit("st_retry", jobs.lifecycle(most_tries=2, stale=30 * _DAY), "status string, attempts int, run_after double", "status string, attempts int, ready double, locked double", lambda: F.when(F.col("event_id") % 2 == 0, "claim").otherwise("transient"), _job_sql(2, 30, "CASE WHEN event_id % 2 = 0 THEN 'claim' ELSE 'transient' END"))
+_limit("st_reaper", jobs.lifecycle(most_tries=3, stale=_DAY), "status string, attempts int, run_after double", "status string, attempts int, ready double, locked double", lambda: F.lit("claim"), _job_sql(3, 1, "'claim'"))
 
 
 def st_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
