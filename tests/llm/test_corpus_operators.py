@@ -337,3 +337,58 @@ def test_deep_pages_take_linear_time():
     assert html_extract.main_text("<div>" * n + "<p>Deep, but here.</p>" + "</div>" * n) == "Deep, but here."
     assert html_extract.main_text("<p>" + "<span>" * n + "Deep, but here." + "</span>" * n) == "Deep, but here."
     assert time.perf_counter() - began < 30
+
+
+def test_op6_sizes_and_targets_by_bisection(spark):
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").collect()
+    words = {d.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", d.text or "")) for d in docs}
+    sources = sorted({d.source for d in docs}, key=lambda s: (s is None, s or ""))
+    totals = {s: sum(words[d.doc_id] for d in docs if d.source == s) for s in sources}
+    weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}
+    low, high = 0.0, 4.0 * sum(totals.values())  # words a unit of weight, such that the targets sum to 150 %
+    for _ in range(200):
+        each = (low + high) / 2
+        low, high = (each, high) if sum(min(2 * totals[s], each * weights[s]) for s in sources) < 1.5 * sum(totals.values()) else (low, each)
+    rows = queries.op6_mixing(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(docs)
+    own = {d.doc_id: d.source for d in docs}
+    for r in rows:
+        source = own[r.doc_id]
+        assert (r.size, r.source_size) == (words[r.doc_id], totals[source]) and r.taken in (0, r.size, 2 * r.size)
+        assert r.target == pytest.approx(min(2 * totals[source], low * weights[source]), rel=1e-6)
+    for s in sources:
+        assert sum(r.taken for r in rows if own[r.doc_id] == s) == pytest.approx(min(2 * totals[s], low * weights[s]), rel=0.03, abs=50)
+
+
+def test_op8_against_a_plain_matcher(spark):
+    import math
+    import zlib
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    spared = [toxicity.fold(p) for p in model.exceptions]
+    lengths = sorted({len(t) for t in [*model.words, *model.beginnings]})
+
+    def plain(text):
+        folded = toxicity.fold(text)
+        inside = lambda at: at < len(folded) and folded[at].isalnum()
+        total = 0.0
+        for at in range(len(folded)):
+            if at and inside(at - 1):
+                continue
+            found = [model.beginnings[folded[at : at + n]] for n in lengths if folded[at : at + n] in model.beginnings]
+            found += [model.words[folded[at : at + n]] for n in lengths if folded[at : at + n] in model.words and not inside(at + n)]
+            phrases = [(k, k + len(p)) for p in spared for k in range(max(0, at - len(p)), at + 1) if folded.startswith(p, k) and not (k and inside(k - 1)) and not inside(k + len(p))]
+            if found and not any(a <= at < b for a, b in phrases):
+                total += max(found)
+        weight = math.log1p(total)
+        z = model.curve[0] + model.curve[1] * weight + (model.curve[2] * weight / math.log(3 + text.count(" ")) if weight else 0.0)
+        return 1 / (1 + math.exp(-z))
+
+    rows = {r.doc_id: r for r in queries.op8_toxicity(spark, SF).collect()}
+    for d in docs.collect():
+        r = rows[d.doc_id]
+        assert r.score == pytest.approx(plain(d.text or ""), rel=1e-9) and r.predicted == int(r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 5 == 0)
