@@ -106,7 +106,7 @@ class Written(WriterCommitMessage):
     members: int
 
 
-def _manifests(store: fs.FileSystem, folder: str) -> list[str]:
+def manifests(store: fs.FileSystem, folder: str) -> list[str]:
     return sorted(i.path for i in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if _MANIFEST.fullmatch(i.base_name))
 
 
@@ -121,7 +121,7 @@ class ArchiveReader(DataSourceReader):
         """Byte ranges of the archives that were committed; only names and sizes pass here."""
         store, folder = filesystem(self.path)
         names = []
-        for manifest in _manifests(store, folder):
+        for manifest in manifests(store, folder):
             with store.open_input_stream(manifest) as f:
                 names += json.loads(f.read())
         infos = store.get_file_info([f"{folder}/{n}" for n in names]) if names else []
@@ -210,7 +210,7 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, folder = filesystem(self.path)
         store.create_dir(folder, recursive=True)
-        before = _manifests(store, folder) if self.overwrite else []
+        before = manifests(store, folder) if self.overwrite else []
         with store.open_output_stream(f"{folder}/_committed-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(sorted(m.name for m in messages if m is not None and m.members)).encode())
         for manifest in before:

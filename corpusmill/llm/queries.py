@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, chat, html_extract, media, minhash, mixing, packing, secret_scan, spotsigs, toxicity
+from corpusmill.llm import bpe, chat, html_extract, matrices, media, minhash, mixing, packing, secret_scan, spotsigs, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return packing.digest(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.digest(matrices.stored(packed))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusmill.llm import bpe, media, packing, queries, secret_scan, spotsigs
+from corpusmill.llm import bpe, matrices, media, packing, queries, secret_scan, spotsigs
 from tests.llm.helpers import documents, empty
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -117,6 +117,26 @@ def test_packing_loses_nothing(spark, reference):
     assert packing.pack_documents(empty(spark), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_matrices_come_back_from_their_files(spark, tmp_path):
+    packed = packing.pack_documents(documents(spark), PATH, public_tokenizers.PATTERN, width=32).persist()
+    want = sorted(packed.collect(), key=str)
+    path = str(tmp_path / "packed")
+    matrices.write_matrices(packed.withColumn("extra", packed["row"]), path)
+    assert sorted(matrices.read_matrices(spark, path).collect(), key=str) == want
+    raw = b"".join(f.read_bytes() for f in (tmp_path / "packed").glob("*.ids"))
+    assert sorted(raw[k : k + 64] for k in range(0, len(raw), 64)) == sorted(bytes(r.ids) for r in want)
+    matrices.write_matrices(packed, path)  # what another job wrote stays
+    assert matrices.read_matrices(spark, path).count() == 2 * len(want)
+    matrices.write_matrices(packed.limit(0), path, "overwrite")
+    assert matrices.read_matrices(spark, path).count() == 0 and not list((tmp_path / "packed").glob("*.ids"))
+    long = spark.createDataFrame([(1, "some words in a long text " * 30000)], "doc_id long, text string")
+    many = packing.pack_documents(long, PATH, public_tokenizers.PATTERN, width=16)  # more rows than one range
+    matrices.write_matrices(many, path, "overwrite")
+    assert matrices.read_matrices(spark, path).rdd.getNumPartitions() > 1
+    assert sorted(matrices.read_matrices(spark, path).collect(), key=str) == sorted(many.collect(), key=str)
+    packed.unpersist()
+
+
 def test_op3_is_the_packing_of_all_documents(spark, reference):
     rows = queries.op3_packed_ids(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
