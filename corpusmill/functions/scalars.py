@@ -55,6 +55,19 @@ def out_of_range(ranges: dict[str, tuple[Column, float, float]]) -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(value.between(low, high), F.lit(False)), name) for name, (value, low, high) in ranges.items()]))
 
 
+def config_problems(c: dict[str, Column]) -> Column:
+    """Names of the settings of an agent that break a rule, in a fixed order; a null setting breaks its rule.
+
+    ``c``: schema_version, instructions, top_k, budget, relevance, lambda, strict,
+    fallback, history and tools (an array).
+    """
+    holds = {
+        "schema_version": c["schema_version"] == 1, "instructions": F.char_length(c["instructions"]) <= 20_000, "top_k": c["top_k"].between(1, 50), "budget": c["budget"].between(500, 100_000),
+        "relevance": c["relevance"].between(0, 1), "lambda": c["lambda"].between(0, 1), "fallback": ~c["strict"] | (F.trim(c["fallback"]) != ""), "history": c["history"].between(0, 50), "tools": F.size(c["tools"]) == 0,
+    }
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in holds.items()]))
+
+
 def valid_name(name: Column | str, most: int = 200) -> Column:
     return F.char_length(F.trim(_col(name))).between(1, most)
 

@@ -75,6 +75,12 @@ def error_class(kind: Column, status: Column) -> tuple[Column, Column]:
     return retryable, ~kind.isin("bad_request", "auth")
 
 
+def ocr_error(status: Column) -> tuple[Column, Column]:
+    """What an answer of the text recognition service means, and whether it is worth another try; no answer counts as unreachable."""
+    error = F.when(status.isNull() | (status >= 500), "unreachable").when(status >= 400, "rejected")
+    return error, F.coalesce(error == "unreachable", F.lit(False))
+
+
 def upload_refusal(size: Column, source_type: Column, documents: Column, stored: Column, plan: dict[str, Column], can_ocr: bool = False) -> Column:
     """Why an upload is refused before a byte is read; null if it is not."""
     return (

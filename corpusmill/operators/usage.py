@@ -29,7 +29,12 @@ def percentiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").alias(f"p{p}") for p in (50, 95, 99)])
 
 
-def buckets(df: DataFrame, value: str, bounds: list[int], rest: int) -> DataFrame:
+# fixed values: upper bounds of the latency histogram, in seconds
+LATENCY = [0.005, 0.01, 0.025, 0.05, 0.1, 0.2, 0.4, 0.8, 1.5, 3.0, 6.0, 15.0, 30.0, 60.0]
+
+
+def buckets(df: DataFrame, value: str, bounds: list[float], rest: float | None = None) -> DataFrame:
+    """le, n: how many values fall in each bucket; those beyond the last bound are under ``rest``."""
     ladder = F.when(F.col(value) <= bounds[0], bounds[0])
     for b in bounds[1:]:
         ladder = ladder.when(F.col(value) <= b, b)
@@ -51,6 +56,12 @@ def billable(texts: DataFrame, batch: str, digest: str, order: str, tokens: str)
     return once.groupBy(batch).agg(F.sum("k").alias("texts"), F.count("*").alias("embedded"), F.sum(F.col("n").cast("long")).alias("billable"))
 
 
+def readiness(usable: Column, enabled: Column, dead: Column) -> tuple[Column, Column, Column]:
+    """Health of the models, of the queue, and of the whole: a queue with dead jobs is degraded, but only the lack of any usable model takes the whole down."""
+    models = F.when(usable == 0, "failing").when(usable < enabled, "degraded").otherwise("ok")
+    return models, F.when(dead > 0, "degraded").otherwise("ok"), F.when(models == "failing", "failing").otherwise("ok")
+
+
 def health(df: DataFrame, key: str, failed: Column) -> DataFrame:
     """ok without failures, failing if more than half failed, degraded between."""
     counts = df.groupBy(key).agg(F.count_if(failed).alias("bad"), F.count("*").alias("n"))

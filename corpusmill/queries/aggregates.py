@@ -78,9 +78,9 @@ def agg_percentile_nearest(t: Tables):
     return usage.percentiles(t.events, ["event_type"], "value")
 
 
-@R.query("agg_latency_hist", "SELECT CASE WHEN value <= 10 THEN 10 WHEN value <= 50 THEN 50 WHEN value <= 100 THEN 100 WHEN value <= 500 THEN 500 ELSE 1000000 END AS le, count(*) AS n FROM events GROUP BY 1")
+@R.query("agg_latency_hist", "SELECT b.le, count(*) AS n FROM (SELECT value / 5 AS seconds FROM events) e LEFT JOIN (SELECT le, coalesce(lag(le) OVER (ORDER BY le), '-infinity'::DOUBLE) AS low FROM (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.2, 0.4, 0.8, 1.5, 3.0, 6.0, 15.0, 30.0, 60.0])::DOUBLE AS le)) b ON seconds > low AND seconds <= b.le GROUP BY 1")
 def agg_latency_hist(t: Tables):
-    return usage.buckets(t.events, "value", [10, 50, 100, 500], 1_000_000)
+    return usage.buckets(t.events.select((F.col("value") / 5).alias("seconds")), "seconds", usage.LATENCY)
 
 
 @R.query("agg_quota_fraction", "SELECT user_id, CASE WHEN user_id % 4 = 3 THEN 0.0 ELSE count(*) / (100.0 * (1 + user_id % 4)) END::DOUBLE AS fraction, user_id % 4 <> 3 AND count(*) >= 100 * (1 + user_id % 4) AS refused FROM events GROUP BY 1")
@@ -135,6 +135,19 @@ def repo_retire_versions(t: Tables):
     return lifecycle.retire_others(t.lineitem.select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber", served)
 
 
-@R.query("health_rollup", "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') * 2 > count(*) THEN 'failing' WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'degraded' ELSE 'ok' END AS health FROM events GROUP BY 1")
+@R.query(
+    "health_rollup",
+    """WITH m AS (SELECT p_brand, p_type, count(*) FILTER (WHERE p_size > 5) AS enabled, count(*) FILTER (WHERE p_size > 5 AND p_partkey % 4 <> 0) AS usable, count(*) FILTER (WHERE p_size = 7) AS dead FROM part GROUP BY ALL)
+    SELECT p_brand, p_type, CASE WHEN usable = 0 THEN 'failing' WHEN usable < enabled THEN 'degraded' ELSE 'ok' END AS models, CASE WHEN dead > 0 THEN 'degraded' ELSE 'ok' END AS queue, CASE WHEN usable = 0 THEN 'failing' ELSE 'ok' END AS health FROM m""",
+)
 def health_rollup(t: Tables):
+    """Instances by brand and type; parts are their models, some switched off, some with an open circuit, and some dead jobs."""
+    on = F.col("p_size") > 5
+    counts = t.part.groupBy("p_brand", "p_type").agg(F.count_if(on).alias("enabled"), F.count_if(on & (F.col("p_partkey") % 4 != 0)).alias("usable"), F.count_if(F.col("p_size") == 7).alias("dead"))
+    models, queue, whole = usage.readiness(F.col("usable"), F.col("enabled"), F.col("dead"))
+    return counts.select("p_brand", "p_type", models.alias("models"), queue.alias("queue"), whole.alias("health"))
+
+
+@R.query("health_by_user", "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') * 2 > count(*) THEN 'failing' WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'degraded' ELSE 'ok' END AS health FROM events GROUP BY 1")
+def health_by_user(t: Tables):
     return usage.health(t.events, "user_id", F.col("event_type") == "error")

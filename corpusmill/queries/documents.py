@@ -47,15 +47,22 @@ def upload_gate(t: Tables):
     return t.documents.select("doc_id", routing.upload_refusal(size, kind, F.col("doc_id") % 500, F.col("doc_id") * 1_000_000, plan).alias("refusal"))
 
 
-@R.query("upload_finish", "SELECT source, count(*) AS documents, sum(strlen(text))::BIGINT AS storage_bytes FROM documents GROUP BY 1")
+@R.query("upload_finish", "SELECT doc_id, strlen(text) AS size_bytes, sha256(text) AS content_hash, 'queued' AS status, 'ingest_document' AS job, 5 AS priority FROM documents")
 def upload_finish(t: Tables):
+    facts = lifecycle.finished_uploads(t.documents.select("doc_id", "text"), "text")
+    return facts.drop("text").withColumn("priority", routing.lookup(routing.JOB_PRIORITY, F.col("job")))
+
+
+@R.query("upload_counters", "SELECT source, count(*) AS documents, sum(strlen(text))::BIGINT AS storage_bytes FROM documents GROUP BY 1")
+def upload_counters(t: Tables):
     """Counters of a knowledge base, derived from its upload facts."""
-    return t.documents.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.octet_length("text").cast("long")).alias("storage_bytes"))
+    facts = lifecycle.finished_uploads(t.documents.select("source", "text"), "text")
+    return facts.groupBy("source").agg(F.count("*").alias("documents"), F.sum("size_bytes").alias("storage_bytes"))
 
 
-@R.query("doc_retry", f"SELECT doc_id, 'queued' AS status FROM documents WHERE {_DUCK_STATUS} = 'failed'")
+@R.query("doc_retry", f"SELECT doc_id, CASE s WHEN 'failed' THEN 'queued' ELSE s END AS status, CASE WHEN s <> 'failed' THEN 'document_not_failed' END AS refusal, CASE s WHEN 'failed' THEN 'ingest_document' END AS job FROM (SELECT doc_id, {_DUCK_STATUS} AS s FROM documents)")
 def doc_retry(t: Tables):
-    return t.documents.where(_status() == "failed").select("doc_id", F.lit("queued").alias("status"))
+    return lifecycle.retried(t.documents.select("doc_id", _status().alias("status")), "status")
 
 
 @R.query("doc_delete_cascade", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
@@ -65,13 +72,44 @@ def doc_delete_cascade(t: Tables):
     return t.lineitem.join(gone, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
 
 
-@R.query("kb_crud", "SELECT source, arg_max(lang, doc_id) AS lang, max(doc_id) AS version FROM documents GROUP BY 1")
+@R.query(
+    "kb_crud",
+    """WITH f AS (SELECT source, doc_id, CASE WHEN doc_id % 5 = 0 THEN 'base ' || doc_id END AS name, CASE WHEN doc_id % 7 = 0 THEN 'about ' || doc_id END AS description, CASE WHEN doc_id % 3 = 0 THEN 'model ' || doc_id % 4 END AS model FROM documents)
+    SELECT source, (SELECT x.name FROM f x WHERE x.source = f.source AND x.name IS NOT NULL ORDER BY doc_id DESC LIMIT 1) AS name, (SELECT x.description FROM f x WHERE x.source = f.source AND x.description IS NOT NULL ORDER BY doc_id DESC LIMIT 1) AS description,
+      (SELECT x.model FROM f x WHERE x.source = f.source AND x.model IS NOT NULL ORDER BY doc_id LIMIT 1) AS model FROM (SELECT DISTINCT source FROM f) f""",
+)
 def kb_crud(t: Tables):
+    """Creations and renamings of knowledge bases as facts: the newest name and description, the model that was pinned first."""
+    made = lambda every, *parts: F.when(F.col("doc_id") % every == 0, F.concat(*parts))
+    facts = t.documents.select(
+        "source", "doc_id", made(5, F.lit("base "), "doc_id").alias("name"), made(7, F.lit("about "), "doc_id").alias("description"), made(3, F.lit("model "), F.col("doc_id") % 4).alias("model")
+    )
+    return lifecycle.folded(facts, ["source"], "doc_id", ["name", "description"], ["model"])
+
+
+@R.query("kb_latest", "SELECT source, arg_max(lang, doc_id) AS lang, max(doc_id) AS version FROM documents GROUP BY 1")
+def kb_latest(t: Tables):
     return lifecycle.latest(t.documents.select("source", "lang", "doc_id"), ["source"], ["doc_id"]).select("source", "lang", F.col("doc_id").alias("version"))
 
 
-@R.query("ingest_record_failure", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'ready' END AS status, CASE WHEN doc_id % 5 = 0 THEN left('cannot read ' || text, 1000) END AS error_message FROM documents")
+@R.query(
+    "ingest_record_failure",
+    """WITH f AS (SELECT o_orderkey, o_orderkey % 3 + 1 AS version, left(repeat(o_orderpriority || ' is not readable. ', 60), 1000) AS message FROM orders WHERE o_orderstatus = 'F'),
+    c AS (SELECT l_orderkey, count(*) AS chunks FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.o_orderkey = l.l_orderkey AND f.version = l.l_linenumber) GROUP BY 1)
+    SELECT o_orderkey, 'failed' AS status, 'unreadable' AS error_code, message AS error_message, coalesce(chunks, 0) AS chunks FROM f LEFT JOIN c ON l_orderkey = o_orderkey""",
+)
 def ingest_record_failure(t: Tables):
+    """Lines are chunks, their numbers versions; of each order F one version failed: its chunks go, older ones stay served."""
+    failures = t.orders.where("o_orderstatus = 'F'").select(
+        F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("l_linenumber"), F.lit("unreadable").alias("code"), F.repeat(F.concat("o_orderpriority", F.lit(" is not readable. ")), F.lit(60)).alias("message")
+    )
+    left = lifecycle.discard_failed(t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber")), failures, "l_orderkey", "l_linenumber").groupBy("l_orderkey").agg(F.count("*").alias("chunks"))
+    shown = lifecycle.failure_rows(failures, "code", "message").join(left, "l_orderkey", "left")
+    return shown.select(F.col("l_orderkey").alias("o_orderkey"), "status", "error_code", "error_message", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
+@R.query("ingest_outcome", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'ready' END AS status, CASE WHEN doc_id % 5 = 0 THEN left('cannot read ' || text, 1000) END AS error_message FROM documents")
+def ingest_outcome(t: Tables):
     bad = F.col("doc_id") % 5 == 0
     return t.documents.select("doc_id", F.when(bad, "failed").otherwise("ready").alias("status"), F.when(bad, F.left(F.concat(F.lit("cannot read "), "text"), F.lit(1000))).alias("error_message"))
 
@@ -92,9 +130,11 @@ def token_estimate_chunk(t: Tables):
     return t.conversations.select("conv_id", "turn", fn.estimate_tokens("text").alias("tokens"))
 
 
-@R.query("ocr_retryable", "SELECT event_id, event_type <> 'error' AS retryable FROM events")
+@R.query("ocr_retryable", "SELECT event_id, [NULL, 'rejected', 'rejected', 'unreachable', 'unreachable', NULL][(event_id % 6 + 1)::INT] IS NOT DISTINCT FROM 'unreachable' OR event_id % 6 = 5 AS retryable, ['none', 'rejected', 'rejected', 'unreachable', 'unreachable', 'unreachable'][(event_id % 6 + 1)::INT] AS error FROM events")
 def ocr_retryable(t: Tables):
-    return t.events.select("event_id", (F.when(F.col("event_type") == "error", "rejected").otherwise("unreachable") != "rejected").alias("retryable"))
+    status = F.element_at(F.array(*[F.lit(x).cast("int") for x in (200, 400, 422, 500, 503, None)]), (F.col("event_id") % 6 + 1).cast("int"))
+    error, again = routing.ocr_error(status)
+    return t.events.select("event_id", again.alias("retryable"), F.coalesce(error, F.lit("none")).alias("error"))
 
 
 @R.query("model_lookup", "SELECT p_partkey, p_brand FROM part WHERE p_brand = 'Brand#11' AND p_size > 10")
@@ -118,8 +158,31 @@ def model_usable(t: Tables):
     return t.part.where("p_size > 5").join(configured, "p_brand", "left_semi").select("p_partkey")
 
 
-@R.query("agent_lifecycle", "SELECT o_custkey AS agent, max(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS draft, max(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS published FROM orders GROUP BY 1")
+_ACTIONS = ("update", "publish", "pause", "update", "rollback", "resume", "update", "publish", "rollback", "resume", "archive")
+
+
+@R.query(
+    "agent_lifecycle",
+    """WITH RECURSIVE e AS (SELECT o_custkey AS agent, o_orderkey AS event, ['update', 'publish', 'pause', 'update', 'rollback', 'resume', 'update', 'publish', 'rollback', 'resume', 'archive'][(o_orderkey * 7 % 11 + 1)::INT] AS action, o_orderkey % 4 + 1 AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+    s AS (SELECT DISTINCT agent, 0::BIGINT AS event, 0::BIGINT AS n, 'draft' AS status, 1::BIGINT AS draft, NULL::BIGINT AS published, NULL::VARCHAR AS refusal FROM e
+      UNION ALL SELECT e.agent, e.event, e.n,
+        CASE WHEN s.status = 'archived' OR e.action = 'archive' THEN 'archived' WHEN e.action = 'pause' THEN 'paused' WHEN e.action = 'resume' AND s.published IS NOT NULL THEN 'active'
+          WHEN s.status = 'draft' AND (e.action = 'publish' OR (e.action = 'rollback' AND e.version <= s.draft)) THEN 'active' ELSE s.status END,
+        s.draft + (e.action = 'update' AND s.status <> 'archived')::INT,
+        CASE WHEN s.status = 'archived' THEN s.published WHEN e.action = 'publish' THEN s.draft WHEN e.action = 'rollback' AND e.version <= s.draft THEN e.version ELSE s.published END,
+        CASE WHEN s.status = 'archived' AND e.action <> 'archive' THEN 'agent_archived' WHEN e.action = 'rollback' AND e.version > s.draft THEN 'version_not_found' WHEN e.action = 'resume' AND s.published IS NULL THEN 'nothing_to_publish' END
+      FROM s JOIN e ON e.agent = s.agent AND e.n = s.n + 1)
+    SELECT agent, event, status, draft, published, refusal FROM s WHERE n > 0""",
+)
 def agent_lifecycle(t: Tables):
+    """Orders as actions on their customer's agent."""
+    action = F.element_at(F.array(*[F.lit(a) for a in _ACTIONS]), (F.col("o_orderkey") * 7 % 11 + 1).cast("int"))
+    events = t.orders.select(F.col("o_custkey").alias("agent"), F.col("o_orderkey").alias("event"), action.alias("action"), (F.col("o_orderkey") % 4 + 1).alias("version"))
+    return lifecycle.agent_states(events, "agent", "event", "action", "version").drop("action", "version")
+
+
+@R.query("agent_versions", "SELECT o_custkey AS agent, max(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS draft, max(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS published FROM orders GROUP BY 1")
+def agent_versions(t: Tables):
     """The newest draft and the newest published version of each agent."""
     newest = lambda s: F.max(F.when(F.col("o_orderstatus") == s, F.col("o_orderkey")))
     return t.orders.groupBy(F.col("o_custkey").alias("agent")).agg(newest("O").alias("draft"), newest("F").alias("published"))

@@ -95,10 +95,25 @@ def project_meta_defaults(t: Tables):
 
 @R.query(
     "validate_config",
+    """SELECT p_partkey, [x FOR x IN [CASE WHEN p_partkey % 20 = 0 THEN 'schema_version' END, CASE WHEN length(p_name) * p_size * 30 > 20000 THEN 'instructions' END, CASE WHEN p_size * 2 NOT BETWEEN 1 AND 50 THEN 'top_k' END,
+      CASE WHEN (p_partkey * 997) % 120000 NOT BETWEEN 500 AND 100000 THEN 'budget' END, CASE WHEN p_size / 40.0 > 1 THEN 'relevance' END, CASE WHEN p_partkey % 13 - 1 < 0 OR p_partkey % 13 - 1 > 10 THEN 'lambda' END,
+      CASE WHEN p_partkey % 3 = 0 AND p_size < 10 THEN 'fallback' END, CASE WHEN p_partkey % 60 > 50 THEN 'history' END, CASE WHEN p_partkey % 17 = 0 THEN 'tools' END] IF x IS NOT NULL] AS problems FROM part""",
+)
+def validate_config(t: Tables):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    settings = {
+        "schema_version": F.when(key % 20 == 0, 2).otherwise(1), "instructions": F.repeat("p_name", size * 30), "top_k": size * 2, "budget": key * 997 % 120_000, "relevance": size / 40, "lambda": (key % 13 - 1) / 10,
+        "strict": key % 3 == 0, "fallback": F.when(size < 10, " ").otherwise("Ask us."), "history": key % 60, "tools": F.when(key % 17 == 0, F.array(F.lit("search"))).otherwise(F.array()),
+    }
+    return t.part.select("p_partkey", scalars.config_problems(settings).alias("problems"))
+
+
+@R.query(
+    "validate_ranges",
     """SELECT p_partkey, [x FOR x IN [CASE WHEN p_size NOT BETWEEN 1 AND 45 THEN 'top_k' END, CASE WHEN p_retailprice * 10 NOT BETWEEN 500 AND 100000 THEN 'budget' END,
       CASE WHEN p_size / 40.0 NOT BETWEEN 0 AND 1 THEN 'relevance' END] IF x IS NOT NULL] AS problems FROM part""",
 )
-def validate_config(t: Tables):
+def validate_ranges(t: Tables):
     ranges = {"top_k": (F.col("p_size"), 1, 45), "budget": (F.col("p_retailprice") * 10, 500, 100_000), "relevance": (F.col("p_size") / 40, 0, 1)}
     return t.part.select("p_partkey", scalars.out_of_range(ranges).alias("problems"))
 

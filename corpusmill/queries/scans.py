@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as fn
-from corpusmill.operators import lifecycle
+from corpusmill.operators import lifecycle, usage
 from corpusmill.queries import Registry, Tables
 from corpusmill.sources import parsers, records
 
@@ -207,9 +207,9 @@ def scan_binary(t: Tables):
     return lifecycle.object_sizes(t.documents, "source", "text")
 
 
-@R.query("metrics_sink", """SELECT le, (SELECT count(*) FROM events WHERE value <= le) AS observations FROM (SELECT unnest([1.0, 5.0, 10.0, 50.0, 100.0, 500.0, 1000.0])::DOUBLE AS le)""")
+@R.query("metrics_sink", """SELECT le, (SELECT count(*) FROM events WHERE value / 5 <= le) AS observations FROM (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.2, 0.4, 0.8, 1.5, 3.0, 6.0, 15.0, 30.0, 60.0])::DOUBLE AS le)""")
 def metrics_sink(t: Tables):
-    return lifecycle.cumulative_histogram(t.events, "value", [1.0, 5.0, 10.0, 50.0, 100.0, 500.0, 1000.0])
+    return lifecycle.cumulative_histogram(t.events.select((F.col("value") / 5).alias("seconds")), "seconds", usage.LATENCY)
 
 
 @R.query("table_source_md", """SELECT l_orderkey, count(*) AS table_rows, 3 * count(*) AS cells FROM lineitem GROUP BY 1""")
