@@ -137,13 +137,13 @@ def repo_retire_versions(t: Tables):
 
 @R.query(
     "health_rollup",
-    """WITH m AS (SELECT p_brand, p_type, count(*) FILTER (WHERE p_size > 5) AS enabled, count(*) FILTER (WHERE p_size > 5 AND p_partkey % 4 <> 0) AS usable, count(*) FILTER (WHERE p_size = 7) AS dead FROM part GROUP BY ALL)
+    """WITH m AS (SELECT p_brand, p_type, count(*) FILTER (WHERE p_size > 30) AS enabled, count(*) FILTER (WHERE p_size > 30 AND p_partkey % 3 = 0) AS usable, count(*) FILTER (WHERE p_size = 7) AS dead FROM part GROUP BY ALL)
     SELECT p_brand, p_type, CASE WHEN usable = 0 THEN 'failing' WHEN usable < enabled THEN 'degraded' ELSE 'ok' END AS models, CASE WHEN dead > 0 THEN 'degraded' ELSE 'ok' END AS queue, CASE WHEN usable = 0 THEN 'failing' ELSE 'ok' END AS health FROM m""",
 )
 def health_rollup(t: Tables):
     """Instances by brand and type; parts are their models, some switched off, some with an open circuit, and some dead jobs."""
-    on = F.col("p_size") > 5
-    counts = t.part.groupBy("p_brand", "p_type").agg(F.count_if(on).alias("enabled"), F.count_if(on & (F.col("p_partkey") % 4 != 0)).alias("usable"), F.count_if(F.col("p_size") == 7).alias("dead"))
+    on = F.col("p_size") > 30
+    counts = t.part.groupBy("p_brand", "p_type").agg(F.count_if(on).alias("enabled"), F.count_if(on & (F.col("p_partkey") % 3 == 0)).alias("usable"), F.count_if(F.col("p_size") == 7).alias("dead"))
     models, queue, whole = usage.readiness(F.col("usable"), F.col("enabled"), F.col("dead"))
     return counts.select("p_brand", "p_type", models.alias("models"), queue.alias("queue"), whole.alias("health"))
 

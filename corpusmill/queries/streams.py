@@ -26,10 +26,10 @@ def _steps(seed: str, step: str, verdict: str, extra: str = "0") -> str:
     SELECT user_id, event_id, {verdict} FROM s WHERE n > 0"""
 
 
-def _limit(name: str, step, out: str, state: str, extra=None, sql: str | None = None):
+def _limit(name: str, step, out: str, state: str, extra=None, sql: str | None = None, idle: float | None = None):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _events(spark, sf_dir).withColumn("extra", extra() if extra is not None else F.lit(0))
-        return run.drain(limits.keyed(rows, "user_id", "at", "event_id", "extra", step, out, state))
+        return run.drain(limits.keyed(rows, "user_id", "at", "event_id", "extra", step, out, state, idle))
 
     R.queries[name] = query
     if sql:
@@ -87,12 +87,12 @@ def _job_sql(most_tries: int, stale_days: int, event: str) -> str:
     )
 
 
-_limit("st_rate_limit", limits.fixed_window(3, _DAY), "allowed boolean, remaining int, reset double", "began double, hits int", sql=_window_sql("s.hits + 1", "s.hits < 3"))
-_limit("st_site_limit", limits.fixed_window(3, _DAY, count_denied=False), "allowed boolean, remaining int, reset double", "began double, hits int", sql=_window_sql("least(s.hits + 1, 3)", "s.hits < 3"))
-_limit("st_sliding_limit", limits.sliding_window(3, _DAY), "allowed boolean, hits int", "recent array<double>", sql=_RECENT_SQL)
+_limit("st_rate_limit", limits.fixed_window(3, _DAY), "allowed boolean, remaining int, reset double", "began double, hits int", sql=_window_sql("s.hits + 1", "s.hits < 3"), idle=_DAY)
+_limit("st_site_limit", limits.fixed_window(3, _DAY, count_denied=False), "allowed boolean, remaining int, reset double", "began double, hits int", sql=_window_sql("least(s.hits + 1, 3)", "s.hits < 3"), idle=_DAY)
+_limit("st_sliding_limit", limits.sliding_window(3, _DAY), "allowed boolean, hits int", "recent array<double>", sql=_RECENT_SQL, idle=_DAY)
 _limit("st_circuit", limits.circuit(3, 2 * _DAY, _DAY), "phase string, called boolean", "recent array<double>, opened double", lambda: F.col("event_type").isin("error", "view"), _CIRCUIT_SQL)
-_limit("st_touch_throttle", limits.throttle(_DAY), "touched boolean", "last double", sql=_since_sql("NOT kept AS touched"))
-_limit("st_ttl_cache", limits.cached(_DAY), "hit boolean", "loaded double", sql=_since_sql("kept AS hit"))
+_limit("st_touch_throttle", limits.throttle(_DAY), "touched boolean", "last double", sql=_since_sql("NOT kept AS touched"), idle=_DAY)
+_limit("st_ttl_cache", limits.cached(_DAY), "hit boolean", "loaded double", sql=_since_sql("kept AS hit"), idle=_DAY)
 
 
 def _job_event():

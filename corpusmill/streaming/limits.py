@@ -3,7 +3,8 @@
 Each is a small state machine per key: a pure step function (state, time) ->
 (state, verdict), driven by Spark's arbitrary state.  Times come from the events,
 so a replay gives the same verdicts; rows of a key are taken in time order within
-a micro-batch.
+a micro-batch, and by batch across them.  Where state means nothing after some time
+without events, ``idle`` says so and Spark drops it once the watermark has passed.
 """
 
 from __future__ import annotations
@@ -13,18 +14,28 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 Step = Callable[[tuple | None, float, Any], tuple[tuple, tuple]]
 
 
-def keyed(events: DataFrame, key: str, time: str, event_id: str, extra: str, step: Step, out: str, state: str) -> DataFrame:
+def keyed(events: DataFrame, key: str, time: str, event_id: str, extra: str, step: Step, out: str, state: str, idle: float | None = None, late: float = 2 * 86400.0) -> DataFrame:
     """key, event_id and the verdict columns ``out`` of every event; ``state`` is the schema of a key's state.
 
     ``events`` has key (long), time (seconds, double), event_id (long) and ``extra``.
+    With ``idle``, a key's state is dropped when that many seconds have passed since
+    its last event, by a watermark ``late`` seconds behind the latest one; events that
+    come later than that, or lie before 1970, are left out.  Verdicts stay the same where the step treats
+    state of that age like none.  Without ``idle`` state is kept as long as the stream.
     """
+    if idle is not None:
+        events = events.withColumn("_at", F.timestamp_micros((F.col(time) * 1_000_000).cast("long"))).withWatermark("_at", f"{late} seconds")
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         now = held.get if held.exists else None
         rows = pd.concat(list(frames), ignore_index=True).sort_values([time, event_id], kind="stable")
         verdicts = []
@@ -33,10 +44,13 @@ def keyed(events: DataFrame, key: str, time: str, event_id: str, extra: str, ste
             verdicts.append((group[0], number, *verdict))
         if now is not None:
             held.update(now)
+            if idle is not None:
+                ends = int((float(rows[time].iloc[-1]) + idle) * 1000) + 1
+                held.setTimeoutTimestamp(max(ends, held.getCurrentWatermarkMs() + 1))
         names = [key, event_id, *[c.split()[0] for c in out.split(", ")]]
         yield pd.DataFrame(verdicts, columns=names)
 
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} long, {event_id} long, {out}", state, "append", "NoTimeout")
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} long, {event_id} long, {out}", state, "append", "NoTimeout" if idle is None else "EventTimeTimeout")
 
 
 def fixed_window(limit: int, seconds: float, count_denied: bool = True) -> Step:
