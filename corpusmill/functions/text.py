@@ -32,10 +32,15 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
 
 
+def dehyphenate(c: Column | str) -> Column:
+    """Words that a hyphen parts at a line's end are joined, if the next line begins with a small letter."""
+    return F.regexp_replace(_col(c), r"-[ \t]*\n\s*(?=\p{Ll})", "")
+
+
 def normalize(c: Column | str) -> Column:
     """Hyphens at line ends joined, control characters dropped, blanks and blank lines folded."""
     c = F.regexp_replace(_col(c), r"\r\n?", "\n")
-    c = F.regexp_replace(c, r"-[ \t]*\n\s*(?=\p{Ll})", "")
+    c = dehyphenate(c)
     c = F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F\x7F]", "")
     c = F.regexp_replace(c, r"[ \t]+", " ")
     c = F.regexp_replace(c, r" ?\n ?", "\n")

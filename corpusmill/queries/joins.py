@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill.functions import papers
 from corpusmill.functions import text as fn
 from corpusmill.operators import guard, lifecycle, links, reconcile
 from corpusmill.queries import Registry, Tables
@@ -111,9 +112,11 @@ def set_difference_unexpected(t: Tables):
     return lifecycle.missing_ids(t.part.select("p_partkey"), t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
 
 
-@R.query("set_unknown_units", "SELECT o_custkey, list_sort([x FOR x IN list(DISTINCT o_orderpriority) IF x NOT IN ('1-URGENT', '2-HIGH')]) AS unknown FROM orders GROUP BY 1")
+@R.query("set_unknown_units", "SELECT l_orderkey, list_sort([x FOR x IN list(DISTINCT ['กก.', 'กล่อง', 'crate', 'ลัง', 'barrel', NULL][(l_partkey % 6 + 1)::INT]) IF x IN ('crate', 'barrel')]) AS unknown FROM lineitem GROUP BY 1")
 def set_unknown_units(t: Tables):
-    return t.orders.groupBy("o_custkey").agg(F.array_sort(F.array_except(F.collect_set("o_orderpriority"), F.array(F.lit("1-URGENT"), F.lit("2-HIGH")))).alias("unknown"))
+    """Units of each order's lines, two of them in no list and one missing."""
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("กก.", "กล่อง", "crate", "ลัง", "barrel", None)]), (F.col("l_partkey") % 6 + 1).cast("int"))
+    return t.lineitem.groupBy("l_orderkey").agg(papers.unknown_units(F.collect_set(unit)).alias("unknown"))
 
 
 @R.query("set_replace_links", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 4 <> 0 UNION ALL SELECT l_orderkey, 1 FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 4 = 0)")
@@ -122,6 +125,7 @@ def set_replace_links(t: Tables):
     return lifecycle.replace_links(old, "l_orderkey", old.where("l_orderkey % 4 = 0").select("l_orderkey", F.lit(1).cast("long").alias("l_partkey")).distinct())
 
 
-@R.query("set_dedupe_citations", "SELECT conv_id, turn, [3, 1, 2] AS cited FROM conversations")
+@R.query("set_dedupe_citations", "SELECT conv_id, turn, [x FOR x, i IN all_of IF list_position(all_of, x) = i] AS cited FROM (SELECT conv_id, turn, [(turn % 4)::INT, 1, (conv_id % 3)::INT, 2, 1] AS all_of FROM conversations)")
 def set_dedupe_citations(t: Tables):
-    return t.conversations.select("conv_id", "turn", fn.citations(F.lit("[3][1] and [3], [2] [1]")).alias("cited"))
+    answer = F.concat(F.lit("["), F.col("turn") % 4, F.lit("][1] and ["), F.col("conv_id") % 3, F.lit("], [2] [x] [] [1]"))
+    return t.conversations.select("conv_id", "turn", fn.citations(answer).alias("cited"))

@@ -29,10 +29,16 @@ def win_chunk_index(t: Tables):
     return found.select("l_orderkey", "l_linenumber", (F.col("k") - 1).cast("long").alias("chunk_index"))
 
 
-@R.query("win_heading_path", "SELECT o_orderkey, ['a' || o_orderkey, 'c'] AS path FROM orders")
+@R.query(
+    "win_heading_path",
+    """WITH RECURSIVE h AS (SELECT conv_id, coalesce(length(text), 0) % 4 + 1 AS level, role || ' ' || turn AS head, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+    s AS (SELECT DISTINCT conv_id, 0::BIGINT AS n, []::VARCHAR[] AS path FROM h UNION ALL SELECT h.conv_id, h.n, s.path[1:(level - 1)] || [head] FROM s JOIN h ON h.conv_id = s.conv_id AND h.n = s.n + 1)
+    SELECT conv_id, arg_max(path, n) AS path FROM s GROUP BY 1""",
+)
 def win_heading_path(t: Tables):
-    heads = F.array(*[F.struct(F.lit(level).alias("level"), text.alias("text")) for level, text in ((1, F.concat(F.lit("a"), "o_orderkey")), (3, F.lit("b")), (2, F.lit("c")))])
-    return t.orders.select("o_orderkey", chunking.heading_path(heads).alias("path"))
+    """Turns as headings whose level follows their length: deeper, back, and levels passed over."""
+    head = F.struct("turn", (F.coalesce(F.char_length("text"), F.lit(0)) % 4 + 1).alias("level"), F.concat("role", F.lit(" "), "turn").alias("text"))
+    return t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(head)).alias("heads")).select("conv_id", chunking.heading_path(F.col("heads")).alias("path"))
 
 
 @R.query(
@@ -93,10 +99,11 @@ def win_history_turns(t: Tables):
     return chunking.history(t.conversations, 2).select("conv_id", "turn", "role")
 
 
-@R.query("win_dehyphenate", r"""SELECT doc_id, sha256('exam' || 'ple ' || lower(left(text, 20))) AS digest FROM documents""")
+@R.query("win_dehyphenate", r"""SELECT doc_id, sha256(regexp_replace(replace(replace(text, 'e ', '- ' || chr(10)), 'n ', '-' || chr(10) || ' '), '-[ \t]*\n[ \t-\r]*(\p{Ll})', '\1', 'g')) AS digest FROM documents""")
 def win_dehyphenate(t: Tables):
-    joined = F.regexp_replace(F.concat(F.lit("exam-\nple "), F.lower(F.left("text", F.lit(20)))), r"-[ \t]*\n\s*(?=\p{Ll})", "")
-    return t.documents.select("doc_id", fn.content_hash(joined).alias("digest"))
+    """Whole texts with hyphens and line ends put where many of their words end."""
+    broken = F.replace(F.replace("text", F.lit("e "), F.lit("- \n")), F.lit("n "), F.lit("-\n "))
+    return t.documents.select("doc_id", fn.content_hash(fn.dehyphenate(broken)).alias("digest"))
 
 
 @R.query("win_first_wins", "SELECT doc_id, min(l) AS list_no FROM (SELECT doc_id, 0 AS l FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1 FROM documents) GROUP BY 1")

@@ -125,10 +125,12 @@ def rag_context(t: Tables):
     return context.build(rows).select("query_id", fn.content_hash("knowledge").alias("knowledge_sha256"), "token_estimate")
 
 
-@R.query("rag_cited", "SELECT conv_id, turn, [2] AS cited, TRUE AS grounded FROM conversations WHERE role = 'assistant'")
+@R.query("rag_cited", "SELECT *, len(cited) > 0 AS grounded FROM (SELECT conv_id, turn, [i FOR i IN [1, 2, 3] IF i = turn % 5 + 1 OR (i = 2 AND conv_id % 4 = 0)] AS cited FROM conversations WHERE role = 'assistant')")
 def rag_cited(t: Tables):
+    """Answers that cite sources there are, such as there are not, or both; there are three."""
     sources = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct(i.alias("index")))
-    cited = context.cited(F.concat("text", F.lit(" [2] and [7]")), sources)
+    marks = F.concat(F.lit(" ["), F.col("turn") % 5 + 1, F.lit("] and [7]"), F.when(F.col("conv_id") % 4 == 0, " [2]").otherwise(""))
+    cited = context.cited(F.concat(F.coalesce("text", F.lit("")), marks), sources)
     return t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.transform(cited, lambda s: s["index"]).alias("cited"), (F.size(cited) > 0).alias("grounded"))
 
 
@@ -150,9 +152,11 @@ def rag_guard_input(t: Tables):
     return guard.check_messages(t.conversations.select("conv_id", "turn", asked.alias("text")), "text").select("conv_id", "turn", "ok", "reason", "pattern")
 
 
-@R.query("rag_guard_output", r"""SELECT item_id, len(regexp_split_to_array(trim(text, E' \n'), '\s+')) >= 12 AS leaked FROM benchmark""")
+@R.query("rag_guard_output", r"""SELECT item_id, item_id % 3 = 0 AND len(regexp_split_to_array(trim(text, E' \n'), '\s+')) >= 12 AS leaked FROM benchmark""")
 def rag_guard_output(t: Tables):
-    answers = t.benchmark.select("item_id", F.concat(F.lit("It says: "), "text").alias("answer"))
+    """Answers that quote their instructions in whole, eight words of them, or nothing."""
+    quoted = F.when(F.col("item_id") % 3 == 0, F.col("text")).when(F.col("item_id") % 3 == 1, F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")).otherwise("nothing of the kind")
+    answers = t.benchmark.select("item_id", F.concat(F.lit("It says: "), quoted).alias("answer"))
     told = t.benchmark.select("item_id", F.col("text").alias("instructions"))
     return guard.replace_leaks(answers, told, "item_id", "Sorry.").select("item_id", "leaked")
 
@@ -268,6 +272,19 @@ def conv_read(t: Tables):
     return t.conversations.join(erased, "conv_id", "left_anti").groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"))
 
 
+@R.query("conv_list", "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY 1 ORDER BY last_turn DESC, conv_id LIMIT 200")
+def conv_list(t: Tables):
+    """A page of at most 200 conversations: the limit is the feature."""
+    counted = t.conversations.groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"))
+    return counted.orderBy(F.desc("last_turn"), "conv_id").limit(200)
+
+
+@R.query("conv_detail", "SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 200")
+def conv_detail(t: Tables):
+    """At most 200 messages of every conversation: the limit is the feature."""
+    return lifecycle.row_numbers(t.conversations, ["conv_id"], ["turn"], "k").where("k <= 200").select("conv_id", "turn", "role", "text")
+
+
 @R.query("chat_history_sizes", "SELECT conv_id, turn, greatest(len([x FOR x IN regexp_split_to_array(trim(text, E' \\n'), '\\s+') IF x <> ''])::INT, (length(text) // 4)::INT) AS rough_tokens FROM conversations")
 def chat_history_sizes(t: Tables):
     return t.conversations.select("conv_id", "turn", fn.estimate_tokens("text", 4, 0).alias("rough_tokens"))
