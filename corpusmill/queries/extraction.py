@@ -117,15 +117,32 @@ def ex_reconcile(t: Tables):
     return reconcile.by_key(total(bought.where("l_linenumber <= 5")), total(bought.where("l_returnflag <> 'R'")), ["o_custkey", "l_partkey"])
 
 
-def _heads(t: Tables):
+def _heads(t: Tables, made=None):
     text = F.array_join(fn.plain_lines("md"), "\n")
     money = fn.totals(fn.plain_lines("md"))["subtotal"].isNotNull()
-    return _papers(t).select("l_orderkey", fn.found(text, fn.DOC_NO).alias("doc_no"), fn.found(text, fn.DOC_DATE).alias("date"), fn.paper_type(F.lit(True), money).alias("doc_type"))
+    return (_papers(t) if made is None else made).select("l_orderkey", fn.found(text, fn.DOC_NO).alias("doc_no"), fn.found(text, fn.DOC_DATE).alias("date"), fn.paper_type(F.lit(True), money).alias("doc_type"))
 
 
-@R.query("ex_structural", "SELECT l_orderkey, TRUE AS has_doc_no, TRUE AS date_plausible, TRUE AS rows_sequential, TRUE AS all_rows_have_qty, TRUE AS units_recognized, []::VARCHAR[] AS reasons FROM lineitem GROUP BY 1")
+def _with_faults(t: Tables):
+    """Papers of which a fifth each has no number, a date of long ago, no date at all, or rows that begin with 9."""
+    md, fault = F.col("md"), F.col("l_orderkey") % 5
+    faulty = (
+        F.when(fault == 1, F.regexp_replace(md, "<p>เลขที่ [^<]*</p>", ""))
+        .when(fault == 2, F.replace(md, F.lit("12/03/2568"), F.lit("12/03/2540")))
+        .when(fault == 3, F.replace(md, F.lit("<tr><td>1</td>"), F.lit("<tr><td>9</td>")))
+        .when(fault == 4, F.replace(md, F.lit("<p>วันที่ 12/03/2568</p>"), F.lit("")))
+    )
+    return _papers(t).select("l_orderkey", F.coalesce(faulty, md).alias("md"))
+
+
+@R.query(
+    "ex_structural",
+    """SELECT l_orderkey, f <> 1 AS has_doc_no, f NOT IN (2, 4) AS date_plausible, f <> 3 AS rows_sequential, TRUE AS all_rows_have_qty, TRUE AS units_recognized,
+      [['has_doc_no'], ['date_plausible'], ['rows_sequential'], ['has_date', 'date_plausible'], []][CASE f WHEN 0 THEN 5 ELSE f END] AS reasons FROM (SELECT DISTINCT l_orderkey, (l_orderkey % 5)::INT AS f FROM lineitem)""",
+)
 def ex_structural(t: Tables):
-    checked = papers.structural(papers.line_items(_papers(t), "l_orderkey", "md"), _heads(t), "l_orderkey", 2026)
+    made = _with_faults(t)
+    checked = papers.structural(papers.line_items(made, "l_orderkey", "md"), _heads(t, made), "l_orderkey", 2026)
     return checked.select("l_orderkey", "has_doc_no", "date_plausible", "rows_sequential", "all_rows_have_qty", "units_recognized", "reasons")
 
 
