@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as fn
 from corpusmill.operators import filters, lifecycle, routing, usage
 from corpusmill.queries import Registry, Tables
+from corpusmill.sources import parsers
 
 R = Registry()
 
@@ -114,15 +115,30 @@ def ingest_outcome(t: Tables):
     return t.documents.select("doc_id", F.when(bad, "failed").otherwise("ready").alias("status"), F.when(bad, F.left(F.concat(F.lit("cannot read "), "text"), F.lit(1000))).alias("error_message"))
 
 
-@R.query("lang_sample", "SELECT doc_id, length(array_to_string(string_split(text, chr(10))[1:40], chr(10)))::INT AS sample_chars FROM documents")
+@R.query(
+    "lang_sample",
+    "SELECT doc_id, sha256(array_to_string(parts[1:20], chr(10))) AS of_records, sha256(array_to_string(parts[1:40], chr(10))) AS of_blocks, sha256(array_to_string(parts[1:5], chr(10))) AS of_pages FROM (SELECT doc_id, string_split(text, ' ') AS parts FROM documents)",
+)
 def lang_sample(t: Tables):
-    return t.documents.select("doc_id", F.char_length(F.array_join(F.slice(F.split("text", "\n"), 1, 40), "\n")).alias("sample_chars"))
+    """Words stand for the records, blocks and pages of a file."""
+    parts = F.split("text", " ")
+    return t.documents.select("doc_id", *[F.sha2(parsers.language_sample(parts, kind).cast("binary"), 256).alias(f"of_{kind}s") for kind in ("record", "block", "page")])
 
 
-@R.query("parse_errors", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'empty' WHEN doc_id % 3 = 1 AND length(text) > 1000 THEN 'too_large' END AS error_code FROM documents")
+@R.query(
+    "parse_errors",
+    """SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'unsupported_file_type' WHEN (doc_id % 8 = 1 AND length(text) > 2000) OR (doc_id % 8 = 2 AND length(text) * 100 > 100000) OR (doc_id % 8 = 3 AND strlen(text) * 40000 > 67108864) THEN 'file_too_large'
+      WHEN doc_id % 11 = 0 AND length(text) > 120 THEN 'parse_timeout' WHEN (doc_id % 8 = 4 AND doc_id % 3 <> 0) OR doc_id % 8 = 5 THEN 'no_extractable_text' END AS error_code FROM documents""",
+)
 def parse_errors(t: Tables):
-    text = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text"))
-    return t.documents.select("doc_id", F.when(fn.strip(text) == "", "empty").when((F.col("doc_id") % 3 == 1) & (F.char_length(text) > 1000), "too_large").alias("error_code"))
+    """Documents as files of several kinds; their lengths stand for pages, records, seconds and bytes."""
+    key, chars = F.col("doc_id"), F.char_length("text")
+    kinds = F.array(*[F.lit(k) for k in (None, "pdf", "csv", "docx", "image", "text", "text", "text")])
+    text = F.when(key % 8 == 5, " \n ").otherwise(F.col("text"))
+    code = parsers.refusal(
+        F.element_at(kinds, (key % 8 + 1).cast("int")), text, F.when(key % 8 == 1, chars), F.when(key % 8 == 2, chars * 100), F.when(key % 11 == 0, chars), F.when(key % 8 == 3, F.octet_length("text").cast("long") * 40_000), key % 3 == 0
+    )
+    return t.documents.select("doc_id", code.alias("error_code"))
 
 
 @R.query("token_estimate_chunk", r"SELECT conv_id, turn, greatest(len([x FOR x IN regexp_split_to_array(trim(text, E' \n'), '\s+') IF x <> ''])::INT, (length(text) // 3)::INT, 1) AS tokens FROM conversations")

@@ -31,6 +31,34 @@ LEAST_CHARS, MOST_XML = 32, 64 << 20
 _BLOCK_FIELDS = [T.StructField("pos", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType())]
 
 
+# fixed values: pages, records and seconds that a file may take
+MOST_PAGES, MOST_RECORDS, MOST_SECONDS = 2000, 100_000, 120
+
+
+def refusal(kind: Column, text: Column, pages: Column, records: Column, seconds: Column, xml_bytes: Column, can_ocr: Column) -> Column:
+    """The code under which a file is refused, null for one that is taken; null counts are within their limits.
+
+    What cannot be read at all comes first, then what is too large or took too long, and
+    last what holds no text, or only on pictures while nothing can recognize it.
+    """
+    large = F.coalesce(pages > MOST_PAGES, F.lit(False)) | F.coalesce(records > MOST_RECORDS, F.lit(False)) | F.coalesce(xml_bytes > MOST_XML, F.lit(False))
+    return (
+        F.when(kind.isNull(), "unsupported_file_type")
+        .when(large, "file_too_large")
+        .when(F.coalesce(seconds > MOST_SECONDS, F.lit(False)), "parse_timeout")
+        .when(((kind == "image") & ~F.coalesce(can_ocr, F.lit(False))) | (fn.strip(F.coalesce(text, F.lit(""))) == ""), "no_extractable_text")
+    )
+
+
+# fixed values: records, blocks and pages whose text tells the language
+SAMPLED = {"record": 20, "block": 40, "page": 5}
+
+
+def language_sample(parts: Column, kind: str) -> Column:
+    """The text that a file's language is told from: its first parts, as many as fit their kind."""
+    return F.array_join(F.slice(parts, 1, SAMPLED[kind]), "\n")
+
+
 def parser_for(source_type: Column | str) -> Column:
     known = F.create_map(*[F.lit(x) for kv in PARSERS.items() for x in kv])
     return F.coalesce(F.try_element_at(known, F.col(source_type) if isinstance(source_type, str) else source_type), F.lit("unsupported"))
