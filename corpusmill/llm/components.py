@@ -23,6 +23,8 @@ def connected(links: DataFrame) -> DataFrame:
     labels = start.select("node", "label")
     linked = hot_keys(start.withColumnRenamed("node", "b"), "b")
     nodes = start.count()
+    if not nodes:
+        return labels
     while True:
         around = lookup(both, labels.withColumnRenamed("node", "b"), "b", linked, "a").groupBy("a").agg(F.min("label").alias("near"))
         nearer = labels.join(around.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))

@@ -149,9 +149,10 @@ def _star_links(stars: DataFrame, members: DataFrame, percent: int) -> DataFrame
             yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
     for column, keep in (("sketch", agreeing), ("elements", confirmed)):
-        both = stars.join(members.select(F.col("node").alias("a"), F.col(column).alias("of_a")), "a")
-        both = lookup(both, members.select(F.col("node").alias("b"), F.col(column).alias("of_b")), "b", hot, "a")
-        stars = both.select("a", "b", "of_a", "of_b").mapInArrow(keep, "a long, b long")
+        both = stars.join(members.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(column).alias("of_a")), "a")
+        both = lookup(both, members.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col(column).alias("of_b")), "b", hot, "a")
+        fitting = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        stars = fitting.select("a", "b", "of_a", "of_b").mapInArrow(keep, "a long, b long")
     return stars
 
 
@@ -224,7 +225,7 @@ def _with_partners(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def _links_of_blocks(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links between components, confirmed on full sets in the block's own task.
+    """Links between components (their labels), confirmed on full sets in the block's own task.
 
     A pair is looked at unless its two ends are joined in this block already, so that
     a block gives fewer links than it has rows, however many pairs it has.
@@ -248,7 +249,7 @@ def _links_of_blocks(blocks: DataFrame, percent: int) -> DataFrame:
                         own, theirs = top(int(found.label[x])), top(int(found.label[y]))
                         if theirs != own and _linked(sets[x - start], sets[y - start], percent):
                             above[theirs] = own
-                            links.append((int(found.node[x]), int(found.node[y])))
+                            links.append((int(found.label[x]), int(found.label[y])))
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
@@ -316,12 +317,11 @@ def _components(docs: DataFrame, text_col: str, id_col: str, shingle: int, perce
     classes = sketches.where("n > 0").groupBy("set_id").agg(F.min(rank).alias("first"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    # buckets of several classes, with their members; a bucket's centre is its first class
-    placed = classes.select("node", "n", F.struct("first", "node", "n").alias("order"), F.explode("bands").alias("key"))
-    buckets = placed.groupBy("key").agg(F.min("order").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    buckets = written(buckets.select("key", "size", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n")), "centres")
+    # buckets of several classes, with their members; a bucket's centre is the class of the lowest number
+    placed = classes.select("node", "n", F.explode("bands").alias("key"))
+    buckets = written(placed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1"), "centres")
     hot = hot_keys(buckets, "key", "size")
-    in_buckets = written(lookup(placed.select("key", "node", "n"), buckets, "key", hot, "node"), "buckets")
+    in_buckets = written(lookup(placed, buckets, "key", hot, "node"), "buckets")
 
     # sets of the classes that are in such buckets
     several = in_buckets.select("node").distinct()
@@ -330,8 +330,7 @@ def _components(docs: DataFrame, text_col: str, id_col: str, shingle: int, perce
     if members.groupBy("node").count().where("count > 1").limit(1).count():  # equal rows that did not meet in one task
         members = members.dropDuplicates(["node"])
 
-    small, large = F.least("n", "centre_n"), F.greatest("n", "centre_n")
-    stars = in_buckets.where((F.col("node") != F.col("centre")) & (100 * small >= percent * large)).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    stars = in_buckets.where(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = cut(_star_links(cut(stars), members, percent))
     labels = connected(links)
 
@@ -340,10 +339,11 @@ def _components(docs: DataFrame, text_col: str, id_col: str, shingle: int, perce
     blocks = _blocks_of(labelled, hot).join(members.select("node", "n", "bands", "sketch"), "node")
     involved = cut(_with_partners(blocks, percent))
     more = _links_of_blocks(involved.join(members.select("node", "elements"), "node"), percent)
-    links = cut(links.unionByName(more))
-    labels = connected(links)
+    # what was one component before is one node now
+    merged = connected(cut(more)).select(F.col("node").alias("label"), F.col("label").alias("over"))
 
-    named = cut(classes.join(labels, "node", "left").select("set_id", "rows", "first", F.coalesce("label", "node").alias("label")))
+    named = classes.join(labels, "node", "left").select("set_id", "rows", "first", F.coalesce("label", "node").alias("label"))
+    named = cut(named.join(merged, "label", "left").select("set_id", "rows", "first", F.coalesce("over", "label").alias("label")))
     lowest = named.groupBy("label").agg(F.min("first").alias("lowest"), F.count("*").alias("classes"))
     of_set = lookup(named, lowest, "label", hot_keys(lowest, "label", "classes"), "set_id")
     of_set = of_set.select("set_id", F.col("lowest.id").alias("component_id"), F.col("lowest.row_key").alias("first_key"))
