@@ -7,10 +7,10 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions import text as fn
+from corpusmill.operators import keyword_index, vector_index
 from corpusmill.operators.fusion import ranked
 
 #: Vectors in a block of questions and of the corpus.
@@ -41,7 +41,7 @@ def _blocks(df: DataFrame, id_col: str, vector_col: str, rows: int, kind: str) -
     return df.select(id_col, vector_col).mapInArrow(run, f"number long, width long, ids array<{kind}>, vectors binary")
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, most: int, digits: int | None = None, spread: int | None = None) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, most: int, digits: int | None = None, spread: int | None = None, ann: bool = False) -> DataFrame:
     """query_id, chunk_id, score, rank of the ``most`` nearest chunks of every question, by cosine.
 
     ``queries`` has query_id and embedding, ``corpus`` chunk_id and embedding; vectors
@@ -49,8 +49,11 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, most: int, digits: int |
     blocks of the corpus in an equi join on shares of the corpus, a task multiplies two
     matrices, and each pair of blocks hands on its best ``most`` per question only.
     There is a share for every ``SHARE`` vectors of the corpus, so that a task holds as
-    much of it at any size; ``spread`` sets another number.
+    much of it at any size; ``spread`` sets another number.  With ``ann`` the corpus is
+    indexed as a graph and walked instead, which may miss some.
     """
+    if ann:
+        return vector_index.search_index(queries, vector_index.index_vectors(corpus), most, digits)
     if spread is None:
         spread = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // SHARE))
     qk, ck = queries.schema["query_id"].dataType.simpleString(), corpus.schema["chunk_id"].dataType.simpleString()
@@ -77,36 +80,9 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, most: int, digits: int |
     return ranked(pairs.mapInArrow(best, f"query_id {qk}, chunk_id {ck}, score double"), most=most)
 
 
-def _cover(placed: Column, terms: Column) -> Column:
-    """Cover density of sorted (position, term number) structs, for ``terms`` terms."""
-    start = F.struct(F.lit(0.0).alias("rank"), F.lit(-1).alias("low"), F.array_repeat(F.lit(-1), terms).alias("last"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.transform(acc["last"], lambda v, i: F.when(i == x["term"], x["pos"]).otherwise(v))
-        low = F.array_min(last)
-        gain = F.when((low >= 0) & (low > acc["low"]), 0.1 / (1.0 + (x["pos"] - low + 1 - terms))).otherwise(0.0)
-        return F.struct((acc["rank"] + gain).alias("rank"), F.greatest(low, acc["low"]).alias("low"), last.alias("last"))
-
-    return F.aggregate(placed, start, step, lambda acc: acc["rank"])
-
-
 def keyword_topk(queries: DataFrame, corpus: DataFrame, most: int) -> DataFrame:
-    """query_id, chunk_id, score, rank of chunks that have all words of a question.
+    """query_id, chunk_id, score, rank of chunks (chunk_id, text) that have all words of a question, by cover density.
 
-    A question's rarest word in the corpus leads: only chunks with that word are
-    candidates, so common words never meet in a join; candidates are then checked
-    for all words on arrays.  Scores are cover densities; a question without words,
-    or with a word that no chunk has, finds nothing.
+    The corpus is indexed first; ``keyword_index`` keeps an index for many searches.
     """
-    asked = queries.select("query_id", fn.lexemes("text").alias("wanted")).where(F.size("wanted") > 0)
-    terms = asked.select("query_id", F.explode("wanted").alias("word"))
-    words = corpus.select("chunk_id", F.explode(fn.lexemes("text")).alias("word"))
-    counts = words.join(terms.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("chunks"))
-    rarest = terms.join(counts, "word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("chunks", F.lit(0)).alias("chunks"), "word")).alias("r"))
-    leads = rarest.where("r.chunks > 0").select("query_id", F.col("r.word").alias("word"))
-    candidates = words.join(leads, "word").select("query_id", "chunk_id").join(asked, "query_id").join(corpus.select("chunk_id", "text"), "chunk_id")
-    in_order = F.filter(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    full = candidates.withColumn("words", in_order).where(F.size(F.array_except("wanted", "words")) == 0)
-    numbered = F.transform("words", lambda w, i: F.struct(i.alias("pos"), (F.array_position("wanted", w) - 1).cast("int").alias("term")))
-    placed = full.select("query_id", "chunk_id", F.filter(numbered, lambda x: x["term"] >= 0).alias("places"), F.size("wanted").alias("terms"))
-    return ranked(placed.select("query_id", "chunk_id", F.round(_cover(F.col("places"), F.col("terms")), 9).alias("score")), most=most)
+    return keyword_index.search_words(queries, keyword_index.index_words(corpus), most)

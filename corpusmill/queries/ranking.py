@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as fn
-from corpusmill.operators import chunking, fusion, lifecycle, search
+from corpusmill.operators import chunking, fusion, lifecycle, search, vector_index
 from corpusmill.queries import Registry, Tables
 
 R = Registry()
@@ -130,6 +130,22 @@ def topk_vector(t: Tables):
     return found.select("query_id", "chunk_id", "rank", "score")
 
 
+@R.query("topk_vector_index")
+def topk_vector_index(t: Tables):
+    """The same questions walked through a graph index of all vectors."""
+    queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.vector_topk(queries, t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), 30, digits=9, ann=True)
+
+
+@R.query("vector_index_recall", "SELECT count(*) * least(30, (SELECT count(*) FROM embeddings)) AS wanted, TRUE AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(t: Tables):
+    """How many of the exact hits there are, and whether the index finds nine of ten of them."""
+    held = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    counted = vector_index.recall(search.vector_topk(queries, held, 30, ann=True), search.vector_topk(queries, held, 30))
+    return counted.agg(F.sum("wanted").alias("wanted"), (F.sum("found") >= 0.9 * F.sum("wanted")).alias("enough"))
+
+
 @R.query(
     "topk_keyword",
     r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct([x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''])) AS word FROM benchmark),
