@@ -108,20 +108,11 @@ def missing_ids(wanted: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return wanted.join(existing.select(key), key, "left_anti")
 
 
-def object_sizes(df: DataFrame, folder: str, content: str) -> DataFrame:
-    return df.groupBy(folder).agg(F.count("*").alias("objects"), F.sum(F.octet_length(content)).alias("bytes"))
-
-
 def cumulative_histogram(df: DataFrame, value: str, bounds: list[float]) -> DataFrame:
     """le, observations: how many values lie at or below each bound, in one pass."""
     counts = df.agg(*[F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(bounds)])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("observations")) for i, b in enumerate(bounds)])).alias("x")).select("x.*")
 
 
-def write_versions(chunks: DataFrame, path: str, document: str = "document_id", version: str = "version") -> None:
-    """Append chunk rows under their document version; a rerun of a version overwrites it alone."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(version).parquet(path)
-
-
 def row_numbers(df: DataFrame, keys: list[str], order: list[Column | str], name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

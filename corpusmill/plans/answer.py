@@ -33,23 +33,34 @@ class Policy:
     width: int = 64
 
 
-def ingest(documents: DataFrame, title: Column | None = None, width: int = 64, embedder: Embedder | None = None) -> DataFrame:
+def _dealt(documents: DataFrame) -> DataFrame:
+    """``documents`` over as many tasks as the cluster runs, if their files would give fewer."""
+    spark = documents.sparkSession
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    tasks = spark.sparkContext.defaultParallelism
+    return documents.repartition(tasks) if size < tasks * split else documents
+
+
+def ingest(documents: DataFrame, title: Column | None = None, width: int = 64, embedder: Embedder | None = None, cache: DataFrame | None = None) -> DataFrame:
     """chunk_id, doc_id, title, chunk_index, content, token_count, page, heading_path, record_key, content_hash, embedding.
 
     ``documents`` has doc_id and either text or, from another parser, blocks (array of
-    structs with kind, level, text, page and key).  Texts are parsed and chunked where
-    they lie; equal contents are embedded once, by their hash, and the vectors come
-    back by an equi join.  ``embedder`` gets the texts of a batch and answers with
-    (index, vector) in any order; without one, words are hashed.
+    structs with kind, level, text, page and key).  Texts are parsed and chunked once,
+    where they lie unless they are few, and the chunks written; equal contents are
+    embedded once, by their hash, and the vectors come back by an equi join.
+    ``embedder`` gets the texts of a batch and answers with (index, vector) in any
+    order; without one, words are hashed.  ``cache`` (content_hash, embedding of the
+    same model) spares the embedder what it has.
     """
+    documents = _dealt(documents)
     blocks = F.col("blocks") if "blocks" in documents.columns else parsers.text_blocks("text")
     named = title if title is not None else F.concat(F.lit("Document "), "doc_id")
-    chunks = chunking.chunk(documents.select("doc_id", named.alias("title"), blocks.alias("blocks"))).withColumn("content_hash", fn.content_hash("content"))
-    once = chunks.groupBy("content_hash").agg(F.first("content").alias("content"))
-    if embedder is None:
-        once = once.select("content_hash", vectors.hashed_words(width)("content").alias("embedding"))
+    chunks = tables.written(chunking.chunk(documents.select("doc_id", named.alias("title"), blocks.alias("blocks"))).withColumn("content_hash", fn.content_hash("content")))
+    if embedder is None and cache is None:
+        once = chunks.groupBy("content_hash").agg(F.first("content").alias("content")).select("content_hash", vectors.hashed_words(width)("content").alias("embedding"))
     else:
-        once = connectors.embed(once, "content_hash", "content", embedder, width)
+        once = connectors.embed_new(chunks, embedder or connectors.hashing_client, width, cache).select("content_hash", "embedding")
     return chunks.join(once, "content_hash").withColumn("chunk_id", F.concat(F.lit("chk_"), "doc_id", F.lit("_"), "chunk_index"))
 
 

@@ -6,15 +6,27 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors
 from corpusmill.operators import connectors, fusion, lifecycle, reconcile, search
+from corpusmill.operators.chunk_table import ChunkTable
 from corpusmill.queries import Registry, Tables
 from corpusmill.sources import tables
 
 R = Registry()
 
 
-@R.query("embed_connector", "SELECT item_id, 64 AS width FROM benchmark")
+_WORDS = r"""SELECT item_id, unnest([x FOR x IN regexp_split_to_array(lower(text), '\s+') IF x <> '']) AS word FROM benchmark"""
+
+
+@R.query(
+    "embed_connector",
+    f"""WITH w AS ({_WORDS}), h AS (SELECT item_id, hex(encode(word)) AS x FROM w),
+    d AS (SELECT item_id, (list_reduce([('0x' || x[2 * i + 1 : 2 * i + 2])::INT::UHUGEINT FOR i IN range(length(x) // 2)], lambda a, b: (xor(a, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 1469598103934665603::UHUGEINT) % 64)::INT AS place FROM h),
+    n AS (SELECT item_id, place, count(*) AS c FROM d GROUP BY 1, 2) SELECT item_id, 64 AS width, count(*)::INT AS filled, arg_max(place, (c, -place))::INT AS heaviest, round(max(c) / sqrt(sum(c * c)), 5) AS weight FROM n GROUP BY 1""",
+)
 def embed_connector(t: Tables):
-    return connectors.embed(t.benchmark, "item_id", "text").select("item_id", F.size("embedding").alias("width"))
+    """What a client answers out of order, back with its texts: width, places filled, the heaviest of them and its weight."""
+    found = connectors.embed(t.benchmark, "item_id", "text")
+    heaviest = F.array_max(F.transform("embedding", lambda x, i: F.struct(x.cast("double").alias("x"), (-i).alias("i"))))
+    return found.select("item_id", F.size("embedding").alias("width"), F.size(F.filter("embedding", lambda x: x != 0)).alias("filled"), (-heaviest["i"]).alias("heaviest"), F.round(heaviest["x"], 5).alias("weight"))
 
 
 _ROUTED = "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'b' WHEN 1 THEN 'a' END AS model, CASE s_suppkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 4 END::INT AS attempts, s_suppkey % 3 = 2 AS failed FROM supplier"
@@ -35,10 +47,22 @@ def chat_connectors(t: Tables):
     return connectors.call(asked, "id").select(ids[0].cast("long").alias("conv_id"), ids[1].cast("long").alias("turn"), "answer")
 
 
-@R.query("chunk_sink", "SELECT l_orderkey, count(*) AS chunks, sum(l_quantity)::BIGINT AS tokens FROM lineitem GROUP BY 1")
+@R.query(
+    "chunk_sink",
+    """SELECT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN 2 ELSE 1 END::INT AS version, count(*) AS chunks, sum(l_quantity)::BIGINT AS tokens FROM lineitem
+    WHERE l_orderkey % 5 <> 1 AND (l_orderkey % 3 <> 0 OR l_linenumber % 2 = 0) GROUP BY 1""",
+)
 def chunk_sink(t: Tables):
-    stored = tables.written(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity"))
-    return stored.groupBy("l_orderkey").agg(F.count("*").alias("chunks"), F.sum(F.col("l_quantity").cast("long")).alias("tokens"))
+    """Lines as chunks of their orders: all in a first version, some orders again in a second, some retired; what is served then."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("document_id"), F.lit(1).alias("version"), F.col("l_linenumber").alias("chunk_index"), F.col("l_quantity").cast("long").alias("token_count"))
+    table = ChunkTable(lines.sparkSession, tables.shared(lines.sparkSession, "chunks"))
+    again = lines.where("document_id % 3 = 0")
+    table.append(lines)
+    table.append(again.where("chunk_index % 2 = 0").withColumn("version", F.lit(2)))
+    # an order without such lines has no second version and is gone with the first
+    table.retire_others(again.select("document_id", F.lit(2).alias("version")).distinct(), F.current_timestamp())
+    table.retire_documents(lines.where("document_id % 5 = 1").select("document_id"), F.current_timestamp())
+    return table.served().groupBy(F.col("document_id").alias("l_orderkey"), "version").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
 
 
 @R.query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import scalars, vectors
 from corpusmill.functions import text as fn
-from corpusmill.operators import chunking, context, filters, fusion, guard, lifecycle, routing, search
+from corpusmill.operators import chunking, connectors, context, filters, fusion, guard, lifecycle, routing, search
 from corpusmill.plans import answer
 from corpusmill.queries import Registry, Tables
 from corpusmill.queries.ranking import mmr_sql
@@ -29,11 +29,18 @@ def rag_chunk(t: Tables):
     return _ingested(t).select("doc_id", "chunk_index", "token_count", fn.content_hash("content").alias("content_hash"))
 
 
-@R.query("rag_embed", "SELECT sha256(text) AS content_hash, count(*) AS texts, min(doc_id) AS first_doc FROM documents GROUP BY 1")
+@R.query(
+    "rag_embed",
+    """WITH h AS (SELECT source, sha256(coalesce(text, '')) AS content_hash, min(length(coalesce(text, '')))::BIGINT AS tokens, bool_or(doc_id % 3 = 0) AS reused FROM documents GROUP BY 1, 2),
+    n AS (SELECT source, content_hash, row_number() OVER (ORDER BY source NULLS FIRST, content_hash) AS k FROM h WHERE NOT reused)
+    SELECT h.source, h.content_hash, reused, CASE WHEN reused THEN 0 ELSE tokens END AS billable, ((k - 1) // 64)::BIGINT AS batch FROM h LEFT JOIN n ON n.source = h.source AND n.content_hash = h.content_hash""",
+)
 def rag_embed(t: Tables):
-    hashed = t.documents.select("doc_id", "text", fn.content_hash("text").alias("content_hash"))
-    once = hashed.groupBy("content_hash").agg(F.count("*").alias("texts"), F.min("doc_id").alias("first_doc"), F.min("text").alias("text"))
-    return once.withColumn("embedding", vectors.hashed_words(64)("text")).where(F.size("embedding") == 64).select("content_hash", "texts", "first_doc")
+    """A third of the documents were embedded before, each source with a model of its own; the rest is embedded in batches."""
+    chunks = t.documents.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("content")).withColumn("content_hash", fn.content_hash("content")).withColumn("token_count", F.char_length("content"))
+    before = connectors.embed_new(chunks.where("doc_id % 3 = 0"), connectors.hashing_client, 64, keys=("source", "content_hash"))
+    found = connectors.embed_new(chunks, connectors.hashing_client, 64, before, ("source", "content_hash"))
+    return found.where(F.size("embedding") == 64).select("source", "content_hash", "reused", F.when(F.col("reused"), 0).otherwise(F.col("tokens")).alias("billable"), "batch")
 
 
 #: FNV of the lower-cased words between white space, as DuckDB can say it: 64-bit products in 128 bits.

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as fn
 from corpusmill.operators import lifecycle, usage
 from corpusmill.queries import Registry, Tables
-from corpusmill.sources import parsers, records
+from corpusmill.sources import parsers, records, tables
+from corpusmill.sources.objects import ObjectStore, object_key
 
 R = Registry()
 
@@ -202,9 +203,21 @@ def upload_receive(t: Tables):
     return t.documents.select("doc_id", size.alias("bytes"), fn.content_hash("text").alias("content_hash"), (size <= 10 << 20).alias("within_cap"))
 
 
-@R.query("scan_binary", "SELECT source, count(*) AS objects, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source")
+@R.query(
+    "scan_binary",
+    """SELECT source, count(*) AS objects, sum(CASE WHEN doc_id % 5 = 1 THEN strlen(coalesce(text, '')) + 1 ELSE strlen(coalesce(text, '')) END)::BIGINT AS bytes FROM documents WHERE source NOT IN ('src3') AND doc_id % 7 <> 2 GROUP BY source""",
+)
 def scan_binary(t: Tables):
-    return lifecycle.object_sizes(t.documents, "source", "text")
+    """Texts put as objects, a fifth of them put again, some deleted by key and one source's by prefix; then listed."""
+    docs = t.documents
+    store = ObjectStore(docs.sparkSession, tables.shared(docs.sparkSession, "objects"))
+    body = F.coalesce("text", F.lit(""))
+    key = object_key(F.lit("org"), F.col("source"), F.col("doc_id"), F.lit(1)).alias("key")
+    store.put(docs.select(key, body.alias("content"), F.lit("text/plain").alias("content_type")))
+    store.put(docs.where("doc_id % 5 = 1").select(key, F.concat(body, F.lit("!")).alias("content"), F.lit("text/plain").alias("content_type")))
+    store.delete(docs.where("doc_id % 7 = 2").select(key))
+    store.delete_prefix("tenant/org/src3/")
+    return store.listed().groupBy(F.split("key", "/")[2].alias("source")).agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"))
 
 
 @R.query("metrics_sink", """SELECT le, (SELECT count(*) FROM events WHERE value / 5 <= le) AS observations FROM (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.2, 0.4, 0.8, 1.5, 3.0, 6.0, 15.0, 30.0, 60.0])::DOUBLE AS le)""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators import lifecycle
+from corpusmill.operators.chunk_table import ChunkTable
 from corpusmill.queries import Registry
 from corpusmill.streaming import jobs, limits, run
 
@@ -120,19 +121,19 @@ def st_windowed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st_version_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written in versions; the pointer to the newest complete version comes last."""
+    """Documents written in versions by a stream; each batch is one commit of the chunk table, whatever other batches wrote.
+
+    A batch that is repeated finds its transaction committed.  Then the newest versions are served.
+    """
     folder = run.shared(spark, "stream")
-    docs = run.read_table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3 + 1).alias("version"), F.char_length("text").alias("chars"))
+    table = ChunkTable(spark, f"{folder}/chunks")
+    docs = run.read_table(spark, sf_dir, "documents", files=1).select(F.col("doc_id").alias("document_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("doc_id") % 3 + 1)).alias("version"), F.char_length("text").alias("chars"))
 
     def swap(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        lifecycle.write_versions(batch.withColumn("batch", F.lit(number)), f"{folder}/chunks", version="version")
-        batch.select("doc_id", "version").write.mode("overwrite").parquet(f"{folder}/pointers/batch={number}")
-        batch.unpersist()
+        table.append(batch, transaction=f"swap-{number}")
 
     docs.writeStream.foreachBatch(swap).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    served = spark.read.parquet(f"{folder}/pointers/batch=*").groupBy("doc_id").agg(F.max("version").alias("version"))
-    return spark.read.parquet(f"{folder}/chunks").join(served, ["doc_id", "version"], "left_semi").groupBy("version").agg(F.count("*").alias("documents"), F.sum("chars").alias("chars")).select(F.col("version").cast("long").alias("version"), "documents", "chars")
+    return table.served().groupBy("version").agg(F.count("*").alias("documents"), F.sum("chars").alias("chars"))
 
 
 R.queries |= {"st_counter": st_counter, "st_windowed_usage": st_windowed_usage, "st_version_swap": st_version_swap}

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from corpusmill.sources.tables import shared
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's files as a stream; its schema comes from a batch read."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, files: int | None = None) -> DataFrame:
+    """A table's files as a stream, at most ``files`` a batch if given; its schema comes from a batch read."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
