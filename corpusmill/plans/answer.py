@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as fn
 from corpusmill.functions import vectors
 from corpusmill.operators import chunking, connectors, context, fusion, guard, search
-from corpusmill.sources import parsers, tables
+from corpusmill.sources import files, parsers, tables
 
 #: Texts of a batch -> (index, vector) in any order; model and prompt -> answer.
 Embedder = Callable[[list[str]], list[tuple[int, list[float]]]]
@@ -64,6 +64,19 @@ def ingest(documents: DataFrame, title: Column | None = None, width: int = 64, e
     return chunks.join(once, "content_hash").withColumn("chunk_id", F.concat(F.lit("chk_"), "doc_id", F.lit("_"), "chunk_index"))
 
 
+def ingest_files(found: DataFrame, readers: files.Readers = files.Readers(), **options) -> tuple[DataFrame, DataFrame]:
+    """The chunks of the files ``found`` (path, name, content), whose doc_id is their path, and what became of the others.
+
+    Files are read once and their blocks written.  The second table has path, name,
+    source_type, error, message and retryable of every file without chunks; one bad
+    file costs its own row.  ``options`` are those of ``ingest``.
+    """
+    parsed = tables.written(files.parse(found, readers))
+    chunks = ingest(parsed.where("error IS NULL").select(F.col("path").alias("doc_id"), "title", "blocks"), title=F.col("title"), **options)
+    lost = parsed.where("error IS NOT NULL").select("path", "name", "source_type", "error", "message", F.col("error").isin(*files.RETRYABLE).alias("retryable"))
+    return chunks, lost
+
+
 def candidates(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy(), embedder: Embedder | None = None) -> DataFrame:
     """query_id, chunk_id, score: vector and keyword hits fused by reciprocal rank; the embedder is that of the chunks."""
     if embedder is None:

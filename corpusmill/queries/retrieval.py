@@ -10,7 +10,7 @@ from corpusmill.operators import chunking, connectors, context, filters, fusion,
 from corpusmill.plans import answer
 from corpusmill.queries import Registry, Tables
 from corpusmill.queries.ranking import mmr_sql
-from corpusmill.sources import tables
+from corpusmill.sources import files, tables
 
 R = Registry()
 
@@ -259,12 +259,27 @@ def rag_answer(t: Tables):
     return answer.answer(_questions(t), _ingested(t)).select("query_id", "ok", "grounded", "answer", "tokens_in", "tokens_out")
 
 
-@R.query("rag_ingest_errors", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'empty' WHEN doc_id % 6 = 1 THEN 'unsupported_type' END AS error_code, FALSE AS retryable FROM documents")
+@R.query(
+    "rag_ingest_errors",
+    """WITH d AS (SELECT doc_id, doc_id % 6 AS k, strlen(coalesce(text, '')) AS n FROM documents)
+    SELECT doc_id, CASE WHEN k = 0 THEN 'no_extractable_text' WHEN k = 1 THEN 'unsupported_file_type' WHEN k = 2 AND n % 2 = 0 THEN 'ocr_unavailable' WHEN k = 2 AND n < 400 THEN 'no_extractable_text' END AS error_code,
+    coalesce(k = 2 AND n % 2 = 0, FALSE) AS retryable FROM d""",
+)
 def rag_ingest_errors(t: Tables):
-    text = F.when(F.col("doc_id") % 6 == 0, " \n ").otherwise(F.col("text"))
-    kind = F.when(F.col("doc_id") % 6 == 1, None).otherwise("text")
-    code = F.when(kind.isNull(), "unsupported_type").when(fn.strip(text) == "", "empty")
-    return t.documents.select("doc_id", code.alias("error_code"), F.coalesce(code.isin("timeout", "unreachable"), F.lit(False)).alias("retryable"))
+    """Why files give no chunks, and which of them a later try may read: empty ones, unknown ones, pictures of an OCR service that is not always there."""
+    body = F.coalesce("text", F.lit(""))
+    kind = F.col("doc_id") % 6
+    content = F.when(kind == 0, F.lit(" \n ").cast("binary")).when(kind == 2, F.concat(F.unhex(F.lit("FFD8FF")), body.cast("binary"))).otherwise(F.concat(body, F.lit(" .")).cast("binary"))
+    name = F.when(kind == 1, "notes.xyz").when(kind == 2, "photo.jpg").otherwise("notes.txt")
+    parsed = files.parse(t.documents.select("doc_id", name.alias("name"), content.alias("content")), files.Readers(ocr=_sometimes), keep=("doc_id",))
+    return parsed.select("doc_id", F.col("error").alias("error_code"), F.coalesce(F.col("error").isin(*files.RETRYABLE), F.lit(False)).alias("retryable"))
+
+
+def _sometimes(content: bytes) -> list[tuple[int, str]]:
+    """An OCR service that answers every other picture, with little text for small ones."""
+    if len(content) % 2:
+        raise ConnectionError("the service does not answer")
+    return [(2, "recognized " * 3), (1, "page one")] if len(content) >= 403 else [(1, "few")]
 
 
 @R.query("rag_echo", """SELECT conv_id, turn, '(local echo, no model) In answer to "' || CASE WHEN length(text) > 80 THEN left(text, 80) || '…' ELSE text END || '": it is so [1]' AS answer FROM conversations""")

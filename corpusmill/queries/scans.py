@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as fn
 from corpusmill.operators import lifecycle, usage
 from corpusmill.queries import Registry, Tables
-from corpusmill.sources import parsers, records, tables
+from corpusmill.sources import files, parsers, records, tables
 from corpusmill.sources.objects import ObjectStore, object_key
 
 R = Registry()
@@ -44,13 +44,44 @@ def source_type_ext(t: Tables):
     return t.documents.select("doc_id", _pick("doc_id", _NAMES).alias("name")).withColumn("source_type", fn.type_by_name("name"))
 
 
+_FILES = ("a.txt", "b.md", "c.csv", "d.json", "e.pdf", "f.html", "g.png", "h.tar", "i.txt")
+
+
+def _as_files(t: Tables):
+    """Every document as a file of one of several types, some of them broken."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.concat(F.lit("id;text\n"), F.col("doc_id"), F.lit(';"'), F.regexp_replace(text, '"', ""), F.lit('"\n'))
+    body = [
+        text, F.concat(F.lit("# Part\n\n"), text), lines, F.to_json(F.struct(F.col("doc_id").alias("id"), text.alias("text"))), F.concat(F.lit("%PDF-1.7"), text),
+        F.concat(F.lit("<main><h1>Part</h1><p>"), F.regexp_replace(text, "[<&]", " "), F.lit("</p></main>")), F.concat(F.lit("PNG"), text), text, F.lit("  \n"),
+    ]
+    kind = F.col("doc_id") % len(_FILES)
+    content = F.coalesce(*[F.when(kind == k, b.cast("binary")) for k, b in enumerate(body)])
+    broken = F.when((F.col("doc_id") % 4 == 1) & (kind == 0), F.concat(content, F.unhex(F.lit("C328")))).when((F.col("doc_id") % 4 == 1) & (kind == 3), F.concat(content, F.lit("}").cast("binary")))
+    return t.documents.select("doc_id", _pick("doc_id", _FILES).alias("name"), F.coalesce(broken, content).alias("content"))
+
+
+def _read_pages(content: bytes) -> list[str]:
+    """The extractor of the query: what follows the mark, pages parted by line feeds; files of few bytes break it."""
+    if len(content) < 200:
+        raise KeyError("no page tree")
+    return content[8:].decode().split("\n")
+
+
 @R.query(
     "parser_dispatch",
-    f"""SELECT coalesce({_duck_list(_TYPES)}[(doc_id % {len(_NAMES)} + 1)::INT], 'unsupported') AS parser, count(*) AS documents FROM documents GROUP BY 1""",
+    f"""WITH f AS (SELECT doc_id, {_duck_list(_FILES)}[(doc_id % {len(_FILES)} + 1)::INT] AS name, doc_id % {len(_FILES)} AS k, coalesce(text, '') AS t FROM documents),
+    e AS (SELECT *, trim(t, E' \\n\\t') = '' AS empty, doc_id % 4 = 1 AND k IN (0, 3) AS broken FROM f)
+    SELECT doc_id, CASE k WHEN 0 THEN 'text' WHEN 1 THEN 'markdown' WHEN 2 THEN 'csv' WHEN 3 THEN 'json' WHEN 4 THEN 'pdf' WHEN 5 THEN 'html' WHEN 6 THEN 'image' WHEN 8 THEN 'text' END AS source_type,
+      CASE WHEN k = 7 THEN 'unsupported_file_type' WHEN k IN (6, 8) OR broken OR (k = 0 AND empty) OR (k = 4 AND strlen(t) + 8 < 200) THEN 'no_extractable_text' END AS error,
+      CASE WHEN k IN (1, 5) THEN 'Part' WHEN k IN (2, 3) AND NOT broken THEN doc_id::VARCHAR WHEN k = 4 AND strlen(t) + 8 >= 200 THEN '1' END AS first_block FROM e""",
 )
 def parser_dispatch(t: Tables):
-    typed = t.documents.select(fn.type_by_name(_pick("doc_id", _NAMES)).alias("source_type"))
-    return typed.select(parsers.parser_for("source_type").alias("parser")).groupBy("parser").agg(F.count("*").alias("documents"))
+    """Files of eight types to their parsers: refusals, headings, records with their keys, pages."""
+    parsed = files.parse(_as_files(t), files.Readers(pdf=_read_pages), keep=("doc_id",))
+    first = F.col("blocks")[0]
+    told = F.when(F.col("source_type").isin("markdown", "html"), first["text"]).when(F.col("source_type") == "pdf", first["page"].cast("string")).otherwise(first["key"])
+    return parsed.select("doc_id", "source_type", "error", told.alias("first_block"))
 
 
 @R.query(

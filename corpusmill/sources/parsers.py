@@ -90,6 +90,12 @@ def parse_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.select(id_col, "pos", F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), "text")
 
 
+def blank_lines(text: str) -> list[str]:
+    """A text's paragraphs as ``parse_text`` parts them: at blank lines, after white space is made plain."""
+    text = re.sub(r"[\x00-\x08\x0B-\x1F\x7F]", "", re.sub(r"\r\n?", "\n", text))
+    return re.split(r"\n{2,}", re.sub(r" ?\n ?", "\n", re.sub(r"[ \t]+", " ", text)))
+
+
 def text_blocks(text_col: str) -> Column:
     """The same paragraphs as one array of blocks, which chunking takes as it is."""
     return F.transform(fn.paragraphs(fn.normalize(text_col)), lambda p: F.struct(F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), p.alias("text")))
@@ -230,6 +236,15 @@ def parse_html(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+def docx_size(content: bytes) -> int:
+    """Bytes of a Word file's text as it says itself; 0 if there is none to read."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            return archive.getinfo("word/document.xml").file_size
+    except (KeyError, zipfile.BadZipFile, OSError):
+        return 0
+
+
 def docx_blocks(content: bytes) -> list[tuple[str, int | None, str]]:
     """Paragraphs and headings of a Word file; none if it is broken or too large."""
     try:
