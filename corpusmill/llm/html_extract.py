@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +31,7 @@ PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote figcapt
 #: An opening tag ends these when they are open and nothing of the second set lies between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 LEFT_OUT = frozenset(
-    "nav header footer aside form script style noscript template iframe button select option textarea svg canvas object dialog menu head title input label fieldset audio video math".split()
+    "nav header footer aside form script style noscript template iframe button select option textarea svg canvas object dialog menu head title input label fieldset audio video".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status tablist".split())
 #: Words in class or id that name what isn't the article.
@@ -48,6 +48,10 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
 #: A name that begins with one of these tells what its element has ("has-comments"), not what it is.
 TELLS = frozenset("has have with no not without".split())
+#: Words that say of an unwanted name's element only that it is one ("share-buttons").
+BOXES = frozenset("area bar block bottom box btn button buttons card cards container content group icons inline inner item items left link links list module outer panel post posts row section slot small top right unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 #: Levels of Node.out: a layout word, another unwanted word, a word for comments speak against it; it goes for certain.
 LAID_OUT, NAMED, COMMENTED, GONE = 1, 2, 3, 4
 #: One attribute after the other, so that no value is read as a name.
@@ -71,27 +75,28 @@ class Node:
 def _named(value: str, alone: bool) -> set[str]:
     """The unwanted words of a class or id; "hidden" counts alone only, since hidden-print and overflow-hidden are seen.
 
-    ``alone``: no word counts as a part of a name.
+    ``alone``: a name counts as a whole only, if all its words are unwanted or say that it is a box.
     """
     found: set[str] = set()
     for name in value.split():
         words = _SPLIT.split(_HUMP.sub("-", name).lower())
-        if words[0] not in TELLS and not (alone and len(words) > 1):
+        if words[0] not in TELLS and not (alone and not all(w in UNWANTED or w in BOXES or w.isdigit() for w in words)):
             found |= UNWANTED.intersection(words) - ({"hidden"} if len(words) > 1 else set())
     return found
 
 
 def _unwanted(tag: str, attributes: str, in_article: bool) -> int:
-    """0 for what stays, or how much speaks against it; a paragraph of an article goes for a whole name only."""
+    """0 for what stays, or how much speaks against it; what is in an article goes for a whole name only, and no heading there for its name."""
     if tag in LEFT_OUT:
         return GONE
     if not attributes or tag in ("html", "body", "main"):
         return 0
+    heading = in_article and tag in HEADINGS
     against = 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name in ("class", "id"):
-            named = _named(value, in_article and tag in PARAGRAPH)
+        if name in ("class", "id") and not heading:
+            named = _named(value, in_article)
             if tag == "article":  # an article may be called anything but a comment
                 named &= {"comment", "comments", "reply", "replies"}
             if named:
@@ -110,12 +115,13 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> int:
 def parse(page: str) -> Node:
     """The tree of a page; unclosed and misplaced tags are mended as browsers roughly do."""
     root = Node("html", None, 0)
-    at, stack, names = root, [root], ["html"]
-    held: Counter[str] = Counter()  # open elements by name
+    at, stack = root, [root]
+    held: defaultdict[str, list[int]] = defaultdict(list)  # by name, where on the stack its open elements are
 
     def shut(down_to: int) -> None:
-        held.subtract(names[down_to:])
-        del names[down_to:], stack[down_to:]
+        for node in reversed(stack[down_to:]):
+            held[node.tag].pop()
+        del stack[down_to:]
 
     scan, pos, end = _TOKEN.match, 0, len(page)
     articles = mains = 0  # kept so far
@@ -134,10 +140,7 @@ def parse(page: str) -> Node:
         tag = tag.lower()
         if closing:
             if held[tag]:
-                k = len(names) - 1
-                while names[k] != tag:
-                    k -= 1
-                shut(k)
+                shut(held[tag][-1])
                 at = stack[-1]
             elif tag in BLOCK:
                 at.parts.append(Node("br", at, 0))
@@ -147,15 +150,11 @@ def parse(page: str) -> Node:
         ended, until = ENDS.get(tag, ((), ()))
         if tag in BLOCK and held["p"]:
             ended, until = {"p", *ended}, {"table", "td", "th", "caption", "button", "object", *until}
-        if any(held[x] for x in ended):
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] in until:
-                    break
-                if names[k] in ended:
-                    shut(k)
-                    at = stack[-1]
-                    break
-        own = _unwanted(tag, attributes, held["article"] + held["main"] > 0)
+        last = max((held[x][-1] for x in ended if held[x]), default=0)
+        if last > max((held[x][-1] for x in until if held[x]), default=0):
+            shut(last)
+            at = stack[-1]
+        own = _unwanted(tag, attributes, bool(held["article"] or held["main"]))
         if tag in ("article", "main") and own == 0 and 0 < at.out < GONE:
             # after an article, one in a box of comments or of related pages is not the page's own
             if at.out == LAID_OUT or not articles and (at.out == NAMED or not mains):
@@ -171,9 +170,8 @@ def parse(page: str) -> Node:
             pos = close.end() if close else end
             node.own = node.out = GONE
         elif tag not in VOID and not attributes.endswith("/"):
+            held[tag].append(len(stack))
             stack.append(node)
-            names.append(tag)
-            held[tag] += 1
             at = node
     return root
 
@@ -249,8 +247,8 @@ def _measure(node: Node, in_link: bool, below: list) -> None:
         todo += [(p, link, False) for p in x.parts if type(p) is not str and not p.out]
 
 
-def _text_of(node: Node) -> list[str]:
-    """Blocks of a node in page order, white space folded, references decoded."""
+def _text_of(node: Node, only: set[int] | None = None) -> list[str]:
+    """Blocks of a node in page order, white space folded, references decoded; ``only``: of the parts with these ids."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -260,22 +258,24 @@ def _text_of(node: Node) -> list[str]:
             blocks.append(text)
         run.clear()
 
-    todo: list = [node]
+    todo: list = [(node, only is None)]
     while todo:
-        x = todo.pop()
+        x, wanted = todo.pop()
+        wanted = wanted or only is not None and id(x) in only
         if x is None:
             close()
         elif type(x) is str:
-            run.append(x)
+            if wanted:
+                run.append(x)
         elif not x.out:
             if x.tag == "br":
                 run.append(" ")
             elif x.tag in BLOCK:
                 close()
-                todo.append(None)
-                todo += x.parts[::-1]
+                todo.append((None, False))
+                todo += [(p, wanted) for p in reversed(x.parts)]
             else:
-                todo += x.parts[::-1]
+                todo += [(p, wanted) for p in reversed(x.parts)]
     close()
     return blocks
 
@@ -322,15 +322,54 @@ def main_text(page: str | None) -> str:
             best = best.parent
     if best.parent is None:
         return " ".join(_text_of(best))
+    kept = _beside(best, value)
+    if best.tag == "article":  # every article is the page's own, wherever it stands
+        kept |= {id(x) for x in _articles(root) if _density(x) < 0.5}
+    return " ".join(_text_of(root, kept))
+
+
+def _articles(root: Node) -> list[Node]:
+    """The articles that are not out, those inside of another left aside."""
+    found, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x.tag == "article":
+            found.append(x)
+        else:
+            todo += [p for p in x.parts if type(p) is not str and not p.out]
+    return found
+
+
+def _beside(best: Node, value: dict[int, float]) -> set[int]:
+    """The ids of the best container and of those beside it that belong to it, bare texts among them.
+
+    Siblings that score well, tables, lists and paragraphs that are not mostly links,
+    and bare texts stay; a heading stays if it is the page's first or what follows it
+    stays.  A paragraph about rights is a footer.
+    """
     enough = max(10.0, 0.2 * value.get(id(best), 0.0))
-    kept = []
-    for x in best.parent.parts:
-        if type(x) is str or x.out:
+    kept: set[int] = set()
+    follows = False  # whether what comes next stays
+    for x in reversed(best.parent.parts):
+        if type(x) is str:
+            if len(re.findall(r"\w{2,}", x)) > 1 and not _RIGHTS.match(x):
+                kept.add(id(x))
+            continue
+        if x.out or not x.chars:
             continue
-        lone = x.tag == "p" and (x.chars > 80 and _density(x) < 0.25 or x.chars and not x.linked and any(type(p) is str and p.rstrip().endswith((".", "!", "?")) for p in x.parts))
-        if x is best or value.get(id(x), 0.0) >= enough and _density(x) < 0.5 or lone:
-            kept += _text_of(x)
-    return " ".join(kept)
+        density = _density(x)
+        if x is best or value.get(id(x), 0.0) >= enough and density < 0.5:
+            follows = True
+        elif x.tag in HEADINGS:
+            follows = density < 0.5 and (x.tag == "h1" or follows)
+        elif x.tag == "p":
+            bare = "".join(p for p in x.parts if type(p) is str)
+            follows = (x.chars > 80 and density < 0.25 or not x.linked) and not _RIGHTS.match(html.unescape(bare))
+        else:
+            follows = x.tag in ("table", "ul", "ol", "dl", "pre", "blockquote", "figure", "math") and density < 0.25
+        if follows:
+            kept.add(id(x))
+    return kept
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
