@@ -2,9 +2,11 @@
 
 A task writes two files.  ``.ids`` has the rows of its matrix, little-endian 16-bit
 ids one after the other, as a trainer maps them to memory.  ``.rows.arrow`` has the
-rest of each row: group, number, cumulative segment lengths, documents and starts,
-in record batches of ``BATCH`` rows.  Positions begin anew at every cumulative
-length, so they follow from these and are made on reading, not stored.
+rest of each row: group, number, cumulative segment lengths, documents, starts and
+where positions begin anew, in record batches of ``BATCH`` rows.  Between two resets
+positions count up by one, and behind the last segment they are 0, so the resets
+and the row's filled length say all of them in a few bytes a segment; a row whose
+positions are otherwise is refused.
 
 Files of failed attempts never enter a job's manifest.  The reader plans ranges of
 rows from file sizes and reads each at its offset.
@@ -33,14 +35,24 @@ FORMAT = "packed_matrix"
 #: Rows of a record batch, and record batches that one task reads.
 BATCH, RANGE = 256, 32
 _INDEX = ["group", "row", "cu_seqlens", "doc_ids", "starts"]
+_RESETS = pa.list_(pa.uint16())
 
 
-def positions(cu_seqlens: np.ndarray, width: int) -> np.ndarray:
-    """Positions of a row: from 0 on in every segment, 0 behind the last."""
-    found = np.arange(width)
-    lengths = np.diff(np.append(cu_seqlens, width))
-    found -= np.repeat(cu_seqlens, lengths)
-    found[cu_seqlens[-1] :] = 0
+def resets_of(positions: np.ndarray, filled: int) -> np.ndarray:
+    """Where the positions of a row begin anew, within its first ``filled``; ValueError if that does not say all of them."""
+    found = np.flatnonzero(positions[:filled] == 0)
+    if not np.array_equal(positions_of(found, filled, len(positions)), positions):
+        raise ValueError("positions must count up by one from 0 in every segment and be 0 behind the last")
+    return found
+
+
+def positions_of(resets: np.ndarray, filled: int, width: int) -> np.ndarray:
+    """Positions of a row: from 0 on at every reset, 0 from ``filled`` on."""
+    found = np.zeros(width, np.int64)
+    if filled:
+        if not len(resets) or resets[0]:
+            raise ValueError("the first position of a row must be 0")
+        found[:filled] = np.arange(filled) - np.repeat(resets, np.diff(np.append(resets, filled)))
     return found.astype("<u2")
 
 
@@ -89,8 +101,8 @@ class MatrixReader(DataSourceReader):
                 if len(data) != 2 * width * rows.num_rows:
                     raise ValueError(f"{partition.path}.ids ends within row {at + len(data) // (2 * width)}")
                 matrix = [data[k : k + 2 * width] for k in range(0, len(data), 2 * width)]
-                resets = [positions(np.array(x), width).tobytes() for x in rows.column("cu_seqlens").to_pylist()]
-                made = {**{c: rows.column(c) for c in _INDEX}, "ids": pa.array(matrix, pa.binary()), "positions": pa.array(resets, pa.binary())}
+                placed = [positions_of(np.array(x, np.int64), n, width).tobytes() for x, n in zip(rows.column("resets").to_pylist(), rows.column("filled").to_pylist(), strict=True)]
+                made = {**{c: rows.column(c) for c in _INDEX}, "ids": pa.array(matrix, pa.binary()), "positions": pa.array(placed, pa.binary())}
                 yield pa.RecordBatch.from_arrays([made[c] for c in PACKED.names], names=PACKED.names)
 
 
@@ -110,14 +122,14 @@ class MatrixWriter(DataSourceArrowWriter):
         store.create_dir(folder, recursive=True)
         width = len(first.column("ids")[0].as_py()) // 2
         with store.open_output_stream(f"{folder}/{name}.ids") as ids, store.open_output_stream(f"{folder}/{name}.rows.arrow") as index:
-            with pa.ipc.new_file(index, first.select(_INDEX).schema) as rest:
+            with pa.ipc.new_file(index, _with_resets(first).schema) as rest:
                 batch = first
                 while batch is not None:
                     for row in batch.column("ids").to_pylist():
                         if len(row) != 2 * width:
                             raise ValueError("all rows of a matrix must have one width")
                         ids.write(row)
-                    rest.write_batch(batch.select(_INDEX))
+                    rest.write_batch(_with_resets(batch))
                     batch = next(filled, None)
         return Part(name, width)
 
@@ -141,6 +153,14 @@ class MatrixWriter(DataSourceArrowWriter):
                 _remove(store, folder, m.name)
 
 
+def _with_resets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """What the index keeps of some rows: resets and filled length in place of positions."""
+    filled = [x[-1] for x in batch.column("cu_seqlens").to_pylist()]
+    resets = [resets_of(np.frombuffer(p, "<u2"), n) for p, n in zip(batch.column("positions").to_pylist(), filled, strict=True)]
+    kept = batch.select(_INDEX)
+    return pa.RecordBatch.from_arrays([*kept.columns, pa.array(resets, _RESETS), pa.array(filled, pa.int32())], names=[*_INDEX, "resets", "filled"])
+
+
 def _remove(store: fs.FileSystem, folder: str, name: str) -> None:
     for kind in ("ids", "rows.arrow"):
         store.delete_file(f"{folder}/{name}.{kind}")
