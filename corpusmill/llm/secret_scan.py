@@ -57,9 +57,9 @@ MORE_RULES = (
         r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:\s|\\[nr])*(?:(?:Proc-Type|DEK-Info): [A-Za-z0-9,-]+|[A-Za-z0-9+/=]{16,}))*+"
         r"(?:(?:\s|\\[nr])*(?:[A-Za-z0-9+/=]{1,15}(?:\s|\\[nr])*)?-----END [A-Z ]{0,40}PRIVATE KEY-----)?",
     ),
-    Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
+    Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("url_login", r"(?<![a-z0-9+.-])[a-z0-9+.-]++(?<=[a-z0-9])://[^\s/:@]+:([^\s/@]{3,})@", False, 3, 1),
 )
 RULES = BASE_RULES + MORE_RULES
