@@ -6,7 +6,7 @@ from labelled rows: folded words and word beginnings, weighted by how much more
 often toxic documents have them.  One pass of the automaton over a folded text
 finds every entry; a hit counts if it begins a word (and ends it, for whole
 words) and does not lie in an exception phrase.  The summed weight, as it is and
-divided by the logarithm of the length in words, goes into a logistic curve
+divided by the logarithm of the length in words (runs between ASCII white space), goes into a logistic curve
 fitted on the same labelled rows.
 """
 
@@ -106,7 +106,7 @@ class Matcher:
 
     def measures(self, text: str) -> tuple[float, float]:
         weight = math.log1p(self.weight(fold(text)))
-        return weight, weight / math.log(2 + text.count(" ") + 1) if weight else 0.0
+        return weight, weight / math.log(2 + len(text.encode("utf-8", "surrogatepass").split())) if weight else 0.0
 
     def score(self, text: str) -> float:
         a, b = self.measures(text)
@@ -196,15 +196,15 @@ def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = 6000, most_ter
     """Learn the lexicon and the curve.
 
     Bounds: ``most_per_class`` labelled rows of each class, ``most_terms`` lexicon
-    entries a round (those with the most evidence).  Rows that look like copies of
-    each other count once.  A term enters if toxic rows have it beyond chance; how
+    entries a round (those with the most evidence).  Rows with the same set of
+    words count once.  A term enters if toxic rows have it beyond chance; how
     much it weighs follows the odds.  Later rounds look at the toxic rows without a
     hit so far, of which rarer terms stand out.  Without toxic labels the lexicon is
     empty and every score the same.
     """
     spark = docs.sparkSession
     words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"\s+"))
-    alike = F.slice(F.array_sort(F.transform(words, lambda w: F.xxhash64(w))), 1, 4)
+    alike = F.md5(F.array_join(F.array_sort(words), " "))
     path = fresh_folder(spark, "toxicity-sample")
     training_rows(docs, labels, most_per_class).groupBy(alike.alias("alike"), "toxic").agg(F.min("text").alias("text")).select("text", "toxic").write.parquet(path)
     rows = spark.read.parquet(path)
