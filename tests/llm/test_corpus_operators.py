@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -92,6 +93,13 @@ def test_op9_against_all_pairs(spark):
     assert got == _plain_components([(d.doc_id, d.text) for d in docs])
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_op9_equals_an_exact_join_of_a_larger_table(spark, percent):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_components(docs, percent=percent).collect())
+    assert got == _plain_components([(d.doc_id, d.text) for d in docs.collect()], percent)
+
+
 def test_bands_follow_the_threshold(spark):
     assert minhash.layout(85) == (36, 7) and minhash.layout(80) == (46, 6)
     for percent in (50, 80, 85, 95, 100):
@@ -392,3 +400,40 @@ def test_op8_against_a_plain_matcher(spark):
         r = rows[d.doc_id]
         assert r.score == pytest.approx(plain(d.text or ""), rel=1e-9) and r.predicted == int(r.score >= 0.5)
         assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 5 == 0)
+
+
+@pytest.mark.parametrize(
+    "around, kept",
+    [
+        ("<h1>A heading</h1>{}", "A heading {}"),
+        ("{}<table><tr><td>one cell</td><td>of a table</td></tr></table>", "{} one cell of a table"),
+        ("{}<p>A last word without a stop</p>", "{} A last word without a stop"),
+        ("{}bare text beside it", "{} bare text beside it"),
+        ("{}<ul><li>first point</li><li>second point</li></ul>", "{} first point second point"),
+        ("{}<h2>Further pages</h2><ul><li><a href=x>one page</a></li><li><a href=y>another page</a></li></ul>", "{}"),
+        ("{}<p>© 2024 Some Press. All rights reserved.</p>", "{}"),
+    ],
+)
+def test_what_stands_beside_the_container(around, kept):
+    words = "It was said, and written down, that the container holds most of the text, which is long enough to win. " * 4
+    page = "<body>" + around.format(f"<div><p>{words}</p><p>{words}</p></div>") + "</body>"
+    assert html_extract.main_text(page) == kept.format(f"{words.strip()} {words.strip()}")
+
+
+def test_names_inside_of_an_article():
+    words = "It was said, and written down, that an article keeps what is its own. " * 4
+    parts = ['<section id="search-algorithms">Trees are searched.</section>', '<div class="related-work">Others did this.</div>', '<h2 class="share">A share of the whole</h2>', "<math><mi>x</mi><mo>=</mo><mn>1</mn></math>"]
+    gone = ['<div class="share-buttons">Share this</div>', '<div class="ad">Buy now</div>', '<ul class="social links"><li>Follow us</li></ul>', '<div class="comments-list">First!</div>']
+    page = f"<body><article><p>{words}</p>{''.join(parts)}{''.join(gone)}</article></body>"
+    assert html_extract.main_text(page) == f"{words.strip()} Trees are searched. Others did this. A share of the whole x=1"
+    two = f"<body><article><p>First. {words}</p></article><nav>menu</nav><article><p>Second. {words}{words}</p></article><section class=comments><article><p>A reader says, at length, {words}</p></article></section></body>"
+    assert html_extract.main_text(two) == f"First. {words.strip()} Second. {words}{words.strip()}"
+
+
+def test_pages_of_many_open_tags_take_linear_time():
+    began = time.perf_counter()
+    n = 20_000
+    assert html_extract.main_text("<b>" * n + "<p>x y.</p>" * n).startswith("x y. x y.")
+    assert html_extract.main_text("<div>" * n + "<p>a" * n).startswith("a a")
+    assert html_extract.main_text("<div><p>a, b" * n).startswith("a, b a, b")
+    assert time.perf_counter() - began < 10

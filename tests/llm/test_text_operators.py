@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -125,6 +126,11 @@ def test_matrices_come_back_from_their_files(spark, tmp_path):
     assert sorted(matrices.read_matrices(spark, path).collect(), key=str) == want
     raw = b"".join(f.read_bytes() for f in (tmp_path / "packed").glob("*.ids"))
     assert sorted(raw[k : k + 64] for k in range(0, len(raw), 64)) == sorted(bytes(r.ids) for r in want)
+    index = pa.ipc.open_file(next(iter((tmp_path / "packed").glob("*.rows.arrow")))).get_batch(0)
+    resets = index.column("resets").to_pylist()  # stored, not made from the cumulative lengths
+    assert resets == [x[:-1] for x in index.column("cu_seqlens").to_pylist()]
+    with pytest.raises(Exception, match="position"):
+        matrices.write_matrices(packed.withColumn("positions", packed["ids"]), str(tmp_path / "wrong"))
     matrices.write_matrices(packed, path)  # what another job wrote stays
     assert matrices.read_matrices(spark, path).count() == 2 * len(want)
     matrices.write_matrices(packed.limit(0), path, "overwrite")
@@ -331,7 +337,7 @@ def test_media_jobs_append_and_overwrite(spark, tmp_path):
 def test_long_runs_are_scanned_in_linear_time():
     began = time.perf_counter()
     scanner = secret_scan.Scanner()
-    for text in ("a" * 1_000_000 + "://" + "b" * 1000 + ":" + "c" * 1000 + "@", "a:" * 400_000 + "://x", "ab://" * 200_000, "-----BEGIN " * 90_000 + "PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----" + "\n" * 900_000):
+    for text in ("a" * 1_000_000 + "://" + "b" * 1000 + ":" + "c" * 1000 + "@", "a:" * 400_000 + "://x", "ab://" * 200_000, "-----BEGIN " * 90_000 + "PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----" + "\n" * 900_000, "eyJ" * 300_000 + ".eyJ" * 20_000, "eyJabcdefgh." * 80_000):
         scanner.scan([text])
     assert time.perf_counter() - began < 20
 
@@ -397,3 +403,13 @@ def test_one_id_fills_several_slices(spark):
     assert len(got) == 300 and sorted(r.n_chars for r in got) == sorted(len(t) for _, t in rows)
     with pytest.raises(ValueError):
         spotsigs.fingerprint_pairs(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_long_tokens_are_found_whole():
+    scan = secret_scan.Scanner().scan
+    forge = "ghp_" + "a1B2" * 100
+    web = "eyJ" + "x" * 40 + ".eyJ" + "y" * 40 + "." + "z_-" * 200
+    (found,) = scan([f"{forge} and {web}, and my{web}"])
+    kinds = [r.kind for r in secret_scan.RULES]
+    at = len(forge) + 5
+    assert {(kinds[rule], start, end) for start, rule, end, _ in found if kinds[rule] in ("forge_token", "web_token")} == {("forge_token", 0, len(forge)), ("web_token", at, at + len(web))}
