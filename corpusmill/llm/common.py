@@ -34,6 +34,17 @@ def batches_of(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size:
             yield batch.slice(at, step)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python tasks and back in Arrow batches of at most ``BATCH_BYTES``, unless the session names another bound.
+
+    Spark's own bound of 64 MB is held once in the executor's JVM, rounded up to a power
+    of two, and once in each Python worker; tasks here cut batches to ``BATCH_BYTES`` anyway.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(name):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
