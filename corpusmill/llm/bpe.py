@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import batches_of, require
+from corpusmill.llm.common import batches_of, kept, require
 
 #: Stretches one Python worker remembers: two generations of so many; the older goes when the younger is full.
 CACHED = 180_000
@@ -195,10 +194,9 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
-    """The worker's encoder for a rank file; the vocabulary is read once a worker."""
-    return Encoder(Vocabulary.from_file(path), pattern)
+    """The worker's encoder for a rank file; the vocabulary is read once a worker, and again after another operator's tables."""
+    return kept((path, pattern), lambda: Encoder(Vocabulary.from_file(path), pattern))
 
 
 class _Decimal(dict):

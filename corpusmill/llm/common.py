@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,26 @@ def batches_of(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size:
             yield batch.slice(at, step)
 
 
+#: What this Python worker keeps from task to task: one operator's table.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """``make()``, remembered by this worker until another operator keeps something or asks for room."""
+    if key not in _KEPT:
+        make_room()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def make_room() -> None:
+    """Forget what an earlier operator kept in this worker, and give unused Arrow memory back."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python tasks and back in Arrow batches of at most ``BATCH_BYTES``, unless the session names another bound.
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import batches_of, cut, fresh_folder, hot_keys, lookup, require
+from corpusmill.llm.common import batches_of, cut, fresh_folder, hot_keys, lookup, make_room, require
 from corpusmill.llm.components import connected
 from corpusmill.llm.shingles import WordHashes, band_keys, fast_similarity_sketch, overlap, set_digest, shingle_set
 
@@ -75,6 +75,7 @@ def _sketch_rows(docs: DataFrame, size: int, cut_as: Layout) -> DataFrame:
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         hashes = WordHashes()
         for batch in batches_of(batches):
             n, ids, bands = [], [], []
@@ -98,6 +99,7 @@ def _with_sets(rows: DataFrame, size: int, cut_as: Layout) -> DataFrame:
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         hashes = WordHashes()
         before = None
         for batch in batches_of(batches):
@@ -213,6 +215,7 @@ def _with_partners(blocks: DataFrame, percent: int) -> DataFrame:
     """The rows of ``blocks`` that have a partner in their block: at most all of them, never their pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for table, begins in _whole_groups(batches):
             found, seen = _Blocks(table, percent), np.zeros(table.num_rows, bool)
             for start, end in itertools.pairwise(begins):
@@ -232,6 +235,7 @@ def _links_of_blocks(blocks: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for table, begins in _whole_groups(batches):
             found, elements = _Blocks(table, percent), table.column("elements")
             for start, end in itertools.pairwise(begins):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import batches_of, fresh_folder, require
+from corpusmill.llm.common import batches_of, fresh_folder, make_room, require
 
 #: Fixed look-alikes: letters and signs that are read as a Latin letter.
 LOOK_ALIKE = {
@@ -156,6 +156,7 @@ def _count_terms(rows: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([c[t] for t in some], pa.int64()) for c in counts)], names=names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         matcher = Matcher(Model.from_json(told.value))
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches_of(batches):
@@ -220,6 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = 6000, most_ter
     told = spark.sparkContext.broadcast(model.to_json())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         matcher = Matcher(Model.from_json(told.value))
         for batch in batches_of(batches):
             found = [matcher.measures(t or "") for t in batch.column(0).to_pylist()]
@@ -258,6 +260,7 @@ def score_column(docs: DataFrame, model: Model, text_col: str = "text", name: st
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         matcher = Matcher(Model.from_json(told.value))
         for batch in batches_of(batches):
             scores = pa.array([matcher.score(t or "") for t in batch.column(at).to_pylist()], pa.float64())
@@ -278,6 +281,7 @@ def _drop_text(docs: DataFrame, model: Model) -> DataFrame:
     told = docs.sparkSession.sparkContext.broadcast(model.to_json())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         matcher = Matcher(Model.from_json(told.value))
         for batch in batches_of(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([matcher.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
