@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as fn
 from corpusmill.functions import vectors
-from corpusmill.operators import chunking, connectors, context, fusion, guard, search
+from corpusmill.operators import chunking, connectors, context, fusion, guard, keyword_index, search
 from corpusmill.sources import files, parsers, tables
 
 #: Texts of a batch -> (index, vector) in any order; model and prompt -> answer.
@@ -77,8 +77,11 @@ def ingest_files(found: DataFrame, readers: files.Readers = files.Readers(), **o
     return chunks, lost
 
 
-def candidates(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy(), embedder: Embedder | None = None) -> DataFrame:
-    """query_id, chunk_id, score: vector and keyword hits fused by reciprocal rank; the embedder is that of the chunks."""
+def candidates(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy(), embedder: Embedder | None = None, words: keyword_index.KeywordIndex | None = None) -> DataFrame:
+    """query_id, chunk_id, score: vector and keyword hits fused by reciprocal rank; the embedder is that of the chunks.
+
+    ``words`` is an index of the chunks' contents; without one they are indexed for this search.
+    """
     if embedder is None:
         asked = questions.select("query_id", vectors.hashed_words(policy.width)("text").alias("embedding"))
     else:
@@ -86,13 +89,14 @@ def candidates(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy(
     near = search.vector_topk(asked, chunks.select("chunk_id", "embedding"), policy.per_list, digits=9)
     lists = [near.where(F.col("score") >= policy.least_relevance).select("query_id", "chunk_id", "rank")]
     if policy.hybrid:
-        lists.append(search.keyword_topk(questions, chunks.select("chunk_id", F.col("content").alias("text")), policy.per_list).select("query_id", "chunk_id", "rank"))
+        words = words or keyword_index.index_words(chunks.select("chunk_id", F.col("content").alias("text")))
+        lists.append(keyword_index.search_words(questions, words, policy.per_list).select("query_id", "chunk_id", "rank"))
     return fusion.reciprocal_rank(lists)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy(), embedder: Embedder | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy(), embedder: Embedder | None = None, words: keyword_index.KeywordIndex | None = None) -> DataFrame:
     """query_id, place, chunk_id, doc_id, title, page, content, token_count, score: each question's passages in order."""
-    fused = tables.written(candidates(questions, chunks, policy, embedder))  # some rows a question, read three times below
+    fused = tables.written(candidates(questions, chunks, policy, embedder, words))  # some rows a question, read three times below
     held = chunks.select("chunk_id", "doc_id", "title", "page", "content", "token_count", "embedding", "heading_path")
     full = fused.join(held, "chunk_id")
     picks = fusion.diversify(full, policy.relevance, 2 * policy.passages)

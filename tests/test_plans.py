@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import connectors, filters, fusion, usage
+from corpusmill.operators import connectors, filters, fusion, keyword_index, usage
 from corpusmill.plans import answer
 from corpusmill.queries import streams
 from corpusmill.sources import tables
@@ -86,3 +86,11 @@ def test_versions_of_many_batches_keep_each_other(spark, tmp_path):
     docs.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
     wanted = sorted(map(tuple, streams.st_version_swap(spark, SF).collect()))
     assert sorted(map(tuple, streams.st_version_swap(spark, str(tmp_path)).collect())) == wanted
+
+
+def test_retrieval_with_an_index_kept_for_it(spark):
+    chunks = tables.written(answer.ingest(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")))
+    asked = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    words = keyword_index.index_words(chunks.select("chunk_id", F.col("content").alias("text")))
+    plain, kept = (sorted(map(str, answer.retrieve(asked, chunks, words=w).collect())) for w in (None, words))
+    assert plain == kept and plain
