@@ -106,19 +106,19 @@ def agg_context_tokens(t: Tables):
     return items.select("conv_id", F.aggregate(taken, F.lit(0).cast("long"), lambda s, x: s + x["tokens"]).alias("context_tokens"))
 
 
-@R.query("st_rate_evict", "SELECT user_id, max(ts) AS last_hit FROM events GROUP BY 1 HAVING max(ts) >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 6 HOUR")
-def st_rate_evict(t: Tables):
+@R.query("st_rate_open", "SELECT user_id, max(ts) AS last_hit FROM events GROUP BY 1 HAVING max(ts) >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 6 HOUR")
+def st_rate_open(t: Tables):
     """Windows that are still open at a given time; the others are forgotten."""
     last = t.events.groupBy("user_id").agg(F.max("ts").alias("last_hit"))
     return last.where(F.col("last_hit") >= F.lit("2024-01-30 12:00:00").cast("timestamp_ntz") - F.expr("INTERVAL '6' HOUR"))
 
 
 @R.query(
-    "st_session",
+    "st_session_window",
     """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS began, count(*) AS events FROM s GROUP BY user_id, s""",
 )
-def st_session(t: Tables):
+def st_session_window(t: Tables):
     """Sessions that each event extends by half a day."""
     found = t.events.groupBy("user_id", F.session_window("ts", "12 hours").alias("w")).agg(F.count("*").alias("events"))
     return found.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("began"), "events")

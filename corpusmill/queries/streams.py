@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators import lifecycle
 from corpusmill.operators.chunk_table import ChunkTable
 from corpusmill.queries import Registry
-from corpusmill.streaming import jobs, limits, run
+from corpusmill.streaming import jobs, limits, run, sessions
 
 R = Registry()
 
@@ -105,6 +105,36 @@ _limit("st_retry", jobs.lifecycle(most_tries=2, stale=30 * _DAY), "status string
 _limit("st_reaper", jobs.lifecycle(most_tries=3, stale=_DAY), "status string, attempts int, run_after double", "status string, attempts int, ready double, locked double", lambda: F.lit("claim"), _job_sql(3, 1, "'claim'"))
 
 
+def _ending(name: str, turn, event, out: str, living: str, lasting: str | None, sql: str) -> None:
+    """A stream over three stretches of the events, started anew for each."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at")
+        rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", at, event().alias("extra"))
+        return run.replay(rows, "at", lambda s: sessions.keyed(s, "user_id", "at", "event_id", "extra", turn, out, living, lasting))[0]
+
+    R.queries[name], R.sql[name] = query, sql
+
+
+_LIVE = "s.expires > e.at"
+_SESSION_SQL = _steps(
+    "0::DOUBLE AS expires, 0 AS opened, '' AS verdict",
+    f"""CASE WHEN e.extra THEN 0 WHEN {_LIVE} AND s.expires - e.at >= 43200 THEN s.expires ELSE e.at + 86400 END, s.opened + (NOT e.extra AND NOT {_LIVE})::INT,
+      CASE WHEN e.extra AND {_LIVE} THEN 'signed_out' WHEN e.extra THEN 'none' WHEN NOT {_LIVE} THEN 'opened' WHEN s.expires - e.at < 43200 THEN 'extended' ELSE 'used' END""",
+    "verdict, nullif(expires, 0) AS expires, opened::INT AS sessions",
+    "event_type = 'error'",
+)
+_OPEN = "s.hits > 0 AND e.at - s.began < 86400"
+_FORGET_SQL = _steps(
+    "0::DOUBLE AS began, 0 AS hits",
+    f"CASE WHEN {_OPEN} THEN s.began ELSE e.at END, CASE WHEN e.extra THEN 0 WHEN {_OPEN} THEN s.hits + 1 ELSE 1 END",
+    "CASE WHEN hits > 0 THEN hits <= 2 END AS allowed, greatest(0, 2 - hits)::INT AS remaining",
+    "event_type = 'purchase'",
+)
+_ending("st_session", sessions.sliding_session(_DAY), lambda: F.col("event_type") == "error", "verdict string, expires double, sessions int", "began double, expires double", "opened int", _SESSION_SQL)
+_ending("st_rate_evict", sessions.forgettable_window(2, _DAY), lambda: F.col("event_type") == "purchase", "allowed boolean, remaining int", "began double, hits int", None, _FORGET_SQL)
+
+
 def st_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly counters kept by a stream in update mode."""
     events = run.read_table(spark, sf_dir, "events")

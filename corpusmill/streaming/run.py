@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.sources.tables import shared
+from corpusmill.sources.tables import shared, written
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, files: int | None = None) -> DataFrame:
@@ -41,3 +43,36 @@ def drain_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
     query.awaitTermination()
     rows = spark.read.parquet(f"{folder}/out/batch=*")
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "_batch").alias("r")).select(*keys, "r.*")
+
+
+#: State variables with timers are held in this store.
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def replay(rows: DataFrame, time: str, build: Callable[[DataFrame], DataFrame], parts: int = 3) -> tuple[DataFrame, list[dict]]:
+    """What the stream ``build`` makes of ``rows`` that arrive in ``parts`` stretches of ``time``, and the progress of each.
+
+    Every stretch is written beside the earlier ones and the stream started again from
+    its checkpoint, so its state outlives the query each time.  Rows without a time come first.
+    """
+    spark = rows.sparkSession
+    folder = shared(spark, "replay")
+    held = written(rows)
+    cuts = sorted(set(held.approxQuantile(time, [k / parts for k in range(1, parts)], 0.01)))
+    edges = [None, *cuts, None]
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKS)
+    progress = []
+    try:
+        for low, high in zip(edges, edges[1:], strict=False):
+            some = held if low is None else held.where(F.col(time) >= low)
+            some = some if high is None else some.where((F.col(time) < high) | F.col(time).isNull() if low is None else F.col(time) < high)
+            some.write.mode("append").parquet(f"{folder}/in")
+            stream = build(spark.readStream.schema(held.schema).parquet(f"{folder}/in"))
+            query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+            query.awaitTermination()
+            progress += query.recentProgress
+    finally:
+        spark.conf.set(_STORE, before)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out"), progress

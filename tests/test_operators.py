@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import papers as paper_fn
 from corpusmill.functions import vectors
-from corpusmill.operators import chunking, fusion, papers, reconcile, routing, search
+from corpusmill.operators import chunking, fusion, papers, reconcile, routing, search, usage
 from corpusmill.plans import answer
 from corpusmill.streaming import jobs, limits
 
@@ -199,3 +200,22 @@ def test_injected_embedder_and_chat(spark):
     assert said == {1: "m says beta [1]", 2: None}
     blocks = spark.createDataFrame([(1, [("heading", 1, "Top", None, None), ("record", None, "k: v", None, "9")])], "doc_id long, blocks array<struct<kind:string,level:int,text:string,page:int,key:string>>")
     assert [(r.heading_path, r.record_key) for r in answer.ingest(blocks).collect()] == [(["Top"], "9")]
+
+
+def test_percentiles_are_exact_values_over_many_ranges(spark):
+
+    random.seed(5)
+    rows = [("hot", float(random.randrange(40) if random.random() < 0.5 else random.random() * 1e6)) for _ in range(6000)]
+    rows += [(f"g{i % 700}", float(i * 37 % 101)) for i in range(2100)] + [(None, 3.0), (None, 1.0), ("nulls", None), ("mixed", None), ("mixed", 5.0), ("nan", math.nan), ("nan", 1.0)]
+    found = {r.value: r for r in usage.percentiles(spark.createDataFrame(rows, "value string, n double").repartition(6), ["value"], "n").collect()}
+    groups: dict = {}
+    for key, x in rows:
+        groups.setdefault(key, []).append(x)
+    assert set(found) == set(groups) and len(found) == 705
+    for key, xs in groups.items():
+        held = sorted((x for x in xs if x is not None), key=lambda x: (math.isnan(x), x))
+        for share in (50, 95, 99):
+            wanted = held[max(1, -(-len(held) * share // 100)) - 1] if held else None
+            got = found[key][f"p{share}"]
+            assert got == wanted or (math.isnan(got) and math.isnan(wanted)), (key, share)
+    assert usage.percentiles(spark.createDataFrame([], "value string, n double"), ["value"], "n").count() == 0
