@@ -26,6 +26,12 @@ def hashing_client(texts: list[str]) -> list[tuple[int, list[float]]]:
     return [(i, hash_vector(t, 64, known).tolist()) for i, t in reversed(list(enumerate(texts)))]
 
 
+def narrow_client(texts: list[str]) -> list[tuple[int, list[float]]]:
+    """Another offline embedder, of half the width."""
+    known: dict[str, int] = {}
+    return [(i, hash_vector(t, 32, known).tolist()) for i, t in enumerate(texts)]
+
+
 def _answered(texts: list[str], client: Callable[[list[str]], list[tuple[int, list[float]]]], width: int) -> pa.Array:
     """The client's vectors in the order of the texts."""
     found = sorted(client(texts))

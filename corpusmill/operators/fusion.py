@@ -40,6 +40,16 @@ def reciprocal_rank(lists: list[DataFrame], constant: int = RANK_CONSTANT) -> Da
     return rows.groupBy("query_id", "chunk_id").agg(F.sum(F.lit(1.0) / (constant + F.col("rank"))).alias("score"))
 
 
+def _beside(vectors: list[np.ndarray]) -> np.ndarray:
+    """The vectors as rows; those of different widths lie in columns of their own, so that their cosine is 0."""
+    widths = sorted({len(v) for v in vectors})
+    starts = dict(zip(widths, np.cumsum([0, *widths]), strict=False))
+    out = np.zeros((len(vectors), sum(widths)))
+    for row, v in zip(out, vectors, strict=True):
+        row[starts[len(v)] : starts[len(v)] + len(v)] = v
+    return out
+
+
 def diversify(candidates: DataFrame, relevance: float = RELEVANCE, most: int = 2 * MOST) -> DataFrame:
     """query_id, chunk_id, pick: the candidates of each query in order of marginal relevance.
 
@@ -50,7 +60,7 @@ def diversify(candidates: DataFrame, relevance: float = RELEVANCE, most: int = 2
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["score", "chunk_id"], ascending=[False, True], kind="stable")
-        vectors = np.array([np.asarray(v, float) for v in frame["embedding"]])
+        vectors = _beside([np.asarray(v, float) for v in frame["embedding"]])
         sizes = np.linalg.norm(vectors, axis=1, keepdims=True)
         vectors = np.divide(vectors, sizes, out=np.zeros_like(vectors), where=sizes > 0)
         scores = frame["score"].to_numpy(float)

@@ -60,6 +60,12 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, most: int, digits: int |
     asked = _blocks(queries, "query_id", "embedding", QUERY_BLOCK, qk).select("width", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("share"))
     held = _blocks(corpus, "chunk_id", "embedding", CORPUS_BLOCK, ck).select(F.col("width").alias("c_width"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c"), F.pmod("number", F.lit(spread)).cast("int").alias("share"))
 
+    return _multiplied(asked.join(held, "share"), most, digits, qk, ck)
+
+
+def _multiplied(pairs: DataFrame, most: int, digits: int | None, qk: str, ck: str) -> DataFrame:
+    """query_id, chunk_id, score, rank: each pair of blocks (width, q_ids, q, c_width, c_ids, c) hands on its best ``most`` a question."""
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for width, q_ids, q, c_width, c_ids, c in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
@@ -73,11 +79,48 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, most: int, digits: int |
                 # best scores first, of equals the smaller id
                 tops = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :most]]
                 asked_by = np.repeat(np.arange(len(q_ids)), tops.shape[1])
-                columns = [pa.array(q_ids).take(pa.array(asked_by)), pa.array(c_ids).take(pa.array(tops.ravel())), pa.array(np.take_along_axis(scores, tops, 1).ravel())]
+                q_kind, c_kind = (batch.schema.field(n).type.value_type for n in ("q_ids", "c_ids"))
+                columns = [pa.array(q_ids, q_kind).take(pa.array(asked_by)), pa.array(c_ids, c_kind).take(pa.array(tops.ravel())), pa.array(np.take_along_axis(scores, tops, 1).ravel())]
                 yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "score"])
 
-    pairs = asked.join(held, "share").select("width", "q_ids", "q", "c_width", "c_ids", "c")
-    return ranked(pairs.mapInArrow(best, f"query_id {qk}, chunk_id {ck}, score double"), most=most)
+    blocks = pairs.select("width", "q_ids", "q", "c_width", "c_ids", "c")
+    return ranked(blocks.mapInArrow(best, f"query_id {qk}, chunk_id {ck}, score double"), most=most)
+
+
+def within_topk(queries: DataFrame, corpus: DataFrame, within: str, most: int, digits: int | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank: the nearest ``most`` of the chunks that share a question's values of ``within``.
+
+    ``queries`` has query_id, ``within`` and embedding, a row for every value a question
+    asks; ``corpus`` chunk_id, ``within`` and embedding.  Exact, and without work on
+    values that nobody asks: each value's vectors are cut into blocks of about ``SHARE``
+    rows by a hash, so one value of a third of all rows is many tasks, and meet the
+    blocks of that value's questions only.  Vectors of another width than the
+    question's are not compared; null values of ``within`` match nothing.
+    """
+    qk, ck = queries.schema["query_id"].dataType.simpleString(), corpus.schema["chunk_id"].dataType.simpleString()
+    kind = corpus.schema[within].dataType.simpleString()
+
+    def blocks(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+        """within, width, share, ids, vectors; the number of shares follows each value's count."""
+        df = df.select(F.col(id_col).alias("_id"), F.col(within).cast(kind).alias(within), "embedding", F.size("embedding").alias("width")).where("width > 0")
+        counts = df.groupBy(within, "width").agg(F.ceil(F.count("*") / rows).cast("int").alias("_shares"))
+        dealt = df.join(counts, [within, "width"]).withColumn("share", F.pmod(F.xxhash64("_id"), F.col("_shares")).cast("int"))
+
+        def one(group: pa.Table) -> pa.Table:
+            width = group.column("width")[0].as_py()
+            matrix = np.array(group.column("embedding").to_pylist(), "<f8").reshape(-1, width)
+            size = np.linalg.norm(matrix, axis=1, keepdims=True)
+            matrix = np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
+            keys = {c: group.column(c).slice(0, 1) for c in (within, "width", "share", "_shares")}
+            return pa.table({**keys, "ids": pa.array([group.column("_id").to_pylist()], pa.list_(group.schema.field("_id").type)), "vectors": pa.array([matrix.tobytes()], pa.binary())})
+
+        return dealt.groupBy(within, "width", "share").applyInArrow(one, f"{within} {kind}, width int, share int, _shares int, ids array<{df.schema['_id'].dataType.simpleString()}>, vectors binary")
+
+    held = blocks(corpus, "chunk_id", SHARE).select(within, "width", "share", F.col("_shares"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c"), F.col("width").alias("c_width"))
+    spread = corpus.groupBy(within, F.size("embedding").alias("width")).agg(F.ceil(F.count("*") / SHARE).cast("int").alias("_of"))
+    asked = blocks(queries, "query_id", QUERY_BLOCK).select(within, "width", F.col("ids").alias("q_ids"), F.col("vectors").alias("q")).join(spread, [within, "width"])
+    asked = asked.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).drop("_of")
+    return _multiplied(asked.join(held, [within, "width", "share"]), most, digits, qk, ck)
 
 
 def keyword_topk(queries: DataFrame, corpus: DataFrame, most: int) -> DataFrame:

@@ -96,7 +96,12 @@ def candidates(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy(
 
 def retrieve(questions: DataFrame, chunks: DataFrame, policy: Policy = Policy(), embedder: Embedder | None = None, words: keyword_index.KeywordIndex | None = None) -> DataFrame:
     """query_id, place, chunk_id, doc_id, title, page, content, token_count, score: each question's passages in order."""
-    fused = tables.written(candidates(questions, chunks, policy, embedder, words))  # some rows a question, read three times below
+    return passages(candidates(questions, chunks, policy, embedder, words), chunks, policy)
+
+
+def passages(found: DataFrame, chunks: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """The candidates (query_id, chunk_id, score) of each question diversified and cut to its budget, as ``retrieve`` returns them."""
+    fused = tables.written(found)  # some rows a question, read three times below
     held = chunks.select("chunk_id", "doc_id", "title", "page", "content", "token_count", "embedding", "heading_path")
     full = fused.join(held, "chunk_id")
     picks = fusion.diversify(full, policy.relevance, 2 * policy.passages)

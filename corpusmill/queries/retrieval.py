@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import scalars, vectors
 from corpusmill.functions import text as fn
 from corpusmill.operators import chunking, connectors, context, filters, fusion, guard, lifecycle, routing, search
-from corpusmill.plans import answer
+from corpusmill.plans import answer, bases
 from corpusmill.queries import Registry, Tables
 from corpusmill.queries.ranking import mmr_sql
 from corpusmill.sources import files, tables
@@ -315,3 +315,48 @@ def chat_history_sizes(t: Tables):
 @R.query("rag_chunk_history", "SELECT conv_id, count(*) AS kept FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE role <> 'system') WHERE k <= 6 GROUP BY 1")
 def rag_chunk_history(t: Tables):
     return chunking.history(t.conversations, 3).groupBy("conv_id").agg(F.count("*").alias("kept"))
+
+
+def _bases(t: Tables):
+    """A base for every source but one that is deleted: a third of them of each of two models, the others of a third one."""
+    number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    each = t.documents.select("source").where("source IS NOT NULL").distinct()
+    model = F.element_at(F.array(F.lit("words-64"), F.lit("words-32"), F.lit("gone")), F.when(number % 7 == 6, 3).otherwise(number % 2 + 1))
+    return each.select(F.col("source").alias("base_id"), model.alias("model"), F.when(number % 9 == 8, F.lit("2024-01-01")).alias("deleted_at"))
+
+
+def _asked_bases(t: Tables):
+    """Every question asks two or three bases by its number; some name one twice or one that is not there."""
+    base = lambda k: F.concat(F.lit("src"), (F.col("item_id") * 3 + k) % 20)
+    ids = F.when(F.col("item_id") % 13 == 0, F.array(base(0), base(0))).when(F.col("item_id") % 11 == 0, F.array(base(0), F.lit("src999")))
+    return t.benchmark.select(F.col("item_id").alias("query_id"), "text", ids.when(F.col("item_id") % 2 == 0, F.array(base(0), base(1))).otherwise(F.array(base(0), base(2), base(5))).alias("base_ids"))
+
+
+@R.query(
+    "rag_base_routes",
+    r"""WITH b AS (SELECT DISTINCT source AS base_id, regexp_extract(source, '(\d+)$', 1)::INT AS k FROM documents WHERE source IS NOT NULL),
+    l AS (SELECT base_id, CASE WHEN k % 7 = 6 THEN 'gone' WHEN k % 2 = 0 THEN 'words-64' ELSE 'words-32' END AS model FROM b WHERE k % 9 <> 8),
+    q AS (SELECT item_id AS query_id, text, CASE WHEN item_id % 13 = 0 THEN ['src' || (item_id * 3) % 20, 'src' || (item_id * 3) % 20] WHEN item_id % 11 = 0 THEN ['src' || (item_id * 3) % 20, 'src999']
+      WHEN item_id % 2 = 0 THEN ['src' || (item_id * 3) % 20, 'src' || (item_id * 3 + 1) % 20] ELSE ['src' || (item_id * 3) % 20, 'src' || (item_id * 3 + 2) % 20, 'src' || (item_id * 3 + 5) % 20] END AS ids FROM benchmark),
+    e AS (SELECT query_id, unnest(ids) AS base_id FROM q), g AS (SELECT query_id, count(DISTINCT l.base_id) AS found, count(*) AS n, count(*) FILTER (WHERE model = 'gone') AS unread, count(DISTINCT model) AS models FROM e LEFT JOIN l USING (base_id) GROUP BY 1),
+    r AS (SELECT query_id, CASE WHEN found < n THEN 'knowledge_base' WHEN unread > 0 THEN 'knowledge_base_needs_reembedding' END AS refused, models FROM g)
+    SELECT query_id, refused, CASE WHEN refused IS NULL THEN models ELSE 0 END::INT AS models, CASE WHEN refused IS NULL THEN models * greatest(len([x FOR x IN regexp_split_to_array(text, '\s+') IF x <> '']), length(text) // 4, 1) ELSE 0 END::BIGINT AS embedding_tokens FROM r JOIN q USING (query_id)""",
+)
+def rag_base_routes(t: Tables):
+    """Which questions may be searched in their bases, with how many models, and what that costs."""
+    told = bases.routes(_asked_bases(t), _bases(t), ["words-64", "words-32"])
+    return told.select("query_id", "refused", F.size("models").alias("models"), "embedding_tokens")
+
+
+@R.query("rag_retrieve_bases")
+def rag_retrieve_bases(t: Tables):
+    """Hybrid search within each question's bases, which were embedded with two models."""
+    held = _bases(t).where("deleted_at IS NULL AND model <> 'gone'")
+    docs = t.documents.join(held, F.col("source") == F.col("base_id")).select("doc_id", "text", "base_id", "model")
+    parts = []
+    for model, client, width in (("words-64", connectors.hashing_client, 64), ("words-32", connectors.narrow_client, 32)):
+        some = docs.where(F.col("model") == model)
+        parts.append(answer.ingest(some.select("doc_id", "text"), width=width, embedder=client).join(some.select("doc_id", "base_id"), "doc_id"))
+    chunks = tables.written(parts[0].unionByName(parts[1]))
+    found, _ = bases.retrieve(_asked_bases(t), chunks, _bases(t), {"words-64": connectors.hashing_client, "words-32": connectors.narrow_client}, {"words-64": 64, "words-32": 32})
+    return found.select("query_id", "place", "chunk_id", "doc_id", "token_count", "score")
