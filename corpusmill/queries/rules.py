@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import scalars
 from corpusmill.functions import text as fn
-from corpusmill.operators import filters, lifecycle
+from corpusmill.operators import filters, language, lifecycle
 from corpusmill.queries import Registry, Tables
 
 R = Registry()
@@ -242,3 +242,10 @@ _COMMON_SQL = ", ".join("{{'n': len([x FOR x IN ws IF x IN ({})]), 'name': '{}'}
 )
 def fn_language(t: Tables):
     return t.documents.select("doc_id", "lang", scalars.language("text").alias("guess"))
+
+
+@R.query("fn_language_learned")
+def fn_language_learned(t: Tables):
+    """The language of every document by runs of characters, learned from four fifths of the labelled ones."""
+    model = language.fit(t.documents.where("doc_id % 5 <> 0"))
+    return t.documents.select("doc_id", "lang", (F.col("doc_id") % 5 == 0).alias("held_out")).join(language.detect(t.documents, model), "doc_id").drop("margin")

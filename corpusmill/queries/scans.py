@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as fn
-from corpusmill.operators import lifecycle, usage
+from corpusmill.operators import fetch, lifecycle, usage
 from corpusmill.queries import Registry, Tables
 from corpusmill.sources import files, parsers, records, tables
 from corpusmill.sources.objects import ObjectStore, object_key
@@ -223,11 +223,34 @@ def url_guard(t: Tables):
     return t.pages.select("page_id", urls.alias("url")).withColumn("refused", fn.refused_url("url"))
 
 
-@R.query("url_fetch", """SELECT page_id, url, strlen(html) AS bytes, strlen(html) <= 10485760 AS accepted FROM pages""")
-def url_fetch(t: Tables):
+@R.query("url_sizes", """SELECT page_id, url, strlen(html) AS bytes, strlen(html) <= 10485760 AS accepted FROM pages""")
+def url_sizes(t: Tables):
     return t.pages.select("page_id", "url", F.octet_length("html").cast("long").alias("bytes")).withColumn("accepted", F.col("bytes") <= 10 << 20)
 
 
+#: How the address of a page number answers: most lead to the next one.
+_ANSWER = """CASE WHEN {k} % 17 = 3 THEN 'missing' WHEN {k} % 19 = 4 THEN 'lost' WHEN {k} % 23 = 5 THEN 'inward' WHEN {k} % 29 = 6 THEN 'itself' WHEN {k} % 10 BETWEEN 1 AND 8 THEN 'next' ELSE 'page' END"""
+
+
+@R.query(
+    "url_fetch",
+    f"""WITH RECURSIVE a AS (SELECT page_id AS k, {_ANSWER.format(k="page_id")} AS kind, strlen(coalesce(html, '')) AS bytes FROM pages),
+    r AS (SELECT page_id, page_id AS k, 0 AS hops FROM pages UNION ALL SELECT r.page_id, CASE kind WHEN 'itself' THEN r.k ELSE r.k + 1 END, hops + 1 FROM r JOIN a ON a.k = r.k WHERE kind IN ('itself', 'next') AND hops < 6),
+    l AS (SELECT page_id, max_by(k, hops) AS k, max(hops) AS hops FROM r GROUP BY 1)
+    SELECT page_id, CASE WHEN kind = 'inward' AND hops < 6 THEN hops + 1 ELSE hops END::INT AS hops, CASE WHEN hops = 6 THEN 'redirects' WHEN kind IS NULL THEN 'unreachable' WHEN kind = 'missing' THEN 'status 404' WHEN kind = 'lost' THEN 'no location' WHEN kind = 'inward' THEN 'refused: private' END AS error,
+      CASE WHEN kind = 'page' AND hops < 6 THEN 'https://pages.example/p/' || l.k END AS final_url, CASE WHEN kind = 'page' AND hops < 6 THEN bytes END AS bytes FROM l LEFT JOIN a ON a.k = l.k""",
+)
+def url_fetch(t: Tables):
+    """Every page by address from a recorded web in which addresses lead on, in circles, inward and nowhere."""
+    k, kind = F.col("page_id"), F.expr(_ANSWER.format(k="page_id"))
+    location = F.when(kind == "next", F.concat(F.lit("../p/"), k + 1)).when(kind == "itself", F.concat(F.lit("/p/"), k)).when(kind == "inward", "http://169.254.169.254/latest")
+    status = F.when(kind == "page", 200).when(kind == "missing", 404).otherwise(302)
+    url = F.concat(F.lit("https://pages.example/p/"), k)
+    archive = t.pages.select(url.alias("url"), status.alias("status"), location.alias("location"), F.lit("text/html").alias("content_type"), F.coalesce("html", F.lit("")).cast("binary").alias("body"))
+    found = fetch.fetch(t.pages.select("page_id", url.alias("url")), fetch.from_archive(archive))
+    return found.select("page_id", "hops", "error", "final_url", F.octet_length("body").cast("long").alias("bytes"))
+
+
 @R.query("upload_receive", """SELECT doc_id, strlen(text) AS bytes, sha256(text) AS content_hash, strlen(text) <= 10485760 AS within_cap FROM documents""")
 def upload_receive(t: Tables):
     size = F.octet_length("text").cast("long")
