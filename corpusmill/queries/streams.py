@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators import lifecycle
 from corpusmill.operators.chunk_table import ChunkTable
 from corpusmill.queries import Registry
-from corpusmill.streaming import jobs, limits, run, sessions
+from corpusmill.streaming import dispatch, jobs, limits, run, sessions
 
 R = Registry()
 
@@ -192,3 +192,37 @@ def st_purge(t):
 def st_reembed(t):
     """Documents of each knowledge base whose chunker is out of date."""
     return t.documents.withColumn("chunker", F.col("doc_id") % 4).where("chunker < 2").groupBy("source").agg(F.count("*").alias("documents"))
+
+
+def _document_handlers(table: ChunkTable) -> dict[str, dispatch.Handler]:
+    """Ingestion, of which some documents fail at first, and deletion."""
+
+    def ingest(jobs: DataFrame, transaction: str) -> DataFrame:
+        early = (F.col("document_id") % 11 == 3) & (F.col("attempts") < 2)
+        table.append(jobs.where(~early).select("document_id", F.lit(1).alias("version"), "chars"), transaction)
+        return jobs.where(early).select("job_id", F.lit("transient").alias("outcome"), F.lit("not yet").alias("message"))
+
+    def delete(jobs: DataFrame, transaction: str) -> None:
+        table.retire_documents(jobs, F.lit("2024-01-01"), transaction)
+
+    return {"ingest": ingest, "delete": delete}
+
+
+def st_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document ingested by a job, a fifth deleted by another, some of a kind nobody handles; then a later run for retries."""
+    folder = run.shared(spark, "stream")
+    table = ChunkTable(spark, f"{folder}/chunks")
+    queue = dispatch.Dispatcher(spark, f"{folder}/queue", _document_handlers(table))
+    number = F.col("doc_id")
+    kinds = F.array(F.lit("ingest"), F.when(number % 5 == 1, "delete"), F.when(number % 7 == 2, "audit"))
+    rows = run.read_table(spark, sf_dir, "documents").select(number.alias("document_id"), F.char_length("text").alias("chars"), F.posexplode(kinds).alias("place", "kind")).where("kind IS NOT NULL")
+    queue.follow(rows.select((F.col("document_id") * 3 + F.col("place")).alias("job_id"), "kind", F.col("place").alias("priority"), "document_id", "chars"), f"{folder}/state", lambda n: float(n))
+    queue.run(1000.0)
+    live = table.served().select("document_id", F.lit(True).alias("served"))
+    return queue.states().join(live, "document_id", "left").select("job_id", "kind", "status", "attempts", "message", F.coalesce("served", F.lit(False)).alias("served"))
+
+
+R.queries["st_dispatch"] = st_dispatch
+R.sql["st_dispatch"] = """WITH j AS (SELECT doc_id, unnest([0, 1, 2]) AS place FROM documents)
+    SELECT doc_id * 3 + place AS job_id, ['ingest', 'delete', 'audit'][place + 1] AS kind, CASE WHEN place = 2 THEN 'dead' ELSE 'complete' END AS status, CASE WHEN place = 0 AND doc_id % 11 = 3 THEN 2 ELSE 1 END::INT AS attempts,
+      CASE WHEN place = 2 THEN 'no handler' END AS message, (doc_id % 5 <> 1 OR doc_id % 11 = 3) AS served FROM j WHERE place = 0 OR (place = 1 AND doc_id % 5 = 1) OR (place = 2 AND doc_id % 7 = 2)"""
