@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as fn
@@ -42,7 +42,7 @@ def _dealt(documents: DataFrame) -> DataFrame:
     return documents.repartition(tasks) if size < tasks * split else documents
 
 
-def ingest(documents: DataFrame, title: Column | None = None, width: int = 64, embedder: Embedder | None = None, cache: DataFrame | None = None) -> DataFrame:
+def ingest(documents: DataFrame, title: Column | None = None, width: int = 64, embedder: Embedder | None = None, cache: DataFrame | None = None, seen: Observation | None = None) -> DataFrame:
     """chunk_id, doc_id, title, chunk_index, content, token_count, page, heading_path, record_key, content_hash, embedding.
 
     ``documents`` has doc_id and either text or, from another parser, blocks (array of
@@ -51,12 +51,16 @@ def ingest(documents: DataFrame, title: Column | None = None, width: int = 64, e
     embedded once, by their hash, and the vectors come back by an equi join.
     ``embedder`` gets the texts of a batch and answers with (index, vector) in any
     order; without one, words are hashed.  ``cache`` (content_hash, embedding of the
-    same model) spares the embedder what it has.
+    same model) spares the embedder what it has.  ``seen`` is told the chunks, their
+    tokens and the largest while they are written.
     """
     documents = _dealt(documents)
     blocks = F.col("blocks") if "blocks" in documents.columns else parsers.text_blocks("text")
     named = title if title is not None else F.concat(F.lit("Document "), "doc_id")
-    chunks = tables.written(chunking.chunk(documents.select("doc_id", named.alias("title"), blocks.alias("blocks"))).withColumn("content_hash", fn.content_hash("content")))
+    cut = chunking.chunk(documents.select("doc_id", named.alias("title"), blocks.alias("blocks"))).withColumn("content_hash", fn.content_hash("content"))
+    if seen is not None:
+        cut = cut.observe(seen, F.count("*").alias("chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"), F.max("token_count").alias("largest"))
+    chunks = tables.written(cut)
     if embedder is None and cache is None:
         once = chunks.groupBy("content_hash").agg(F.first("content").alias("content")).select("content_hash", vectors.hashed_words(width)("content").alias("embedding"))
     else:

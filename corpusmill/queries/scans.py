@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as fn
-from corpusmill.operators import fetch, lifecycle, usage
+from corpusmill.operators import fetch, lifecycle, metrics, usage
 from corpusmill.queries import Registry, Tables
 from corpusmill.sources import files, parsers, records, tables
 from corpusmill.sources.objects import ObjectStore, object_key
@@ -279,6 +279,16 @@ def metrics_sink(t: Tables):
     return lifecycle.cumulative_histogram(t.events.select((F.col("value") / 5).alias("seconds")), "seconds", usage.LATENCY)
 
 
+@R.query("metrics_observed", """SELECT le, (SELECT count(*) FROM events WHERE value / 5 <= le) AS observations, (SELECT count(*) FROM events) AS written FROM (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.2, 0.4, 0.8, 1.5, 3.0, 6.0, 15.0, 30.0, 60.0])::DOUBLE AS le)""")
+def metrics_observed(t: Tables):
+    """The histogram of a table that is written, taken while it is."""
+    rows, seen = metrics.measured(t.events.select("event_id", (F.col("value") / 5).alias("seconds")), "seconds")
+    kept = tables.written(rows)
+    found = seen.get
+    ladder = F.explode(F.array(*[F.struct(F.lit(b).alias("le"), F.lit(found[f"le_{i}"]).cast("long").alias("observations")) for i, b in enumerate(usage.LATENCY)])).alias("r")
+    return kept.agg(F.count("*").alias("written")).select("written", ladder).select("r.le", "r.observations", "written")
+
+
 @R.query("table_source_md", """SELECT l_orderkey, count(*) AS table_rows, 3 * count(*) AS cells FROM lineitem GROUP BY 1""")
 def table_source_md(t: Tables):
     row = F.concat(F.lit("| "), F.concat_ws(" | ", "l_linenumber", "l_returnflag", "l_linestatus"), F.lit(" |"))
