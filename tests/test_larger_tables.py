@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from corpusmill import catalog
+from corpusmill.operators import vector_index
 
 
 def test_sizes_beyond_an_integer(spark, tmp_path):
@@ -10,3 +13,16 @@ def test_sizes_beyond_an_integer(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["doc_id"]: r["refusal"] for r in catalog.QUERIES["upload_gate"](spark, str(tmp_path)).collect()}
     assert found == {2: "too_large", 3: None, 6: None, 403: "too_many_documents"}
+
+
+def test_recall_of_vectors_without_lumps():
+    chance = np.random.RandomState(1)
+    vectors, asked = (vector_index._unit(chance.normal(size=(n, 64)).astype("f4")) for n in (8000, 100))
+    links, entries = vector_index.links_of(vectors), vector_index.entries_of(vectors)
+    wanted = np.argsort(-(asked @ vectors.T), axis=1)[:, :30]
+    found = vector_index.walk(asked, vectors, links, entries, vector_index.beam_of(vectors, links, entries))[:, :30]
+    assert np.mean([len(set(a) & set(b)) / 30 for a, b in zip(found.tolist(), wanted.tolist(), strict=True)]) >= 0.92
+    # a place that a walk is without is never found
+    assert (vector_index.walk(vectors[:50], vectors, links, entries, 96, np.arange(50)) != np.arange(50)[:, None]).all()
+    few = vectors[:20]
+    assert vector_index.beam_of(few, vector_index.links_of(few), vector_index.entries_of(few)) == vector_index.BEAM
