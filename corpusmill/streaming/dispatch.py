@@ -76,15 +76,19 @@ class Dispatcher:
         rows = mine.drop("message").join(worst, "job_id", "left").select("job_id", status.alias("status"), "attempts", F.when(again, F.lit(now) + wait).otherwise(F.col("run_after")).alias("run_after"), "message")
         self.commits.add("outcome", {"states": rows}, f"{transaction}-done")
 
-    def run(self, now: float, most: int = 10_000) -> int:
-        """Handle what a killed run left behind, then claim due jobs, ``most`` at a time, until none is; the number of claims."""
+    def run(self, now: float, most: int | None = None) -> int:
+        """Handle what a killed run left behind, then claim due jobs until none is; the number of claims.
+
+        A claim takes all due jobs of a priority, so that there are as many claims as priorities however long
+        the queue is, for each reads the states of all jobs; ``most`` makes them smaller.
+        """
         done = 0
         for transaction, name in self._open():
             self._handle(transaction, name, now)
             done += 1
         while True:
             states = self.states()
-            due = states if states is None else claim(states, now, most)
+            due = states if states is None else tables.written(claim(states, now, most).select("job_id", "attempts"))
             if due is None or due.isEmpty():
                 return done
             transaction = f"claim-{len(self.commits.history())}"

@@ -41,7 +41,13 @@ def lifecycle(most_tries: int = MOST_TRIES, stale: float = STALE):
     return step
 
 
-def claim(jobs: DataFrame, now: float, most: int) -> DataFrame:
-    """The next ``most`` pending jobs that are due, by priority and time; one claimant per micro-batch needs no locks."""
+def claim(jobs: DataFrame, now: float, most: int | None = None) -> DataFrame:
+    """The next ``most`` pending jobs that are due, by priority and time; without ``most``, all of the first priority that is due.
+
+    One claimant per micro-batch needs no locks.
+    """
     due = jobs.where((F.col("status") == "pending") & (F.col("run_after") <= now))
-    return due.orderBy("priority", "run_after", "job_id").limit(most)
+    if most is not None:
+        return due.orderBy("priority", "run_after", "job_id").limit(most)
+    first = due.select("priority").orderBy("priority").first()
+    return due.where(F.col("priority").eqNullSafe(F.lit(first["priority"] if first else None)))

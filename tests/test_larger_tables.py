@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corpusmill import catalog
 from corpusmill.operators import vector_index
+from corpusmill.streaming.dispatch import Dispatcher
 
 
 def test_sizes_beyond_an_integer(spark, tmp_path):
@@ -26,3 +28,13 @@ def test_recall_of_vectors_without_lumps():
     assert (vector_index.walk(vectors[:50], vectors, links, entries, 96, np.arange(50)) != np.arange(50)[:, None]).all()
     few = vectors[:20]
     assert vector_index.beam_of(few, vector_index.links_of(few), vector_index.entries_of(few)) == vector_index.BEAM
+
+
+def test_claims_do_not_grow_with_the_queue(spark, tmp_path):
+    seen = []
+    queue = Dispatcher(spark, str(tmp_path / "queue"), {kind: lambda jobs, _, kind=kind: seen.append((kind, jobs.count())) for kind in ("late", "soon")})
+    number = F.col("id")
+    queue.enqueue(spark.range(25_000).select(number.alias("job_id"), F.when(number % 5 == 0, "soon").otherwise("late").alias("kind"), F.when(number % 5 == 0, None).otherwise(number % 2).cast("int").alias("priority")))
+    assert queue.run(1.0) == 3  # nulls come first, as in any order by priority
+    assert seen == [("soon", 5_000), ("late", 10_000), ("late", 10_000)]
+    assert {(r["status"], r["count"]) for r in queue.states().groupBy("status").count().collect()} == {("complete", 25_000)}
