@@ -7,11 +7,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators import keyword_index, vector_index
 from corpusmill.operators.fusion import ranked
+from corpusmill.sources import tables
 
 #: Vectors in a block of questions and of the corpus.
 QUERY_BLOCK, CORPUS_BLOCK = 256, 2048
@@ -24,20 +26,19 @@ def _blocks(df: DataFrame, id_col: str, vector_col: str, rows: int, kind: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            widths: dict[int, list[int]] = {}
-            vectors = batch.column(1).to_pylist()
-            for i, v in enumerate(vectors):
-                widths.setdefault(len(v or ()), []).append(i)
-            for width, at in widths.items():
+            ids, lengths = batch.column(0).to_pylist(), pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            numbers, starts = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8"), np.cumsum(lengths) - lengths
+            for width in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == width).tolist()
                 for start in range(0, len(at), rows):
-                    some = at[start : start + rows]
-                    matrix = np.array([vectors[i] or [] for i in some], "<f8").reshape(len(some), width)
+                    some = sorted(at[start : start + rows], key=ids.__getitem__)  # of equal scores the smaller id comes first
+                    matrix = numbers[starts[some][:, None] + np.arange(width)]
                     size = np.linalg.norm(matrix, axis=1, keepdims=True) if width else np.zeros((len(some), 1))
                     matrix = np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
                     number = crc32(str(ids[some[0]]).encode())
                     yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([width]), pa.array([[ids[i] for i in some]], pa.list_(batch.schema.field(0).type)), pa.array([matrix.tobytes()], pa.binary())], names=["number", "width", "ids", "vectors"])
 
+    tables.small_batches(df.sparkSession)
     return df.select(id_col, vector_col).mapInArrow(run, f"number long, width long, ids array<{kind}>, vectors binary")
 
 
@@ -64,29 +65,44 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, most: int, digits: int |
 
 
 def _multiplied(pairs: DataFrame, most: int, digits: int | None, qk: str, ck: str) -> DataFrame:
-    """query_id, chunk_id, score, rank: each pair of blocks (width, q_ids, q, c_width, c_ids, c) hands on its best ``most`` a question."""
+    """query_id, chunk_id, score, rank: each pair of blocks (width, q_ids, q, c_width, c_ids, c) hands on its best ``most`` a question.
+
+    The ids of a block ascend.  A task holds one pair at a time, and a few more as they came.
+    """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for width, q_ids, q, c_width, c_ids, c in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if width == c_width and width:
-                    scores = np.frombuffer(q, "<f8").reshape(-1, width) @ np.frombuffer(c, "<f8").reshape(-1, width).T
+            for k in range(batch.num_rows):
+                width, q_ids, q, c_width, c_ids, c = (batch.column(i)[k] for i in range(6))
+                q_ids, c_ids, width = q_ids.values, c_ids.values, width.as_py()
+                if width == c_width.as_py() and width:
+                    scores = np.frombuffer(q.as_buffer(), "<f8").reshape(-1, width) @ np.frombuffer(c.as_buffer(), "<f8").reshape(-1, width).T
                 else:
                     scores = np.zeros((len(q_ids), len(c_ids)))
                 if digits is not None:
                     scores = np.round(scores, digits)
-                order = np.argsort(np.array(c_ids, object), kind="stable")
-                # best scores first, of equals the smaller id
-                tops = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :most]]
-                asked_by = np.repeat(np.arange(len(q_ids)), tops.shape[1])
-                q_kind, c_kind = (batch.schema.field(n).type.value_type for n in ("q_ids", "c_ids"))
-                columns = [pa.array(q_ids, q_kind).take(pa.array(asked_by)), pa.array(c_ids, c_kind).take(pa.array(tops.ravel())), pa.array(np.take_along_axis(scores, tops, 1).ravel())]
+                row, place = _best(scores, most)
+                columns = [q_ids.take(pa.array(row)), c_ids.take(pa.array(place)), pa.array(scores[row, place])]
                 yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "score"])
 
+    tables.small_batches(pairs.sparkSession)
     blocks = pairs.select("width", "q_ids", "q", "c_width", "c_ids", "c")
     return ranked(blocks.mapInArrow(best, f"query_id {qk}, chunk_id {ck}, score double"), most=most)
 
 
+def _best(scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``most`` largest scores of every row, the largest first, of equals the first."""
+    n = scores.shape[1]
+    if most < n:  # whatever equals the last of them may be among them
+        row, place = np.nonzero(scores >= np.partition(scores, n - most, axis=1)[:, n - most, None])
+    else:
+        row, place = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((place, -scores[row, place], row))
+    row, place = row[order], place[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < most
+    return row[first], place[first]
+
+
 def within_topk(queries: DataFrame, corpus: DataFrame, within: str, most: int, digits: int | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: the nearest ``most`` of the chunks that share a question's values of ``within``.
 
@@ -108,7 +124,8 @@ def within_topk(queries: DataFrame, corpus: DataFrame, within: str, most: int, d
 
         def one(group: pa.Table) -> pa.Table:
             width = group.column("width")[0].as_py()
-            matrix = np.array(group.column("embedding").to_pylist(), "<f8").reshape(-1, width)
+            group = group.sort_by("_id")
+            matrix = pc.list_flatten(group.column("embedding")).to_numpy().astype("<f8").reshape(-1, width)
             size = np.linalg.norm(matrix, axis=1, keepdims=True)
             matrix = np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
             keys = {c: group.column(c).slice(0, 1) for c in (within, "width", "share", "_shares")}
@@ -126,6 +143,7 @@ def within_topk(queries: DataFrame, corpus: DataFrame, within: str, most: int, d
 def keyword_topk(queries: DataFrame, corpus: DataFrame, most: int) -> DataFrame:
     """query_id, chunk_id, score, rank of chunks (chunk_id, text) that have all words of a question, by cover density.
 
-    The corpus is indexed first; ``keyword_index`` keeps an index for many searches.
+    The corpus is indexed first, by the questions' words if these are not very many;
+    ``keyword_index`` keeps an index for many searches.
     """
-    return keyword_index.search_words(queries, keyword_index.index_words(corpus), most)
+    return keyword_index.search_words(queries, keyword_index.index_words(corpus, only=keyword_index.words_of(queries)), most)
