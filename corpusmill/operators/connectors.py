@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.vectors import hash_vector
+from corpusmill.functions.vectors import hash_vectors
 from corpusmill.operators.fusion import placed
 from corpusmill.sources import tables
 
@@ -22,14 +22,12 @@ BATCH, TRIES = 64, 2
 
 def hashing_client(texts: list[str]) -> list[tuple[int, list[float]]]:
     """The offline embedder as a service: answers carry their index and come in any order."""
-    known: dict[str, int] = {}
-    return [(i, hash_vector(t, 64, known).tolist()) for i, t in reversed(list(enumerate(texts)))]
+    return list(enumerate(hash_vectors(texts, 64).tolist()))[::-1]
 
 
 def narrow_client(texts: list[str]) -> list[tuple[int, list[float]]]:
     """Another offline embedder, of half the width."""
-    known: dict[str, int] = {}
-    return [(i, hash_vector(t, 32, known).tolist()) for i, t in enumerate(texts)]
+    return list(enumerate(hash_vectors(texts, 32).tolist()))
 
 
 def _answered(texts: list[str], client: Callable[[list[str]], list[tuple[int, list[float]]]], width: int) -> pa.Array:

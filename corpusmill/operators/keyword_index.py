@@ -25,6 +25,8 @@ from corpusmill.sources import tables
 
 #: Chunks and words of a block.
 BLOCK, BLOCK_WORDS = 256, 400_000
+#: Distinct words of questions up to which one search has an index of these words made for it, and else one of all.
+ASKED_WORDS = 20_000
 
 
 @dataclass(frozen=True)
@@ -51,12 +53,13 @@ def _cuts(lengths: np.ndarray, block: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
-def _postings(words: pa.Array, lengths: np.ndarray) -> tuple[pa.Array, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Words of a block with their chunk numbers, how often each has them and the differences of positions."""
+def _postings(words: pa.Array, lengths: np.ndarray, position: np.ndarray | None = None) -> tuple[pa.Array, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Words of a block with their chunk numbers, how often each has them and the differences of positions, which count from 0 if not given."""
     coded = pc.dictionary_encode(words)
     code = coded.indices.to_numpy(zero_copy_only=False)
     chunk = np.repeat(np.arange(len(lengths)), lengths)
-    position = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    if position is None:
+        position = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     order = np.argsort(code, kind="stable")  # within a word by chunk and position
     code, chunk, position = code[order], chunk[order], position[order]
     begins = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (chunk[1:] != chunk[:-1])]) if len(code) else np.empty(0, int)
@@ -69,11 +72,18 @@ def _postings(words: pa.Array, lengths: np.ndarray) -> tuple[pa.Array, list[np.n
     return coded.dictionary, split(chunk[begins], of_word), split(counts, of_word), split(delta, places)
 
 
-def index_words(corpus: DataFrame, block: int = BLOCK) -> KeywordIndex:
+def words_of(queries: DataFrame, most: int = ASKED_WORDS) -> list[str] | None:
+    """The distinct words of the questions (query_id, text), or None if they are more than ``most``."""
+    words = queries.select(F.explode(fn.lexemes(F.coalesce("text", F.lit("")))).alias("word")).distinct().limit(most + 1).collect()
+    return [r["word"] for r in words] if len(words) <= most else None
+
+
+def index_words(corpus: DataFrame, block: int = BLOCK, only: list[str] | None = None) -> KeywordIndex:
     """The index of ``corpus`` (chunk_id, text), written once to the shared folder; nothing is shuffled.
 
     Texts without words, null ones too, are in no posting.  Words are lower-cased runs
-    of letters and digits.
+    of letters and digits.  ``only`` are the words to be posted, as for one search that
+    asks for no others; every text is read all the same, and places count all words.
     """
     kind = corpus.schema["chunk_id"].dataType.simpleString()
 
@@ -83,14 +93,24 @@ def index_words(corpus: DataFrame, block: int = BLOCK) -> KeywordIndex:
             lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
             for start, end in _cuts(lengths, block):
                 some = batch.slice(start, end - start)
-                words, chunks, counts, deltas = _postings(some.column(1).flatten(), lengths[start:end])
+                words, places = some.column(1).flatten(), None
+                if only is not None:
+                    words, places = words.field("word"), words.field("at").to_numpy(zero_copy_only=False)
+                words, chunks, counts, deltas = _postings(words, lengths[start:end], places)
                 numbers, ints = pa.array([number] * (len(words) + 1), pa.int64()), pa.list_(pa.int32())
                 ids = pa.array([[]] * len(words) + [some.column(0).to_pylist()], pa.list_(batch.schema.field(0).type))
                 columns = [pa.concat_arrays([words, pa.nulls(1, pa.string())]), numbers, *(pa.array([*x, []], ints) for x in (chunks, counts, deltas)), ids]
                 yield pa.RecordBatch.from_arrays(columns, names=["word", "block", "chunks", "counts", "deltas", "ids"])
                 number += 1
 
-    rows = corpus.select("chunk_id", _in_order(F.col("text")).alias("words")).mapInArrow(run, f"word string, block long, chunks array<int>, counts array<int>, deltas array<int>, ids array<{kind}>")
+    words = _in_order(F.col("text"))
+    texts = corpus.select("chunk_id", words.alias("words"))
+    if only is not None:  # only what is asked for goes to Python; words are letters and digits, so none has a quote
+        placed = F.transform(words, lambda w, at: F.struct(w.alias("word"), at.alias("at")))
+        asked = f"x.word IN ({', '.join(f"'{w}'" for w in sorted(only))})" if only else "false"
+        texts = corpus.select("chunk_id", placed.alias("words")).withColumn("words", F.expr(f"filter(words, x -> {asked})"))
+    rows = texts.mapInArrow(run, f"word string, block long, chunks array<int>, counts array<int>, deltas array<int>, ids array<{kind}>")
+    tables.small_batches(corpus.sparkSession)
     held = tables.written(rows)
     return KeywordIndex(held.where("word IS NOT NULL").drop("ids"), held.where("word IS NULL").select("block", "ids"))
 

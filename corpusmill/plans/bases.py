@@ -76,7 +76,8 @@ def candidates(routed: DataFrame, chunks: DataFrame, bases: DataFrame, embedders
     lists = [near.select("query_id", "chunk_id", "rank")]
     if policy.hybrid:
         # the cut comes after the bases are known, so every match is scored
-        every = keyword_index.search_words(asked.select("query_id", "text").distinct(), keyword_index.index_words(chunks.select("chunk_id", F.col("content").alias("text"))), 2**31 - 1)
+        texts = asked.select("query_id", "text").distinct()
+        every = keyword_index.search_words(texts, keyword_index.index_words(chunks.select("chunk_id", F.col("content").alias("text")), only=keyword_index.words_of(texts)), 2**31 - 1)
         told = every.select("query_id", "chunk_id", "score").join(of_base, "chunk_id").join(asked.select("query_id", "base_id"), ["query_id", "base_id"])
         lists.append(first(told).select("query_id", "chunk_id", "rank"))
     return fusion.reciprocal_rank(lists)

@@ -21,12 +21,12 @@ def _questions(t: Tables):
 
 def _ingested(t: Tables):
     """The chunk table: ingestion writes it once, searches read it."""
-    return tables.written(answer.ingest(t.documents.select("doc_id", "text")))
+    return answer.ingest(t.documents.select("doc_id", "text"))
 
 
 @R.query("rag_chunk")
 def rag_chunk(t: Tables):
-    return _ingested(t).select("doc_id", "chunk_index", "token_count", fn.content_hash("content").alias("content_hash"))
+    return answer.chunked(t.documents.select("doc_id", "text")).select("doc_id", "chunk_index", "token_count", "content_hash")
 
 
 @R.query(
@@ -350,13 +350,15 @@ def rag_base_routes(t: Tables):
 
 @R.query("rag_retrieve_bases")
 def rag_retrieve_bases(t: Tables):
-    """Hybrid search within each question's bases, which were embedded with two models."""
+    """Hybrid search within each question's bases, which were embedded with two models.
+
+    The models hash words, so the chunks get their vectors as they are cut; the questions ask the models as services.
+    """
     held = _bases(t).where("deleted_at IS NULL AND model <> 'gone'")
     docs = t.documents.join(held, F.col("source") == F.col("base_id")).select("doc_id", "text", "base_id", "model")
     parts = []
-    for model, client, width in (("words-64", connectors.hashing_client, 64), ("words-32", connectors.narrow_client, 32)):
-        some = docs.where(F.col("model") == model)
-        parts.append(answer.ingest(some.select("doc_id", "text"), width=width, embedder=client).join(some.select("doc_id", "base_id"), "doc_id"))
-    chunks = tables.written(parts[0].unionByName(parts[1]))
+    for model, width in (("words-64", 64), ("words-32", 32)):
+        parts.append(answer.ingest(docs.where(F.col("model") == model).drop("model"), width=width, keep=("base_id",)))
+    chunks = parts[0].unionByName(parts[1])
     found, _ = bases.retrieve(_asked_bases(t), chunks, _bases(t), {"words-64": connectors.hashing_client, "words-32": connectors.narrow_client}, {"words-64": 64, "words-32": 32})
     return found.select("query_id", "place", "chunk_id", "doc_id", "token_count", "score")

@@ -6,7 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusmill import catalog
-from corpusmill.operators import papers, vector_index
+from corpusmill.functions import text as text_functions
+from corpusmill.functions import vectors
+from corpusmill.operators import keyword_index, papers, search, vector_index
+from corpusmill.plans import answer
+from corpusmill.queries import Tables, retrieval
 from corpusmill.sources import parsers
 from corpusmill.streaming.dispatch import Dispatcher
 
@@ -59,3 +63,57 @@ def test_plain_tags_are_read_as_the_parser_reads_them():
         reader.feed(text)
         reader.close()
         assert parsers._read_tables(text) == reader.tables, text
+
+
+def test_an_index_for_one_search_holds_its_words_only(spark):
+    corpus = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "The mat."), (3, None), (4, "a dog")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "Mat the"), (2, None)], "query_id long, text string")
+    only = keyword_index.words_of(asked)
+    assert sorted(only) == ["mat", "the"] and keyword_index.words_of(asked, 1) is None
+    small, whole = keyword_index.index_words(corpus, only=only), keyword_index.index_words(corpus)
+    assert {r["word"] for r in small.postings.collect()} == {"mat", "the"}
+    found, wanted = (sorted(map(tuple, keyword_index.search_words(asked, index, 9).collect())) for index in (small, whole))
+    assert found == wanted and len(found) == 2
+    assert keyword_index.index_words(corpus, only=[]).postings.count() == 0
+
+
+def test_words_are_hashed_together_as_one_by_one():
+    texts = ["a a\tb\x1cc", None, "", "Üx  " + "y" * 300, "a"]
+    words = ["a", "b\x1cc", "üx", "y" * 300, ""]
+    assert vectors.word_hashes(words).tolist() == [vectors.word_hash(w) for w in words] and not len(vectors.word_hashes([]))
+    want = np.zeros((5, 64))
+    for row, some in zip(want, (["a", "a", "b\x1cc"], [], [], ["üx", "y" * 300], ["a"]), strict=True):
+        for word in some:
+            row[vectors.word_hash(word) % 64] += 1
+        row /= np.linalg.norm(row) or 1
+    assert (vectors.hash_vectors(texts, 64) == want).all()
+
+
+def test_texts_are_normalized_as_by_regular_expressions(spark):
+    signs = [" ", "\t", "\n", "\r", "-", "a", "B", "\x00", "\x0b", "\x0c", "\x1c", "\x85", "\u2028", "\xa0", "\n\n\n"]
+    chance = np.random.RandomState(5)
+    rows = [("".join(chance.choice(signs, chance.randint(0, 12))),) for _ in range(3000)] + [(None,)]
+    c = F.col("text")
+    for pattern, by in ((r"\r\n?", "\n"), (r"-[ \t]*\n\s*(?=\p{Ll})", ""), (r"[\x00-\x08\x0B-\x1F\x7F]", ""), (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
+        c = F.regexp_replace(c, pattern, by)
+    told = spark.createDataFrame(rows, "text string").select("text", c.alias("want"), text_functions.normalize("text").alias("found"))
+    assert told.where("NOT (want <=> found)").count() == 0
+
+
+def test_chunks_are_cut_and_embedded_without_a_shuffle_of_contents(spark):
+    docs = spark.createDataFrame([(1, "one two", "x"), (2, "one two", "y"), (3, None, "x")], "doc_id long, text string, base_id string")
+    chunks = answer.ingest(docs, keep=("base_id",))
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {(r.chunk_id, r.base_id, len(r.embedding)) for r in chunks.collect()} == {("chk_1_0", "x", 64), ("chk_2_0", "y", 64)}
+    plan = retrieval.rag_chunk(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "Join" not in plan  # no vectors for chunks alone
+
+
+def test_the_best_of_equal_scores_come_in_order_of_ids(spark):
+    scores = np.array([[0.0, 2.0, 1.0, 2.0, 1.0], [0.0] * 5])
+    assert [x.tolist() for x in search._best(scores, 3)] == [[0, 0, 0, 1, 1, 1], [1, 3, 2, 0, 1, 2]]
+    assert [len(x) for x in search._best(scores, 9)] == [10, 10]
+    corpus = spark.createDataFrame([(f"c{k}", [1.0, 0.0] if k % 2 else [0.0, 1.0, 0.0]) for k in range(9, -1, -1)] + [("n", None)], "chunk_id string, embedding array<float>")
+    found = search.vector_topk(spark.createDataFrame([(1, [2.0, 0.0]), (2, None)], "query_id long, embedding array<float>"), corpus, 6)
+    assert [(r.query_id, r.chunk_id, r.score) for r in found.orderBy("query_id", "rank").collect()] == [(1, f"c{k}", s) for k, s in zip((1, 3, 5, 7, 9, 0), (1.0,) * 5 + (0.0,), strict=True)] + [(2, f"c{k}", 0.0) for k in range(6)]
