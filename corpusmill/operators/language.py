@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Characters in a run, fewest runs of a text that is decided, characters of a stretch handled at once.
 LONG, FEWEST, STRETCH = 3, 8, 1 << 16
+#: Parts in which the digests of a language are ranked before those that are left are ranked together.
+PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -44,7 +46,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", most_texts:
     label or a text teach nothing; without any, there are no languages.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.sha2(F.col(text).cast("binary"), 256).alias("h"))
-    some = rows.groupBy("l", "h").agg(F.min("t").alias("t")).withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("k") <= most_texts)
+    # digests are ranked without their texts, and cut where they lie first: a part of a language hands on no more than the language keeps
+    digests = rows.select("l", "h").distinct().withColumn("part", F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % PARTS)
+    for within in (["l", "part"], ["l"]):
+        digests = digests.withColumn("k", F.row_number().over(Window.partitionBy(*within).orderBy("h"))).where(F.col("k") <= most_texts)
+    some = rows.join(F.broadcast(digests.select("l", "h")), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
