@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,11 +24,29 @@ def jaccard(a: Column, b: Column) -> Column:
 def likeness(a: str, b: str) -> float:
     """The larger of the match ratio without blanks and signs, and the share of common words."""
     plain = [re.sub(r"[\s\-_.()]", "", x.lower()) for x in (a, b)]
+    if plain[0] == plain[1]:
+        return 1.0
     words = [set(x.lower().split()) for x in (a, b)]
     either = words[0] | words[1]
     return max(difflib.SequenceMatcher(None, *plain).ratio(), len(words[0] & words[1]) / len(either) if either else 0.0)
 
 
+#: Names come again in other papers: a Python worker keeps the likeness of so many pairs.
+_likeness = lru_cache(1 << 17)(likeness)
+
+
+def _likest(name: str, free: list[dict]) -> tuple[float, int]:
+    """The largest likeness of a name to the free items, and the first place that has it."""
+    best = (0.0, 0)
+    for k, g in enumerate(free):
+        score = _likeness(name, g["item"])
+        if score > best[0]:
+            best = (score, k)
+        if score >= 1.0:
+            break
+    return best
+
+
 def _status(ordered: Column, net: Column) -> Column:
     return F.when(net.isNull(), "qty_unreadable").when(F.abs(net - ordered) < 1e-9, "ok").when(net > ordered, "over").otherwise("under")
 
@@ -60,11 +79,11 @@ def by_name(ordered: DataFrame, delivered: DataFrame, doc: str, least: float = L
             for key, wanted, had in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 free = list(had or [])
                 for w in wanted or []:
-                    score, at = max(((likeness(w["item"], g["item"]), -k) for k, g in enumerate(free)), default=(0.0, 0))
+                    score, at = _likest(w["item"], free)
                     if not free or score < least:
                         rows.append((key, w["item"], w["qty"], None, None, "missing", round(score, 2)))
                         continue
-                    g = free.pop(-at)
+                    g = free.pop(at)
                     gap = None if g["net"] is None else g["net"] - w["qty"]
                     status = "qty_unreadable" if gap is None else "ok" if abs(gap) < 1e-9 else "over" if gap > 0 else "under"
                     rows.append((key, w["item"], w["qty"], g["item"], g["net"], status, round(score, 2)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill import catalog
 from corpusmill.functions import text as text_functions
 from corpusmill.functions import vectors
-from corpusmill.operators import keyword_index, papers, search, vector_index
+from corpusmill.operators import keyword_index, language, papers, reconcile, search, vector_index
 from corpusmill.plans import answer
 from corpusmill.queries import Tables, retrieval
 from corpusmill.sources import parsers
@@ -117,3 +117,44 @@ def test_the_best_of_equal_scores_come_in_order_of_ids(spark):
     corpus = spark.createDataFrame([(f"c{k}", [1.0, 0.0] if k % 2 else [0.0, 1.0, 0.0]) for k in range(9, -1, -1)] + [("n", None)], "chunk_id string, embedding array<float>")
     found = search.vector_topk(spark.createDataFrame([(1, [2.0, 0.0]), (2, None)], "query_id long, embedding array<float>"), corpus, 6)
     assert [(r.query_id, r.chunk_id, r.score) for r in found.orderBy("query_id", "rank").collect()] == [(1, f"c{k}", s) for k, s in zip((1, 3, 5, 7, 9, 0), (1.0,) * 5 + (0.0,), strict=True)] + [(2, f"c{k}", 0.0) for k in range(6)]
+
+
+def test_names_that_come_again_are_compared_once(spark, monkeypatch):
+    free = [{"item": x} for x in ("Red bolt", "red-bolt", "blue nut", "red bolt")]
+    assert reconcile._likest("RED BOLT -", free) == (1.0, 0) and reconcile._likest("zzz", free) == (0.0, 0) and reconcile._likest("x", []) == (0.0, 0)
+    names = ["red bolt", "new anvil", "hot ring", "red ring", "RED BOLT -", ""]
+    for a in names:
+        want = max((reconcile.likeness(a, b), -k) for k, b in enumerate(names))
+        assert reconcile._likest(a, [{"item": b} for b in names]) == (want[0], -want[1])
+    reconcile._likeness.cache_clear()
+    for _ in range(50):
+        reconcile._likest("green gear", free)
+    assert reconcile._likeness.cache_info().misses == 4
+
+
+def test_texts_to_learn_from_are_chosen_without_the_texts(spark):
+    rows = [(f"{lang} text number {k % 40} of many", lang) for lang in ("de", "en") for k in range(120)] + [(None, "de"), ("x", None)]
+    labelled = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    ranked = []
+    window = language.Window.partitionBy
+    try:
+        language.Window.partitionBy = lambda *keys: ranked.append(keys) or window(*keys)
+        few = language.fit(labelled, most_texts=7)
+    finally:
+        language.Window.partitionBy = window
+    assert ranked[0] == ("l", "part")  # a language's digests are cut in parts before they meet
+    chosen = {lang: sorted({t for t, x in rows if x == lang and t}, key=lambda t: __import__("hashlib").sha256(t.encode()).hexdigest())[:7] for lang in ("de", "en")}
+    again = language.fit(spark.createDataFrame([(t, lang) for lang, some in chosen.items() for t in some], "text string, lang string"))
+    assert few == again and few.names == ("de", "en")
+
+
+def _many_pages(content):
+    return [(k, "y" * 50) for k in range(int(content), 0, -1)]
+
+
+def test_pages_are_handed_on_as_they_come(spark, monkeypatch):
+    monkeypatch.setattr(parsers, "PAGES_HELD", 2_000)
+    df = spark.createDataFrame([(1, b"30"), (2, b"x"), (3, b"0"), (4, b"2")], "doc long, content binary").coalesce(1)
+    pages = parsers.ocr_pages(df, "doc", "content", _many_pages)
+    assert [(r.doc, r.page) for r in pages.where("error IS NULL").collect()] == [(1, k) for k in range(1, 31)] + [(4, 1), (4, 2)]
+    assert [r.doc for r in pages.where("error IS NOT NULL").collect()] == [2]
