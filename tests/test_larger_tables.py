@@ -12,6 +12,7 @@ from corpusmill.operators import keyword_index, language, papers, reconcile, sea
 from corpusmill.plans import answer
 from corpusmill.queries import Tables, retrieval
 from corpusmill.sources import parsers
+from corpusmill.streaming import run, sessions
 from corpusmill.streaming.dispatch import Dispatcher
 
 
@@ -158,3 +159,19 @@ def test_pages_are_handed_on_as_they_come(spark, monkeypatch):
     pages = parsers.ocr_pages(df, "doc", "content", _many_pages)
     assert [(r.doc, r.page) for r in pages.where("error IS NULL").collect()] == [(1, k) for k in range(1, 31)] + [(4, 1), (4, 2)]
     assert [r.doc for r in pages.where("error IS NOT NULL").collect()] == [2]
+
+
+def test_many_keys_of_a_stream_are_taken_together(spark):
+    day = 86400.0
+    rows = [(u, 1e6 + day * (k * 0.7 + u / 9000), 10 * u + k, (u + k) % 5 == 0) for u in range(3000) for k in range(6)]
+    events = spark.createDataFrame(rows, "user long, at double, id long, out boolean")
+    turn = sessions.sliding_session(day)
+    wanted = {}
+    for user in range(3000):
+        now, ends, stays = None, 0.0, None
+        for _, at, number, out in rows[6 * user : 6 * user + 6]:
+            now, ends, stays, wanted[number] = turn(now if ends > at else None, stays, at, out)
+    found, progress = run.replay(events, "at", lambda s: sessions.keyed(s, "user", "at", "id", "out", turn, "verdict string, expires double, sessions int", "began double, expires double", "opened int", late=60.0))
+    assert {r.id: (r.verdict, r.expires, r.sessions) for r in found.collect()} == wanted
+    # a call and its frame for a group of users, so no timer for every user
+    assert sum(o.customMetrics["numRegisteredTimers"] for p in progress for o in p.stateOperators) <= 6 * 1024
