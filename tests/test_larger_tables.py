@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusmill import catalog
+from corpusmill.functions import papers as paper_functions
 from corpusmill.functions import text as text_functions
 from corpusmill.functions import vectors
 from corpusmill.operators import keyword_index, language, papers, reconcile, search, vector_index
@@ -175,3 +176,16 @@ def test_many_keys_of_a_stream_are_taken_together(spark):
     assert {r.id: (r.verdict, r.expires, r.sessions) for r in found.collect()} == wanted
     # a call and its frame for a group of users, so no timer for every user
     assert sum(o.customMetrics["numRegisteredTimers"] for p in progress for o in p.stateOperators) <= 6 * 1024
+
+
+def test_papers_are_rid_of_tags_once(spark):
+    signs = [" ", "\t", "\n", "\r", "\x0b", "\x85", "\u2028", "a", "ก", "&amp;", "&", "<", "<br>", "<BR/>", "<hr x=1/>", "</p>", "</P >", "</td>", "</tH\n>", "</tr>", "</h3>", "</h7>", "</div x>", "<td>", "<p class='&'>", "</LI>", "</l>", "/>", "&#10;", "<br"]
+    chance = np.random.RandomState(3)
+    texts = spark.createDataFrame([("".join(chance.choice(signs, chance.randint(0, 14))),) for _ in range(3000)] + [(None,)], "md string")
+    c = F.regexp_replace("md", r"(?i)<(?:br|hr|/p|/li|/div|/td|/th|/tr|/h[1-6])(?:\s[^<>]*)?/?>", "\n")
+    c = paper_functions._decoded(F.regexp_replace(c, "<[^<>]+>", " "))
+    wanted = F.filter(F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    found = texts.select(paper_functions.plain_lines("md").alias("found"))
+    assert texts.select(paper_functions.plain_lines("md").alias("found"), wanted.alias("wanted")).where("NOT (found <=> wanted)").isEmpty()
+    # once for what goes to Python and once for the rest
+    assert found._jdf.queryExecution().executedPlan().toString().count("<[^<>]+>") == 2
