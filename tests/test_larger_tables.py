@@ -189,3 +189,18 @@ def test_papers_are_rid_of_tags_once(spark):
     assert texts.select(paper_functions.plain_lines("md").alias("found"), wanted.alias("wanted")).where("NOT (found <=> wanted)").isEmpty()
     # once for what goes to Python and once for the rest
     assert found._jdf.queryExecution().executedPlan().toString().count("<[^<>]+>") == 2
+
+
+def test_windows_of_many_keys_are_taken_together(spark):
+    rows = [(u, 1e6 + 20.0 * k + u / 1000, 6 * u + k, (u + k) % 4 == 3) for u in range(3000) for k in range(6)]
+    turn, wanted = sessions.forgettable_window(2, 50.0), {}
+    for user in range(3000):
+        now, ends = None, 0.0
+        for _, at, number, forget in rows[6 * user : 6 * user + 6]:
+            now, ends, _, wanted[number] = turn(now if ends > at else None, None, at, forget)
+    events = spark.createDataFrame(rows, "user long, at double, id long, forget boolean")
+    found, progress = run.replay(events, "at", lambda s: sessions.keyed(s, "user", "at", "id", "forget", turn, "allowed boolean, remaining int", "began double, hits int", late=10.0, sweep=1.0))
+    assert {r.id: (r.allowed, r.remaining) for r in found.collect()} == wanted
+    # windows that end are cleared by their group's timer
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] < 3000
+    assert sum(o.customMetrics["numRegisteredTimers"] for p in progress for o in p.stateOperators) <= 6 * 1024
