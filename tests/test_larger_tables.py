@@ -204,3 +204,25 @@ def test_windows_of_many_keys_are_taken_together(spark):
     # windows that end are cleared by their group's timer
     assert progress[-1]["stateOperators"][0]["numRowsTotal"] < 3000
     assert sum(o.customMetrics["numRegisteredTimers"] for p in progress for o in p.stateOperators) <= 6 * 1024
+
+
+def test_state_has_no_more_parts_than_its_rows_need(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    rows = [(10 * u + k, 1.7e9 + 30_000.0 * k + u, u, "purchase" if (u + k) % 4 == 3 else "view") for u in range(200) for k in range(6)]
+    events = spark.createDataFrame(rows, "event_id long, at double, user_id long, event_type string")
+    events.select("event_id", F.timestamp_seconds("at").cast("timestamp_ntz").alias("ts"), "user_id", "event_type").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    told, replay, name = [], run.replay, "spark.sql.shuffle.partitions"
+    monkeypatch.setattr(run, "replay", lambda *a, **k: told.append(replay(*a, **k)) or told[-1])
+    before = spark.conf.get(name)
+    spark.conf.set(name, "32")
+    try:
+        found = catalog.QUERIES["st_rate_evict"](spark, str(tmp_path)).select("user_id", "event_id", "allowed", "remaining").collect()
+        assert {o.numShufflePartitions for p in told[0][1] for o in p.stateOperators} == {8} and spark.conf.get(name) == "32"
+        # as many as the rows need, within what the session allows
+        assert [run._state_parts(spark, n) for n in (0, 10 * run.PART_ROWS + 1, 10**9)] == [8, 11, 32]
+    finally:
+        spark.conf.set(name, before)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        assert sorted(map(tuple, found)) == sorted(db.execute(catalog.ORACLE_SQL["st_rate_evict"]).fetchall())
