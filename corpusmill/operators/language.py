@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.sources import tables
+
 #: Characters in a run, fewest runs of a text that is decided, characters of a stretch handled at once.
 LONG, FEWEST, STRETCH = 3, 8, 1 << 16
 #: Parts in which the digests of a language are ranked before those that are left are ranked together.
@@ -37,30 +39,38 @@ def runs_of(text: str) -> Counter:
     return counts
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", most_texts: int = 2000, most_runs: int = 20_000) -> Languages:
-    """Log-probabilities of runs by language, from at most ``most_texts`` texts of each.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", most_texts: int | None = None, most_runs: int | None = None) -> Languages:
+    """Log-probabilities of all runs by language, from all labelled texts; repeated texts of a language count once.
 
-    The texts are those of smallest digest, so reruns agree and repeated texts count
-    once.  Runs are counted in the tasks and summed by Spark; the ``most_runs`` most
-    frequent (ties by the run) come to the driver, a bounded table.  Rows without a
-    label or a text teach nothing; without any, there are no languages.
+    ``most_texts`` of each language (those of smallest digest) and the ``most_runs``
+    most frequent runs (ties by the run) are taken only if given; reruns agree.  Runs
+    are counted in the tasks and summed by Spark; a row for each different run comes to the
+    driver, and there are far fewer of them than texts' characters: letters bound them.
+    Rows without a label or a text teach nothing; without any, there are no languages.
     """
+    tables.small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.sha2(F.col(text).cast("binary"), 256).alias("h"))
-    # digests are ranked without their texts, and cut where they lie first: a part of a language hands on no more than the language keeps
-    digests = rows.select("l", "h").distinct().withColumn("part", F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % PARTS)
-    for within in (["l", "part"], ["l"]):
-        digests = digests.withColumn("k", F.row_number().over(Window.partitionBy(*within).orderBy("h"))).where(F.col("k") <= most_texts)
-    some = rows.join(F.broadcast(digests.select("l", "h")), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t"))
+    if most_texts is not None:
+        # digests are ranked without their texts, and cut where they lie first: a part of a language hands on no more than the language keeps
+        digests = rows.select("l", "h").distinct().withColumn("part", F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % PARTS)
+        for within in (["l", "part"], ["l"]):
+            digests = digests.withColumn("k", F.row_number().over(Window.partitionBy(*within).orderBy("h"))).where(F.col("k") <= most_texts)
+        rows = rows.join(F.broadcast(digests.select("l", "h")), ["l", "h"])
+    once = rows.groupBy("l", "h").agg(F.min("t").alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = runs_of(whole)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["l", "run", "n"])
-
-    counts = some.select("l", "t").mapInArrow(count, "l string, run string, n long").groupBy("run", "l").agg(F.sum("n").alias("n"))
+        for batch in batches:  # a batch's texts are added up, or each would hand on its runs
+            found: dict[str, Counter] = defaultdict(Counter)
+            for name, whole in zip(batch.column(0), batch.column(1), strict=True):
+                found[name.as_py()].update(runs_of(whole.as_py()))
+            names, runs, counts = zip(*((name, run, n) for name, some in found.items() for run, n in some.items()), strict=True) if any(found.values()) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(runs, pa.string()), pa.array(counts, pa.int64())], names=["l", "run", "n"])
+
+    counts = once.select("l", "t").mapInArrow(count, "l string, run string, n long").groupBy("run", "l").agg(F.sum("n").alias("n"))
     by_run = counts.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("by"), F.sum("n").alias("n"))
-    held = [(r.run, r.by) for r in by_run.orderBy(F.desc("n"), "run").limit(most_runs).collect()]
+    if most_runs is not None:
+        by_run = by_run.orderBy(F.desc("n"), "run").limit(most_runs)
+    held = [(r.run, r.by) for r in by_run.collect()]
     names = tuple(sorted({name for _, by in held for name in by}))
     totals = [sum(by.get(name, 0) for _, by in held) for name in names]
     size = 0.5 * (len(held) + 1)

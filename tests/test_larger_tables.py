@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import duckdb
@@ -163,6 +164,22 @@ def test_texts_to_learn_from_are_chosen_without_the_texts(spark):
     assert few == again and few.names == ("de", "en")
 
 
+def test_languages_are_learned_from_all_texts_and_runs(spark):
+    # more texts of a language than 2,000 and more runs than 20,000, each run in one text; a text twice counts once
+    runs = lambda k: chr(0x4E00 + k % 151) + chr(0x4E00 + k // 151) + chr(0x5000 + k % 7)
+    of = lambda lang, start, n: [(" ".join(runs(start + 10 * k + i) for i in range(10)), lang) for k in range(n)]
+    rows = [*of("one", 0, 2_100), *of("two", 21_000, 100), *of("two", 21_000, 100)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    counts = {lang: Counter() for lang in ("one", "two")}
+    for text, lang in set(rows):
+        counts[lang].update(language.runs_of(text))
+    assert model.names == ("one", "two") and set(model.weights) == set(counts["one"]) | set(counts["two"]) and len(model.weights) > 20_000
+    size = 0.5 * (len(model.weights) + 1)
+    for place, lang in enumerate(model.names):
+        total = sum(counts[lang].values()) + size
+        assert all(abs(weights[place] - math.log((counts[lang][run] + 0.5) / total)) < 1e-12 for run, weights in model.weights.items())
+
+
 def _many_pages(content):
     return [(k, "y" * 50) for k in range(int(content), 0, -1)]
 
