@@ -114,8 +114,8 @@ def rag_budget(t: Tables):
 
 @R.query("rag_rank")
 def rag_rank(t: Tables):
-    """Vector list alone: threshold, fusion, order."""
-    return fusion.ranked(answer.candidates(_questions(t), _ingested(t), answer.Policy(hybrid=False)).withColumn("score", F.round("score", 12)))
+    """Vector list alone: threshold, fusion, marginal relevance, budget."""
+    return answer.retrieve(_questions(t), _ingested(t), answer.Policy(hybrid=False)).select("query_id", "chunk_id", "score", F.col("place").alias("rank"))
 
 
 @R.query(

@@ -180,6 +180,34 @@ def test_languages_are_learned_from_all_texts_and_runs(spark):
         assert all(abs(weights[place] - math.log((counts[lang][run] + 0.5) / total)) < 1e-12 for run, weights in model.weights.items())
 
 
+def test_ranking_diversifies_and_keeps_to_the_budget(spark, monkeypatch):
+    chunks = answer.ingest(spark.createDataFrame([(k, f"red green blue {'blue ' * (k % 4)}{'word' * (k % 3)} text {k}") for k in range(40)], "doc_id long, text string"))
+    chunks = chunks.withColumn("token_count", F.when(F.col("doc_id") % 5 == 0, 7000).otherwise(F.col("doc_id").cast("int") * 40))  # some alone, and many together, are beyond the budget
+    asked = spark.createDataFrame([(1, "red green blue"), (2, "blue text"), (3, "nothing alike")], "query_id long, text string")
+    monkeypatch.setattr(retrieval, "_questions", lambda t: asked)
+    monkeypatch.setattr(retrieval, "_ingested", lambda t: chunks)
+    policy = answer.Policy(hybrid=False)
+    held = {r.chunk_id: (r.token_count, np.array(r.embedding, float) / np.linalg.norm(r.embedding)) for r in chunks.collect()}
+    found: dict = {}
+    for r in answer.candidates(asked, chunks, policy).collect():
+        found.setdefault(r.query_id, {})[r.chunk_id] = r.score
+    rows = catalog.QUERIES["rag_rank"](spark, "unused").orderBy("query_id", "rank").collect()
+    wanted = []
+    for query, scores in sorted(found.items()):
+        free, picks, taken, used = sorted(scores, key=lambda c: (-scores[c], c)), [], [], 0
+        while free and len(picks) < 2 * policy.passages:
+            near = lambda c: max(0.0, *(float(held[c][1] @ held[p][1]) for p in picks), 0.0)  # noqa: B023, E731
+            picks.append(max(free, key=lambda c: round(policy.relevance * scores[c] - (1 - policy.relevance) * near(c), 12)) if picks else free[0])
+            free.remove(picks[-1])
+        for c in picks:
+            if len(taken) < policy.passages and used + held[c][0] <= policy.budget:
+                taken.append(c)
+                used += held[c][0]
+        assert len(taken) < len(scores)
+        wanted += [(query, c, round(scores[c], 9), k) for k, c in enumerate(taken, 1)]
+    assert [tuple(r) for r in rows] == wanted and {1, 2} <= set(found)
+
+
 def _many_pages(content):
     return [(k, "y" * 50) for k in range(int(content), 0, -1)]
 
